@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{root.name}.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
+    with zipfile.ZipFile(path, "w") as out:
+        for f in (root / "__init__.py", *sorted(Path(__file__).resolve().parent.glob("*.py"))):
+            out.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

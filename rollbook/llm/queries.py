@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, line_dedup
+from . import fingerprint, jaccard_join, line_dedup
 
 
 def queries() -> dict:
     found = [
         line_dedup.op2_line_dedup,
         fingerprint.op9_fingerprint,
+        jaccard_join.op10_ngram_join,
     ]
     return {f.__name__: f for f in found}
 
