@@ -43,7 +43,8 @@ def split_buckets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     shared = keyed.groupBy("f1", "f2").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
     shared = materialise(shared.select("f1", "f2", "id"), "buckets")
     first = keyed.join(shared, ["id", "f1", "f2"]).groupBy("f1", "f2").agg(F.min("c").alias("first"))
-    return keyed.join(first, ["f1", "f2"]).where("c <> first").select("f1", "f2").distinct()
+    # written before the distinct, so that Spark may split a hot bucket in this join
+    return materialise(keyed.join(first, ["f1", "f2"]).where("c <> first").select("f1", "f2"), "collisions").distinct()
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,7 +100,7 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null text counts as empty. Ids that repeat are ordered by text.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = materialise(split_buckets(docs), "collisions")
+    buckets = split_buckets(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
