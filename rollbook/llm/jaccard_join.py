@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import materialise, spread, table
 from .components import components
 
-BLOCK = 256
-FRAGMENT = 4096
+#: Most sets and n-grams of a block, about.
+BLOCK, BLOCK_GRAMS = 2048, 2_000_000
+FRAGMENT = 2048
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -195,7 +196,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sigs = filled.select("doc_id", "sigs").where(F.size("sigs") > 0).join(reps, "doc_id", "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
     first = F.min("doc_id").over(Window.partitionBy("sig"))
     stars = sigs.withColumn("first", first).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    links = _verified(base, components(stars), words, num, den, block)
+    clusters = components(stars).withColumnRenamed("component", "cluster")
+    sized = clusters.join(filled.select(F.col("doc_id").alias("id"), "n_shingles").distinct(), "id")
+    links = _verified(base, sized, words, num, den, block)
     found = components(links).select(F.col("id").alias("rep"), "component")
     joined = classes.join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("__c"))
     out = parsed.select("doc_id", "n_shingles", "d1", "d2").join(joined, ["d1", "d2", "n_shingles"], "left")
@@ -204,14 +207,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def _verified(base: DataFrame, clusters: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
     """Spanning links ``a, b`` of each pair of blocks of each cluster."""
-    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("m"))
-    members = clusters.withColumnRenamed("component", "cluster").join(sizes, "cluster")
-    n = F.ceil(F.col("m") / block).cast("int")
-    members = members.select("id", "cluster", n.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    n = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int")
+    sizes = clusters.groupBy("cluster").agg(n.alias("blocks"))
+    members = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", "n_shingles", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
     members = materialise(members, "members")
+    rows, grams = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bins = max(rows // block, grams // BLOCK_GRAMS) + spread(base.sparkSession)  # small clusters share a task up to about a block
     tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("id", "cluster", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    bin_ = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(1024)))
+    bin_ = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
     texts = base.join(members.select("id").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     rows = texts.join(tiled, texts["doc_id"] == tiled["id"]).select("id", "text", "cluster", "block", "i", "j", bin_.alias("bin"))
     return rows.groupBy("bin", "i", "j").applyInPandas(_compare(words, num, den), "a long, b long")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard_join, language_id, line_dedup, packing, token_files, url_filter, warc_zip
+from . import embedding_dedup, fingerprint, jaccard_join, language_id, line_dedup, packing, token_files, url_filter, warc_zip
 
 
 def queries() -> dict:
     found = [
         line_dedup.op2_line_dedup,
         language_id.op3_language_id,
+        embedding_dedup.op4_embedding_dedup,
         url_filter.op5_url_filter,
         warc_zip.op6_warc_zip,
         token_files.op7_token_planes,
