@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprint, jaccard_join, language_id, line_dedup, packing, token_files, url_filter, warc_zip
+from . import embedding_dedup, fingerprint, jaccard_join, language_id, line_dedup, packing, sentencepiece_wfst, token_files, url_filter, warc_zip
 
 
 def queries() -> dict:
     found = [
+        sentencepiece_wfst.op1_sentencepiece,
         line_dedup.op2_line_dedup,
         language_id.op3_language_id,
         embedding_dedup.op4_embedding_dedup,
