@@ -31,7 +31,9 @@ from .common import materialise, spread, table
 from .components import components
 
 #: Most sets and n-grams of a block, about.
-BLOCK, BLOCK_GRAMS = 2048, 2_000_000
+BLOCK, BLOCK_GRAMS = 1024, 1_000_000
+#: Bits of the filter that texts pass before they are shuffled; its broadcast side has at most BITS / 64 rows.
+BITS = 1 << 23
 FRAGMENT = 2048
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -216,11 +218,24 @@ def _verified(base: DataFrame, clusters: DataFrame, words: int, num: int, den: i
     tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tiled = tiled.select("id", "cluster", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     bin_ = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    texts = base.join(members.select("id").withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    texts = _maybe_in(base, members.select("id"))
     rows = texts.join(tiled, texts["doc_id"] == tiled["id"]).select("id", "text", "cluster", "block", "i", "j", bin_.alias("bin"))
     return rows.groupBy("bin", "i", "j").applyInPandas(_compare(words, num, den), "a long, b long")
 
 
+def _maybe_in(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``base`` whose id may be among ``ids``, without an exchange of ``base``.
+
+    A bitmap of hashed ids lets all of them and a few others through. As a table of 64-bit words it has
+    at most BITS / 64 rows, so it is broadcast safely at any size of the corpus.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int")
+    bit = lambda p: F.expr(f"shiftleft(1L, {p} & 63)")
+    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(bit("p")).alias("__bits"))
+    placed = base.withColumn("__p", place("doc_id")).withColumn("__word", F.shiftright("__p", 6))
+    return placed.join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit("__p")) != 0).drop("__p", "__word", "__bits")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-gram sets of all documents, linked at a Jaccard similarity of 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
