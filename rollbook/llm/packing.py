@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread, table
-from .tokens import encoder, vocabulary
+from .tokens import ROWS, encoder, vocabulary
 
 SIZE = 2048
 SEGMENT = 1 << 17
@@ -134,9 +134,11 @@ def _pack(path: str, end_id: int, size: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                if rows := packer.add(doc_id.as_py(), enc.encode(text.as_py()) + end):
-                    yield batch(rows)
+            for at in range(0, b.num_rows, ROWS):
+                some = b.slice(at, ROWS)
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), strict=True):
+                    if rows := packer.add(doc_id, ids + end):
+                        yield batch(rows)
         if rows := packer.finish():
             yield batch(rows)
 

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import materialise, new_path, spread, table
 from .storage import create, open_range
-from .tokens import encoder, vocabulary
+from .tokens import ROWS, encoder, vocabulary
 
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
@@ -144,11 +144,13 @@ def _write(folder: str, path: str, end_id: int, bits: bool):
         enc, end = encoder(path), end_id.to_bytes(4, "little")
         part, writer, uri = TaskContext.get().partitionId(), None, ""
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for at in range(0, batch.num_rows, ROWS):
                 if writer is None:
                     uri, out = create(folder, f"part-{part:06d}")
                     writer = Writer(out, bits)
-                writer.add(doc_id.as_py(), enc.encode(text.as_py()) + end)
+                some = batch.slice(at, ROWS)
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), strict=True):
+                    writer.add(doc_id, ids + end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "ids": [writer.ids]})

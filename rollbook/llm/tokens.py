@@ -19,27 +19,20 @@ _WORD = re.compile(f"[^{SPACE}]+")
 #: Other than single blanks and line feeds between chunks.
 _IRREGULAR = re.compile(r"[ \n][ \n]|[^\S \n]|^[ \n]|[ \n]\Z")
 _CONTROL = re.compile("[\x1c-\x1f]")
-LIMIT = 600_000
+LIMIT = 1_000_000
+#: Texts encoded together, so that their new chunks share a call.
+ROWS = 64
 LONGEST = 64
-
-
-class _Chunks(dict):
-    """Chunk to ids as little-endian unsigned 32-bit bytes; emptied when it reaches LIMIT."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= LONGEST:
-            if len(self) >= LIMIT:
-                self.clear()
-            self[chunk] = ids
-        return ids
+#: Divides chunks of a joined call; chunks that hold it are encoded by themselves.
+_BAR = "\x01"
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of a whole text as bytes; null counts as empty."""
+    """``encode_all(texts)`` gives the ids of whole texts as little-endian unsigned 32-bit bytes; null counts as empty.
+
+    New chunks are encoded by one call on their concatenation and cut apart again: a byte-level chunk
+    starts at its blank or line feed, word chunks are divided by a bar.
+    """
 
     def __init__(self, path: str, words: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,22 +41,65 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = words
-        self.bare = _Chunks(self._ids)
-        self.after = _Chunks(lambda c: self.bare["\n"] + self.bare[c[1:]] if c[0] == "\n" else self._ids(" " + c))
-
-    def _ids(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
+        self.seen: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        if words:
+            (bar,) = self.tokenizer.encode(_BAR, add_special_tokens=False).ids
+            self.starts[bar] = True
+        else:
+            self.starts[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> None:
+        if self.words:
+            ids = self._ids("".join(f" {_BAR} {c}" for c in chunks))
+        else:
+            ids = self._ids("".join(c if c[0] == "\n" else f" {c}" for c in chunks))
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) != len(chunks):  # a chunk that looks like several
+            for c in chunks:
+                self.seen[c] = self._ids(c if self.words or c[0] == "\n" else f" {c}").tobytes()
+            return
+        raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids)]
+        for c, i, j in zip(chunks, at.tolist(), ends, strict=True):
+            self.seen[c] = raw[4 * (i + self.words) : 4 * j]
+
+    def _parts(self, text: str | None) -> tuple[bytes, list[str]]:
+        """Ids of the part in front, and the chunks that follow."""
         if not text:
-            return b""
+            return b"", []
         if self.words:
-            parts = _WORD.findall(text) if _CONTROL.search(text) else text.split()
-            return b"".join(map(self.bare.__getitem__, parts))
+            if text.isascii():
+                text = text.lower()  # as the tokenizer does; fewer distinct chunks
+            return b"", _WORD.findall(text) if _CONTROL.search(text) else text.split()
         if _IRREGULAR.search(text):
-            return b"".join(map(self.bare.__getitem__, _CHUNK.findall(text)))
-        parts = text.replace("\n", " \n").split(" ")
-        return self.bare[parts[0]] + b"".join(map(self.after.__getitem__, parts[1:]))
+            return b"".join(self._ids(c).tobytes() for c in _CHUNK.findall(text)), []
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return self._ids(first).tobytes(), rest
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        parts = [self._parts(t) for t in texts]
+        if len(self.seen) >= LIMIT:
+            self.seen.clear()
+        new = set().union(*(p for _, p in parts)).difference(self.seen)
+        extra = [c for c in new if len(c) > LONGEST or _BAR in c]
+        new.difference_update(extra)
+        new = list(new)
+        for i in range(0, len(new), 1000):
+            self._learn(new[i : i + 1000])
+        for c in extra:
+            self.seen[c] = self._ids(c if self.words or c[0] == "\n" else f" {c}").tobytes()
+        get = self.seen.__getitem__
+        out = [head + b"".join(map(get, p)) for head, p in parts]
+        for c in extra:
+            del self.seen[c]
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[tuple, Encoder] = {}
