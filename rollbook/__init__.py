@@ -1,0 +1 @@
+"""Attendance risk analytics on Spark."""

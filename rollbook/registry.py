@@ -2,14 +2,232 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import expressions as X
+from .functions import features as C
+from .operators import days, lessons, metrics, sampling
+from .oracles import sql
+from .plans import tasks
+from .plans.prepare import Prepared, prepare
+from .plans.scoring import scoring_frames
+from .sources import derived, files
+
+DAY = ["student_id", "date"]
+LESSON = ["student_id", "date", "lesson_id"]
+_STRINGS = {"student_id", "school_id", "class_id", "grade", "stage", "term_id", "academic_year", "previous_academic_year", "lesson_id", "subject", "lesson_time_bin", "weekday_name", "absence_validity", "years", "split", "next_school_day_weekday_name", *C.EXTRA_CATEGORICAL["lesson"], "feature_group"}
+_DATES = {"date", "score_date", "target_date"}
+_FLAGS = {"has_attendance_record", "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing", "daily_any_substantial_miss", "registration_complete", "is_instructional_day", "future_horizon_complete"}
+_TIMES = {"scheduled_start_at", "record_created_at", "record_updated_at"}
+
+
+def _plain(c: str) -> bool:
+    return c in _STRINGS | _DATES | _FLAGS | _TIMES
+
+
+def out(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Columns in the types both engines agree on: numbers as doubles of nine places."""
+    return df.select(*(F.col(c) if _plain(c) else F.round(F.col(c).cast("double"), 9).alias(c) for c in dict.fromkeys(cols)))
+
+
+def select(cols: list[str], frm: str) -> str:
+    return "SELECT " + ", ".join(f"{c}" if _plain(c) else f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in dict.fromkeys(cols)) + f" FROM {frm}"
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def add(name: str, build: Callable[[SparkSession, str], DataFrame], cols: list[str], frm: str | None = None, which: str = "has_attendance_record", raw: str | None = None) -> None:
+    """Register a query; ``frm`` is what its SQL selects from, ``raw`` a final SELECT of its own."""
+    _QUERIES[name] = lambda spark, d: out(build(spark, d), cols)
+    if frm or raw:
+        _SQL[name] = sql(raw or select(cols, frm), which)
+
+
+def inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return derived.attendance_events(spark, d), derived.student_schedule(spark, d), derived.school_calendar(spark, d)
+
+
+def lesson_rows(spark: SparkSession, d: str) -> DataFrame:
+    return lessons.lesson_frame(*inputs(spark, d))
+
+
+def prepared(spark: SparkSession, d: str) -> Prepared:
+    return prepare(*inputs(spark, d))
+
+
+def day_rows(spark: SparkSession, d: str) -> DataFrame:
+    return prepared(spark, d).student_day
+
+
+_SCHEDULE = ["school_id", "class_id", "grade", "lesson_id", "subject", "scheduled_start_at", "scheduled_minutes"]
+_ATTENDANCE = [*_SCHEDULE, "term_id", "attended_minutes", "missed_minutes", "absence_validity", "record_created_at", "record_updated_at"]
+_CALENDAR = ["school_id", "date", "term_id", "is_instructional_day", "school_day_index"]
+add("contract_attendance", derived.attendance_events, [*DAY, *_ATTENDANCE], "att0")
+add("contract_schedule", derived.student_schedule, [*DAY, *_SCHEDULE], "sched")
+add("contract_calendar", derived.school_calendar, _CALENDAR, "cal")
+add("dedup_latest_attendance", lambda s, d: lessons.dedup_attendance(derived.attendance_events(s, d)), [*DAY, *_ATTENDANCE], "att")
+add("dedup_schedule", lambda s, d: lessons.dedup_schedule(derived.student_schedule(s, d)), [*DAY, *_SCHEDULE], "(SELECT DISTINCT * FROM sched)")
+add("dedup_calendar", lambda s, d: lessons.dedup_calendar(derived.school_calendar(s, d)), _CALENDAR, "cal")
+add("lesson_frame", lesson_rows, [*LESSON, *_SCHEDULE, "term_id", "is_instructional_day", "school_day_index", "academic_year", "stage", "attended_minutes", "missed_minutes", "absence_validity", "has_attendance_record", "lesson_start_minutes", "lesson_time_bin", "weekday", "miss_share", "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
+add("lesson_flags", lesson_rows, [*LESSON, "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
+add("minutes_inference", lesson_rows, [*LESSON, "has_attendance_record", "attended_minutes", "missed_minutes", "miss_share"], "lesson")
+add("grade_stage", lambda s, d: derived.student_schedule(s, d).select("grade").distinct().withColumns({"stage": X.grade_to_stage(F.col("grade")), "grade_numeric": X.number(F.col("grade"))}), ["grade", "stage", "grade_numeric"],
+    raw="SELECT DISTINCT grade, CASE WHEN grade IN ('F','1','2','3') THEN 'F-3' WHEN grade IN ('4','5','6') THEN '4-6' ELSE '7-9' END AS stage, round(TRY_CAST(grade AS DOUBLE), 9) AS grade_numeric FROM sched")
+add("academic_year_labels", lambda s, d: derived.student_schedule(s, d).select("date").distinct().withColumn("academic_year", X.academic_year(F.col("date"))).withColumn("previous_academic_year", X.previous_academic_year(F.col("academic_year"))), ["date", "academic_year", "previous_academic_year"],
+    raw="SELECT DISTINCT date, printf('%d/%02d', year(date - INTERVAL 7 MONTH), (year(date - INTERVAL 7 MONTH) + 1) % 100) AS academic_year, printf('%d/%02d', year(date - INTERVAL 7 MONTH) - 1, year(date - INTERVAL 7 MONTH) % 100) AS previous_academic_year FROM sched")
+add("weekday_names", lambda s, d: derived.student_schedule(s, d).select("date").distinct().withColumns({"weekday": F.weekday("date"), "weekday_name": X.weekday_name(F.col("date"))}), ["date", "weekday", "weekday_name"],
+    raw="SELECT DISTINCT date, CAST(isodow(date) - 1 AS DOUBLE) AS weekday, lower(dayname(date)) AS weekday_name FROM sched")
+add("safe_ratio", lambda s, d: day_rows(s, d).select(*DAY, X.safe_divide(F.col("daily_missed_minutes"), F.col("daily_recorded_minutes")).alias("ratio")), [*DAY, "ratio"], "(SELECT *, daily_missed_ratio AS ratio FROM day2)")
+_TOTALS = ["total_scheduled_lessons", "total_scheduled_minutes", "first_lesson_start", "last_lesson_start", "subject_count", "morning_lessons", "afternoon_lessons"]
+add("schedule_day", lambda s, d: days.schedule_day(lesson_rows(s, d)), [*days.DAY_KEYS, *_TOTALS, *C.GROUPS["calendar"]], "sday")
+add("calendar_gaps", lambda s, d: days.schedule_day(lesson_rows(s, d)), [*DAY, *C.GROUPS["calendar"]], "sday")
+_DAILY = [*C.GROUPS["daily_raw"], "daily_partial_miss_lessons", "daily_any_substantial_miss"]
+add("daily_attendance", lambda s, d: days.day_totals(lesson_rows(s, d)), [*DAY, *_DAILY], "day2")
+add("validity_minutes", lambda s, d: days.day_totals(lesson_rows(s, d)), [*DAY, "daily_giltig_missed_minutes", "daily_ogiltig_missed_minutes"], "day2")
+add("registration_complete", lambda s, d: days.day_totals(lesson_rows(s, d)), [*DAY, "registration_complete"], "day2")
+_ROLL = C.GROUPS["rolling_short"] + C.GROUPS["rolling_long"]
+add("rolling_ratios", lambda s, d: days.with_rolling(days.day_totals(lesson_rows(s, d))), [*DAY, *(c for c in _ROLL if c.endswith(("missed_ratio", "giltig_ratio")))], "sd")
+add("rolling_means", lambda s, d: days.with_rolling(days.day_totals(lesson_rows(s, d))), [*DAY, *(c for c in _ROLL if c.endswith(("partial_ratio", "day_rate")))], "sd")
+add("trend", lambda s, d: days.with_rolling(days.day_totals(lesson_rows(s, d))), [*DAY, "trend_5_vs_20_missed_ratio"], "sd")
+add("streaks", lambda s, d: days.with_streaks(days.day_totals(lesson_rows(s, d))), [*DAY, *C.GROUPS["streaks"][:2]], "streak")
+add("days_since", lambda s, d: days.with_streaks(days.day_totals(lesson_rows(s, d))), [*DAY, *C.GROUPS["streaks"][2:]], "streak")
+add("term_cumulative", lambda s, d: days.with_term_to_date(days.day_totals(lesson_rows(s, d))), [*DAY, "term_id", *C.GROUPS["term_cumulative"], *(f"term_cumulative_{x}_minutes" for x in ("missed", "recorded", "giltig_missed", "ogiltig_missed"))], "sd")
+add("term_progress", day_rows, [*DAY, "term_total_school_days", "term_days_remaining", "term_progress_ratio"], "sd")
+add("prior_year", day_rows, [*DAY, "previous_academic_year", *C.GROUPS["prior_year"]], "sd")
+add("student_day", day_rows, [*days.DAY_KEYS, *_TOTALS, *C.GROUPS["calendar"], *_DAILY, *_ROLL, *C.GROUPS["streaks"], *C.GROUPS["trend"], *C.GROUPS["term_cumulative"], *C.GROUPS["prior_year"], "term_days_remaining", "term_progress_ratio", "registration_complete"], "sd")
+_SHORT = ["future_horizon_complete", "target_short_horizon", *C.GROUPS["schedule_future"], *C.GROUPS["schedule_next_day"], "next_school_day_weekday_name"]
+add("short_horizon_frame", lambda s, d: tasks.short_horizon_frame(day_rows(s, d), 5), [*DAY, *_SHORT], "short")
+add("next_school_day", lambda s, d: tasks.short_horizon_frame(day_rows(s, d), 5), [*DAY, *C.GROUPS["schedule_next_day"], "next_school_day_weekday_name"], "short")
+
+
+def _task_columns(name: str) -> list[str]:
+    return list(dict.fromkeys([*C.id_columns(name), C.target_of(name), *sum(C.resolve(C.DEFAULT_GROUPS[name], name), [])]))
+
+
+add("short_horizon_dataset", lambda s, d: tasks.short_horizon(prepared(s, d)).frame, _task_columns("short_horizon"), "short WHERE future_horizon_complete")
+for _k, _t in ((10, 0.10), (20, 0.20)):
+    add(f"chronic_{_k}", lambda s, d, t=_t: tasks.chronic(prepared(s, d), t).frame, _task_columns(f"chronic_{_k}"), "chronic")
+    add(f"chronic_year_{_k}", lambda s, d, t=_t: tasks.chronic_year(prepared(s, d), t).frame, _task_columns(f"chronic_year_{_k}"), "chronic_year")
+add("year_cumulative", lambda s, d: tasks.year_to_date(day_rows(s, d)), [*DAY, "year_cumulative_missed_ratio", "gap_to_year_10pct", "gap_to_year_20pct", "year_school_days_elapsed"], "chronic_year")
+add("term1_finals", lambda s, d: tasks.with_term1_actuals(tasks.year_to_date(day_rows(s, d))), [*DAY, "is_term2", *(f"term1_actual_{k}_ratio" for k in ("missed", "giltig", "ogiltig"))], "chronic_year")
+add("year_calendar", lambda s, d: tasks.year_calendar(derived.school_calendar(s, d)), ["school_id", "academic_year", "year_total_school_days"], raw="SELECT school_id, printf('%d/%02d', y0, (y0 + 1) % 100) AS academic_year, round(CAST(year_total_school_days AS DOUBLE), 9) AS year_total_school_days FROM year_cal")
+_TARGET = ["target_scheduled_minutes", "target_lesson_start_minutes", *C.EXTRA_CATEGORICAL["lesson"]]
+for _s, _by in tasks.SLOTS.items():
+    _hist = [f"hist_{_s}_lesson_count", f"hist_{_s}_substantial_rate"]
+    _name = {"subject_weekday_timebin": "combined"}.get(_s, _s)
+    add(f"slot_history_{_name}", lambda s, d, slot=_s: tasks.slot_history(lesson_rows(s, d), slot), ["student_id", *_by, "date", *_hist], f"slot_{_s}")
+
+    def _asof(s, d, slot=_s):
+        p = prepared(s, d)
+        frame = tasks.expand_lessons(p.lesson_frame, p.student_day, 5)
+        history = tasks.slot_history(p.lesson_frame, slot).withColumnsRenamed({c: f"target_{c}" for c in tasks.SLOTS[slot]})
+        return tasks.asof_join(frame, history, ["student_id", *(f"target_{c}" for c in tasks.SLOTS[slot])], "score_date", "date", [f"hist_{slot}_lesson_count", f"hist_{slot}_substantial_rate"], 0.0)
+
+    add(f"asof_{_name}", _asof, [*LESSON, "score_date", *_hist], "asof_subject_weekday_timebin")
+add("lesson_expand", lambda s, d: (lambda p: tasks.expand_lessons(p.lesson_frame, p.student_day, 5))(prepared(s, d)), [*LESSON, "score_date", "horizon_school_days", "target_label", "roll_5d_missed_ratio"], "expanded")
+add("lesson_day_flags", lambda s, d: tasks.with_target_flags(lesson_rows(s, d).where("has_attendance_record")), [*LESSON, *_TARGET], "flags")
+add("lesson_dataset", lambda s, d: tasks.lesson(prepared(s, d)).frame, _task_columns("lesson"), "asof_subject_weekday_timebin")
+
+
+def _class(spark: SparkSession, d: str) -> tuple[str, str, str]:
+    """The class and date to score: the student-day with the smallest md5 of 1998 dates."""
+    days_ = derived.student_schedule(spark, d).where("weekday(date) < 5 AND day(date) <> 13 AND year(date) = 1998")
+    r = days_.select(F.min(F.concat_ws("|", "date", "school_id", "class_id"))).first()[0]
+    return tuple(r.split("|"))
+
+
+_COHORT = "(SELECT min(strftime(date, '%Y-%m-%d') || '|' || school_id || '|' || class_id) AS k FROM sched WHERE isodow(date) < 6 AND day(date) <> 13 AND year(date) = 1998)"
+_IN_CLASS = f"strftime({{date}}, '%Y-%m-%d') || '|' || school_id || '|' || class_id = (SELECT k FROM {_COHORT})"
+
+
+def _score(kind: str):
+    def build(spark, d):
+        as_of, school, klass = _class(spark, d)
+        return getattr(scoring_frames(prepared(spark, d), as_of, school, klass, check=False), kind)
+
+    return build
+
+
+def _score_columns(task: str) -> list[str]:
+    ids = ["student_id", "school_id", "class_id", "grade", "stage"]
+    return list(dict.fromkeys([*ids, *(["score_date", "target_date", "lesson_id"] if task == "lesson" else ["date"]), *sum(C.resolve(C.DEFAULT_GROUPS[task], task), [])]))
+
+
+_TODAY = _IN_CLASS.format(date="date")
+add("score_short_horizon", _score("short_horizon"), _score_columns("short_horizon"), f"short WHERE {_TODAY}")
+add("score_chronic", _score("chronic"), _score_columns("chronic_10"), f"chronic WHERE {_TODAY}")
+add("score_chronic_year", _score("chronic_year"), _score_columns("chronic_year_10"), f"chronic_year WHERE {_TODAY}")
+add("score_lesson", _score("lesson"), _score_columns("lesson"), f"(SELECT *, date AS target_date FROM asof_subject_weekday_timebin) x WHERE (student_id, score_date) IN (SELECT (student_id, date) FROM sd WHERE {_TODAY})", which="TRUE")
+
+
+def _scored_days(spark, d):
+    """Chronic rows with a stand-in score: the missed ratio of the last 20 days, 0 where unknown."""
+    return tasks.chronic(prepared(spark, d), 0.10).frame.withColumn("score", F.coalesce(F.round("roll_20d_missed_ratio", 9), F.lit(0.0)))
+
+
+_SCORED = "(SELECT *, coalesce(round(roll_20d_missed_ratio, 9), 0) AS score, target_chronic_10 AS y FROM chronic) "
+_IDS = ["date", "student_id", "lesson_id"]
+add("split_by_year", lambda s, d: day_rows(s, d).withColumn("split", F.when(F.col("academic_year").isin("1994/95", "1995/96", "1996/97"), "train").when(F.col("academic_year") == "1997/98", "validation").when(F.col("academic_year") == "1998/99", "test")).where("split IS NOT NULL"), [*DAY, "academic_year", "split"],
+    raw="SELECT student_id, date, academic_year, CASE WHEN y0 < 1997 THEN 'train' WHEN y0 = 1997 THEN 'validation' ELSE 'test' END AS split FROM sd WHERE y0 <= 1998")
+add("binary_metrics", lambda s, d: metrics.basics(_scored_days(s, d), "target_chronic_10", "score"), ["row_count", "positive_rate", "brier"],
+    raw=f"SELECT round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(y), 9) AS positive_rate, round(avg((score - y) * (score - y)), 9) AS brier FROM {_SCORED} x")
+add("brier", lambda s, d: metrics.basics(_scored_days(s, d), "target_chronic_10", "score", ["stage"]), ["stage", "brier"], raw=f"SELECT stage, CASE WHEN count(DISTINCT y) > 1 THEN round(avg((score - y) * (score - y)), 6) END AS brier FROM {_SCORED} x GROUP BY stage")
+add("precision_at_k", lambda s, d: metrics.precision_at(_scored_days(s, d), "target_chronic_10", "score", 0.05, DAY), ["precision"],
+    raw=f"SELECT round(avg(y), 9) AS precision FROM (SELECT y, row_number() OVER (ORDER BY score DESC, student_id, date) AS r, count(*) OVER () AS n FROM {_SCORED} x) WHERE r <= greatest(1, ceil(n * 0.05))")
+_AP = "SELECT {g}round(sum(p / pos * tp / alln), 9) AS pr_auc FROM (SELECT *, sum(p) OVER (PARTITION BY g ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY g ORDER BY score DESC) AS alln, sum(p) OVER (PARTITION BY g) AS pos FROM (SELECT {by} AS g, score, sum(y) AS p, count(*) AS n FROM " + _SCORED + " x GROUP BY ALL)) GROUP BY ALL"
+add("average_precision", lambda s, d: metrics.average_precision(_scored_days(s, d), "target_chronic_10", "score"), ["pr_auc"], raw=_AP.format(g="", by="1"))
+add("stage_metrics", lambda s, d: metrics.group_metrics(_scored_days(s, d), "stage", "target_chronic_10", "score", [0.05], DAY), ["stage", "row_count", "positive_rate", "brier", "pr_auc", "precision_at_0.05"],
+    raw=f"""SELECT stage, round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(y), 9) AS positive_rate, round(avg((score - y) * (score - y)), 9) AS brier, any_value(a.pr_auc) AS pr_auc,
+      round(avg(y) FILTER (r <= greatest(1, ceil(n * 0.05))), 9) AS "precision_at_0.05"
+      FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, student_id, date) AS r, count(*) OVER (PARTITION BY stage) AS n FROM {_SCORED} x) x
+      JOIN ({_AP.format(g='g AS stage, ', by='stage')}) a USING (stage) GROUP BY stage HAVING count(*) >= 25""")
+
+
+def _scored_lessons(spark, d):
+    """The lesson dataset with a stand-in score: the rate of the combined slot history."""
+    return tasks.lesson(prepared(spark, d)).frame.withColumn("score", F.round("hist_subject_weekday_timebin_substantial_rate", 6))
+
+
+_LESSONS = "(SELECT *, round(hist_subject_weekday_timebin_substantial_rate, 6) AS score FROM asof_subject_weekday_timebin)"
+_LSUM = f"(SELECT date, school_id, class_id, lesson_id, round(sum(score), 6) AS e, sum(target_label) AS a FROM {_LESSONS} GROUP BY ALL)"
+
+
+def _lesson_totals(spark, d):
+    return metrics.lesson_totals(_scored_lessons(spark, d), "score", "target_label").withColumn("expected_absence", F.round("expected_absence", 6))
+
+
+add("lesson_aggregate_metrics", lambda s, d: metrics.lesson_metrics(_lesson_totals(s, d), [0.05]), ["lesson_count", "rank_correlation", "mae_expected_absence", "lesson_hit_rate_at_0.05"],
+    raw=f"""SELECT round(CAST(count(*) AS DOUBLE), 9) AS lesson_count, round(corr(re, ra), 9) AS rank_correlation, round(avg(abs(e - a)), 9) AS mae_expected_absence,
+      round(count(*) FILTER (pe <= k AND pa <= k) / any_value(k), 9) AS "lesson_hit_rate_at_0.05"
+      FROM (SELECT *, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS re, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra,
+        row_number() OVER (ORDER BY e DESC, date, school_id, class_id, lesson_id) AS pe, row_number() OVER (ORDER BY a DESC, date, school_id, class_id, lesson_id) AS pa, ceil(count(*) OVER () * 0.05) AS k FROM {_LSUM})""")
+add("expected_absence", lambda s, d: metrics.expected_absence(_scored_lessons(s, d).withColumnsRenamed({"date": "target_date", "score": "lesson_absence_prob"})), ["target_date", "lesson_id", "target_subject", "target_lesson_start_minutes", "lesson_expected_absence"],
+    raw=f"SELECT date AS target_date, lesson_id, target_subject, round(CAST(target_lesson_start_minutes AS DOUBLE), 9) AS target_lesson_start_minutes, round(sum(score), 9) AS lesson_expected_absence FROM {_LESSONS} WHERE target_lesson_start_minutes IS NOT NULL AND target_subject IS NOT NULL GROUP BY ALL")
+add("feature_summary", lambda s, d: files.feature_summary(tasks.chronic(prepared(s, d), 0.10).frame, "target_chronic_10"), ["row_count", "positive_rate", "years"],
+    raw="SELECT round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(target_chronic_10), 9) AS positive_rate, string_agg(DISTINCT academic_year, ',' ORDER BY academic_year) AS years FROM chronic")
+_DRAW = "md5(student_id || '|' || strftime(date, '%Y-%m-%d') || '|' || '42')"
+add("negative_sampling", lambda s, d: sampling.sample_negatives(tasks.short_horizon(prepared(s, d)).frame, "target_short_horizon", 0.25, DAY, 42), [*DAY, "target_short_horizon"],
+    raw=f"SELECT student_id, date, round(CAST(target_short_horizon AS DOUBLE), 9) AS target_short_horizon FROM (SELECT *, row_number() OVER (PARTITION BY target_short_horizon ORDER BY {_DRAW}, student_id, date) AS r, sum(target_short_horizon) OVER () AS p FROM short WHERE future_horizon_complete) WHERE target_short_horizon = 1 OR r <= floor(p * 0.25)")
+add("row_cap", lambda s, d: (lambda f: sampling.cap_rows(f, "target_chronic_20", int(f.count() * 0.75), DAY, 42))(tasks.chronic(prepared(s, d), 0.20).frame), [*DAY, "target_chronic_20"],
+    raw=f"SELECT student_id, date, round(CAST(target_chronic_20 AS DOUBLE), 9) AS target_chronic_20 FROM (SELECT *, row_number() OVER (PARTITION BY target_chronic_20 ORDER BY {_DRAW}, student_id, date) AS r, sum(target_chronic_20) OVER () AS p, count(*) OVER () AS n FROM chronic) WHERE target_chronic_20 = 1 OR r <= floor(n * 0.75) - p")
+add("search_sample", lambda s, d: sampling.sample_fraction(tasks.chronic(prepared(s, d), 0.20).frame, 0.5, DAY, 42), DAY,
+    raw=f"SELECT student_id, date FROM (SELECT *, row_number() OVER (ORDER BY {_DRAW}, student_id, date) AS r, count(*) OVER () AS n FROM chronic) WHERE r <= floor(n * 0.5 + 0.5)")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Student-days, those with the highest missed ratio of the last five days first."""
+    rows = _QUERIES["student_day"](spark, sf_dir)
+    return rows.orderBy(F.col("roll_5d_missed_ratio").desc_nulls_last(), *DAY)
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
