@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .tokens import LIMIT, LONGEST, vocabulary
@@ -208,7 +209,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=[*b.schema.names, "ids", "ids_crc32"])
 
     rows = docs.drop("ids", "ids_crc32")
-    return rows.mapInArrow(run, rows.schema.add("ids", "array<int>").add("ids_crc32", "long"))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_crc32", T.LongType())]))
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -222,7 +223,7 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", out: str = "decoded
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])
 
     rows = encoded.drop(out)
-    return rows.mapInArrow(run, rows.schema.add(out, "string"))
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + [T.StructField(out, T.StringType())]))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
