@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart, with that language; texts without a letter or with a narrow margin go."""
     ship(spark)
-    out = language_id.identify(docs.drop("lang"), language_id.fit(docs))
+    out = language_id.identify(docs.drop("lang"), language_id.fit(docs), keep_text=True)
     return out.where("NOT rejected").withColumn("lang", F.col("lang_pred")).select(COLUMNS)
 
 

@@ -56,7 +56,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return {k: " ".join(x for x in v if x).encode() for k, v in texts.items() if any(v)}
 
 
-def _identify(dictionaries: dict[str, bytes]):
+def _identify(dictionaries: dict[str, bytes], keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as z
 
@@ -79,14 +79,15 @@ def _identify(dictionaries: dict[str, bytes]):
                 sizes = sorted((sum(map(len, map(c, pieces))), k) for c, k in zip(coders, names, strict=True))
                 langs.append(sizes[0][1])
                 scores.append(1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
-            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            n = batch.num_columns - (not keep_text)
+            columns = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n], "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """All columns of ``docs`` but ``text``, then ``lang_pred``, ``score`` and ``rejected``.
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN, keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, ``text`` only with ``keep_text``, then ``lang_pred``, ``score`` and ``rejected``.
 
     Null text or text without a letter: ``und`` with score 0, rejected. With one language its score is
     1. Equal sizes go to the first language by name, with score 0. Whole texts are encoded. Columns
@@ -94,8 +95,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """
     names = [c for c in docs.columns if c not in (text, "lang_pred", "score", "rejected")]
     rows = docs.select(*names, text)
-    schema = rows.drop(text).schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_identify(dictionaries), schema).withColumn("rejected", F.col("score") < min_margin)
+    schema = (rows if keep_text else rows.drop(text)).schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(_identify(dictionaries, keep_text), schema).withColumn("rejected", F.col("score") < min_margin)
 
 
 def held_out(doc_id: Column) -> Column:
