@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import table
@@ -95,7 +96,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """
     names = [c for c in docs.columns if c not in (text, "lang_pred", "score", "rejected")]
     rows = docs.select(*names, text)
-    schema = (rows if keep_text else rows.drop(text)).schema.add("lang_pred", "string").add("score", "double")
+    kept = [f for f in rows.schema.fields if keep_text or f.name != text]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_identify(dictionaries, keep_text), schema).withColumn("rejected", F.col("score") < min_margin)
 
 
