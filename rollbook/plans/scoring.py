@@ -1,64 +1,84 @@
 """Frames for scoring one class as of a date.
 
-The cohort is found first and everything is limited to its students before any window: all windows are
-within a student, so the result is the same and the work small.
+The cohort is found in the lessons and everything is limited to its students before any window: all
+windows are within a student, so the result is the same and the work small.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Modeling
 from ..functions import features as C
-from ..operators.days import with_common
+from ..operators.days import DAY_KEYS, student_day, with_common
 from . import tasks
-from .prepare import Prepared
+
+IDS = ["student_id", "school_id", "class_id", "grade", "stage"]
+
+
+def _columns(task: str) -> list[str]:
+    return sum(C.resolve(C.DEFAULT_GROUPS[task], task), [])
 
 
 @dataclass
-class ScoringFrames:
-    short_horizon: DataFrame
-    chronic: DataFrame
-    chronic_year: DataFrame
-    lesson: DataFrame
-
-
-def cohort(days: DataFrame, as_of: str, school_id: str, class_id: str) -> DataFrame:
-    """Student-days of the class on the date."""
-    return days.where((F.col("date") == F.lit(as_of).cast("date")) & (F.col("school_id").cast("string") == str(school_id)) & (F.col("class_id").cast("string") == str(class_id)))
-
-
-def scoring_frames(p: Prepared, as_of: str, school_id: str, class_id: str, m: Modeling | None = None, start_month: int = 8, check: bool = True) -> ScoringFrames:
-    """The four frames; ``ValueError`` if the class has no student that day."""
-    m = m or Modeling()
-    today = cohort(p.student_day, as_of, school_id, class_id)
-    if check and today.isEmpty():
-        raise ValueError(f"No scored students found for school={school_id} class={class_id} on {as_of}")
-    students = today.select("student_id").distinct()
-    days = p.student_day.join(students, "student_id", "left_semi")
-    lessons = p.lesson_frame.join(students, "student_id", "left_semi")
-    ids = ["date", "student_id", "school_id", "class_id", "grade", "stage"]
-    pick = lambda df, task, groups=None: df.select(*dict.fromkeys([*ids, *sum(C.resolve(groups or C.DEFAULT_GROUPS[task], task), [])]))
-
-    short = cohort(tasks.short_horizon_frame(days, m.short_horizon_school_days), as_of, school_id, class_id)
-    term = cohort(with_common(days), as_of, school_id, class_id).transform(tasks._with_term_gaps)
-    known = days.where(F.col("date") <= F.lit(as_of).cast("date"))
-    year = cohort(with_common(known).transform(tasks.with_year_level, p.calendar, start_month), as_of, school_id, class_id)
-
-    score = tasks.day_positions(days)
-    now = cohort(with_common(days), as_of, school_id, class_id).select(F.col("student_id").alias("__s"))
-    current = score.where(F.col("score_date") == F.lit(as_of).cast("date")).join(now.distinct(), F.col("student_id") == F.col("__s"), "left_semi")
-    current = current.withColumnsRenamed({"student_id": "__student", "pos": "__pos"})
-    ahead = score.select(F.col("student_id").alias("__who"), F.col("score_date").alias("__date"), F.col("pos").alias("__at"))
-    ahead = ahead.join(current, F.col("__who") == F.col("__student")).withColumn("horizon_school_days", F.col("__at") - F.col("__pos"))
-    ahead = ahead.where(F.col("horizon_school_days").between(1, m.lesson_horizon_school_days))
-    # only the lessons of those days, all of them: the flags look at the whole day
-    target = tasks.with_target_flags(lessons)
-    frame = target.join(ahead, (F.col("student_id") == F.col("__who")) & (F.col("date") == F.col("__date"))).drop("__who", "__student", "__date", "__at", "__pos")
-    frame = frame.transform(tasks.with_target_day, days).transform(tasks.with_histories, lessons)
-    frame = frame.select("score_date", F.col("date").alias("target_date"), *ids[1:], "lesson_id", *sum(C.resolve(C.DEFAULT_GROUPS["lesson"], "lesson"), []))
-    frame = frame.select(*dict.fromkeys(frame.columns))
-    return ScoringFrames(pick(short, "short_horizon"), pick(term, "chronic_10"), pick(year, "chronic_year_10"), frame)
+class Scoring:
+    """Scoring frames of the students whom the class has on ``as_of``."""
+
+    lesson_frame: DataFrame
+    calendar: DataFrame
+    as_of: str
+    school_id: str
+    class_id: str
+    modeling: Modeling = field(default_factory=Modeling)
+    start_month: int = 8
+
+    def __post_init__(self) -> None:
+        today = self._today(self.lesson_frame).dropna(subset=DAY_KEYS)
+        self.students = today.select(F.col("student_id").alias("__cohort")).distinct()
+        self.lessons = self.lesson_frame.join(self.students, F.col("student_id") == F.col("__cohort"), "left_semi")
+        self.days = student_day(self.lessons, self.calendar)
+
+    def _date(self):
+        return F.lit(self.as_of).cast("date")
+
+    def _today(self, df: DataFrame) -> DataFrame:
+        in_class = (F.col("school_id").cast("string") == str(self.school_id)) & (F.col("class_id").cast("string") == str(self.class_id))
+        return df.where((F.col("date") == self._date()) & in_class)
+
+    def check(self) -> Scoring:
+        """``ValueError`` if the class has no student that day."""
+        if self.students.isEmpty():
+            raise ValueError(f"No scored students found for school={self.school_id} class={self.class_id} on {self.as_of}")
+        return self
+
+    def _pick(self, df: DataFrame, task: str) -> DataFrame:
+        return self._today(df).select(*dict.fromkeys(["date", *IDS, *_columns(task)]))
+
+    def short_horizon(self) -> DataFrame:
+        return self._pick(tasks.short_horizon_frame(self.days, self.modeling.short_horizon_school_days), "short_horizon")
+
+    def chronic(self) -> DataFrame:
+        return self._pick(tasks.with_term_gaps(with_common(self.days)), "chronic_10")
+
+    def chronic_year(self) -> DataFrame:
+        known = with_common(self.days).where(F.col("date") <= self._date())
+        return self._pick(tasks.with_year_level(known, self.calendar, self.start_month), "chronic_year_10")
+
+    def lesson(self) -> DataFrame:
+        """Lessons of the next school days; first and last flags look at all scheduled lessons of a day."""
+        score = tasks.day_positions(self.days)
+        # a student's features of the date, for the class's own rows only
+        rows = self._today(with_common(self.days)).select(F.col("student_id").alias("__s")).distinct()
+        now = score.where(F.col("score_date") == self._date()).join(rows, F.col("student_id") == F.col("__s"), "left_semi")
+        now = now.withColumnsRenamed({"student_id": "__student", "pos": "__pos"})
+        ahead = score.select(F.col("student_id").alias("__who"), F.col("score_date").alias("__date"), F.col("pos").alias("__at"))
+        ahead = ahead.join(now, F.col("__who") == F.col("__student")).withColumn("horizon_school_days", F.col("__at") - F.col("__pos"))
+        ahead = ahead.where(F.col("horizon_school_days").between(1, self.modeling.lesson_horizon_school_days))
+        target = tasks.with_target_flags(self.lessons)
+        frame = target.join(ahead, (F.col("student_id") == F.col("__who")) & (F.col("date") == F.col("__date"))).drop("__who", "__student", "__date", "__at", "__pos")
+        frame = frame.transform(tasks.with_target_day, self.days).transform(tasks.with_histories, self.lessons)
+        frame = frame.withColumn("target_date", F.col("date"))
+        return frame.select(*dict.fromkeys(["score_date", "target_date", *IDS, "lesson_id", *_columns("lesson")]))

@@ -71,7 +71,7 @@ def short_horizon(p: Prepared, m: Modeling | None = None, years: list[str] | Non
     return _task("short_horizon", frame.where("future_horizon_complete"), years)
 
 
-def _with_term_gaps(days: DataFrame) -> DataFrame:
+def with_term_gaps(days: DataFrame) -> DataFrame:
     return days.withColumns({f"gap_to_{k}pct": F.lit(t) - F.col("term_cumulative_missed_ratio") for k, t in ((10, 0.10), (20, 0.20))})
 
 
@@ -84,7 +84,7 @@ def chronic(p: Prepared, threshold: float, years: list[str] | None = None) -> Ta
     """Every student-day; does the term's final missed ratio reach the threshold?"""
     k = X.percent(threshold)
     frame = with_common(p.student_day).withColumn(f"target_chronic_{k}", X.reached(_final_ratio("term_id"), threshold))
-    return _task(f"chronic_{k}", _with_term_gaps(frame), years)
+    return _task(f"chronic_{k}", with_term_gaps(frame), years)
 
 
 def year_to_date(days: DataFrame, start_month: int = 8) -> DataFrame:
@@ -122,7 +122,7 @@ def with_year_progress(days: DataFrame, calendar: DataFrame, start_month: int =
 
 
 def with_year_level(days: DataFrame, calendar: DataFrame, start_month: int = 8) -> DataFrame:
-    return days.transform(_with_term_gaps).transform(year_to_date, start_month).transform(with_term1_actuals).transform(with_year_progress, calendar, start_month)
+    return days.transform(with_term_gaps).transform(year_to_date, start_month).transform(with_term1_actuals).transform(with_year_progress, calendar, start_month)
 
 
 def chronic_year(p: Prepared, threshold: float, start_month: int = 8, years: list[str] | None = None) -> Task:

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import features as C
+from .ml.encode import Encoder
+from .ml.models import Model, calibrate, fit_candidate, permutation_importance
 from .operators import days, lessons, metrics, sampling
 from .oracles import sql
 from .plans import tasks
 from .plans.prepare import Prepared, prepare
-from .plans.scoring import scoring_frames
+from .plans.scoring import Scoring
 from .sources import derived, files
 
 DAY = ["student_id", "date"]
@@ -30,7 +32,7 @@ def _plain(c: str) -> bool:
 
 def out(df: DataFrame, cols: list[str]) -> DataFrame:
     """Columns in the types both engines agree on: numbers as doubles of nine places."""
-    return df.select(*(F.col(c) if _plain(c) else F.round(F.col(c).cast("double"), 9).alias(c) for c in dict.fromkeys(cols)))
+    return df.select(*(F.col(c) if _plain(c) else F.round(F.col(f"`{c}`").cast("double"), 9).alias(c) for c in dict.fromkeys(cols)))
 
 
 def select(cols: list[str], frm: str) -> str:
@@ -147,8 +149,8 @@ _IN_CLASS = f"strftime({{date}}, '%Y-%m-%d') || '|' || school_id || '|' || class
 
 def _score(kind: str):
     def build(spark, d):
-        as_of, school, klass = _class(spark, d)
-        return getattr(scoring_frames(prepared(spark, d), as_of, school, klass, check=False), kind)
+        attendance, schedule, calendar = inputs(spark, d)
+        return getattr(Scoring(lessons.lesson_frame(attendance, schedule, calendar), calendar, *_class(spark, d)), kind)()
 
     return build
 
@@ -176,13 +178,13 @@ add("split_by_year", lambda s, d: day_rows(s, d).withColumn("split", F.when(F.co
     raw="SELECT student_id, date, academic_year, CASE WHEN y0 < 1997 THEN 'train' WHEN y0 = 1997 THEN 'validation' ELSE 'test' END AS split FROM sd WHERE y0 <= 1998")
 add("binary_metrics", lambda s, d: metrics.basics(_scored_days(s, d), "target_chronic_10", "score"), ["row_count", "positive_rate", "brier"],
     raw=f"SELECT round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(y), 9) AS positive_rate, round(avg((score - y) * (score - y)), 9) AS brier FROM {_SCORED} x")
-add("brier", lambda s, d: metrics.basics(_scored_days(s, d), "target_chronic_10", "score", ["stage"]), ["stage", "brier"], raw=f"SELECT stage, CASE WHEN count(DISTINCT y) > 1 THEN round(avg((score - y) * (score - y)), 6) END AS brier FROM {_SCORED} x GROUP BY stage")
+add("brier", lambda s, d: metrics.basics(_scored_days(s, d), "target_chronic_10", "score", ["stage"]), ["stage", "brier"], raw=f"SELECT stage, CASE WHEN count(DISTINCT y) > 1 THEN round(avg((score - y) * (score - y)), 9) END AS brier FROM {_SCORED} x GROUP BY stage")
 add("precision_at_k", lambda s, d: metrics.precision_at(_scored_days(s, d), "target_chronic_10", "score", 0.05, DAY), ["precision"],
     raw=f"SELECT round(avg(y), 9) AS precision FROM (SELECT y, row_number() OVER (ORDER BY score DESC, student_id, date) AS r, count(*) OVER () AS n FROM {_SCORED} x) WHERE r <= greatest(1, ceil(n * 0.05))")
-_AP = "SELECT {g}round(sum(p / pos * tp / alln), 9) AS pr_auc FROM (SELECT *, sum(p) OVER (PARTITION BY g ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY g ORDER BY score DESC) AS alln, sum(p) OVER (PARTITION BY g) AS pos FROM (SELECT {by} AS g, score, sum(y) AS p, count(*) AS n FROM " + _SCORED + " x GROUP BY ALL)) GROUP BY ALL"
+_AP = "SELECT {g}CASE WHEN max(pos) < max(tot) THEN round(sum(p / pos * tp / alln), 9) END AS pr_auc FROM (SELECT *, sum(n) OVER (PARTITION BY g) AS tot, sum(p) OVER (PARTITION BY g ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY g ORDER BY score DESC) AS alln, sum(p) OVER (PARTITION BY g) AS pos FROM (SELECT {by} AS g, score, sum(y) AS p, count(*) AS n FROM " + _SCORED + " x GROUP BY ALL)) GROUP BY ALL"
 add("average_precision", lambda s, d: metrics.average_precision(_scored_days(s, d), "target_chronic_10", "score"), ["pr_auc"], raw=_AP.format(g="", by="1"))
 add("stage_metrics", lambda s, d: metrics.group_metrics(_scored_days(s, d), "stage", "target_chronic_10", "score", [0.05], DAY), ["stage", "row_count", "positive_rate", "brier", "pr_auc", "precision_at_0.05"],
-    raw=f"""SELECT stage, round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(y), 9) AS positive_rate, round(avg((score - y) * (score - y)), 9) AS brier, any_value(a.pr_auc) AS pr_auc,
+    raw=f"""SELECT stage, round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(y), 9) AS positive_rate, CASE WHEN count(DISTINCT y) > 1 THEN round(avg((score - y) * (score - y)), 9) END AS brier, any_value(a.pr_auc) AS pr_auc,
       round(avg(y) FILTER (r <= greatest(1, ceil(n * 0.05))), 9) AS "precision_at_0.05"
       FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score DESC, student_id, date) AS r, count(*) OVER (PARTITION BY stage) AS n FROM {_SCORED} x) x
       JOIN ({_AP.format(g='g AS stage, ', by='stage')}) a USING (stage) GROUP BY stage HAVING count(*) >= 25""")
@@ -219,6 +221,60 @@ add("search_sample", lambda s, d: sampling.sample_fraction(tasks.chronic(prepare
     raw=f"SELECT student_id, date FROM (SELECT *, row_number() OVER (ORDER BY {_DRAW}, student_id, date) AS r, count(*) OVER () AS n FROM chronic) WHERE r <= floor(n * 0.5 + 0.5)")
 
 
+#: A fixed model, so that the exported SQL and the expression can be held against each other.
+_FIXED = Model("chronic_10", "logistic", Encoder([("roll_20d_missed_ratio", 0.1, 0.2, 0.25), ("term_cumulative_missed_ratio", 0.15, 0.2, 0.2)], [("weekday_name", "monday", ["friday", "monday"])]),
+    [1.5, 2.25, 0.125, -0.25], -0.5, stages={"F-3": (4.0, -2.0), "4-6": (None, 0.25)}, overall=(3.0, -1.0))
+add("sql_scored_probabilities", lambda s, d: _FIXED.with_probability(tasks.chronic(prepared(s, d), 0.10).frame, "probability"), [*DAY, "probability"],
+    raw="""SELECT student_id, date, round(CASE WHEN stage = 'F-3' THEN 1 / (1 + exp(-(4 * p - 2))) WHEN stage = '4-6' THEN 0.25 ELSE 1 / (1 + exp(-(3 * p - 1))) END, 9) AS probability
+      FROM (SELECT *, 1 / (1 + exp(-(-0.5 + 1.5 * (coalesce(roll_20d_missed_ratio, 0.1) - 0.2) / 0.25 + 2.25 * (coalesce(term_cumulative_missed_ratio, 0.15) - 0.2) / 0.2
+        + 0.125 * (CASE WHEN weekday_name = 'friday' THEN 1 ELSE 0 END) - 0.25 * (CASE WHEN weekday_name = 'monday' THEN 1 ELSE 0 END)))) AS p FROM chronic)""")
+_TRAIN, _SEEN = ["1994/95", "1995/96", "1996/97"], ["1997/98"]
+
+
+def _trained(spark, d, candidate="logistic"):
+    """A chronic model of the first three school years, and its task with rows kept at hand."""
+    task = tasks.chronic(prepared(spark, d), 0.20)
+    task.frame = task.frame.where(F.col("academic_year").isin(_TRAIN + _SEEN)).persist()
+    return fit_candidate(task.frame.where(F.col("academic_year").isin(_TRAIN)), task, candidate, 42), task
+
+
+def _train_logistic(spark, d):
+    model, task = _trained(spark, d)
+    return model.with_raw(task.frame.where(F.col("academic_year").isin(_SEEN)))
+
+
+def _calibrated(spark, d):
+    model, task = _trained(spark, d)
+    seen = task.frame.where(F.col("academic_year").isin(_SEEN))
+    return calibrate(model, seen, task.target).with_probability(seen, "probability")
+
+
+def _boosted(spark, d):
+    model, task = _trained(spark, d, "ebm")
+    return model.with_raw(task.frame.where(F.col("academic_year").isin(_SEEN)))
+
+
+def _importance(spark, d):
+    model, task = _trained(spark, d)
+    return permutation_importance(model, task.frame.where(F.col("academic_year").isin(_SEEN)), task.target, task.ids, repeats=2)
+
+
+def _group_importance(spark, d):
+    """Mean importance by feature group; features of no group count as ``base``."""
+    named = [(c, g) for g, cols in C.GROUPS.items() for c in cols]
+    groups = spark.createDataFrame(named, "feature string, feature_group string")
+    rows = _importance(spark, d).join(groups, "feature", "left").withColumn("feature_group", F.coalesce("feature_group", F.lit("base")))
+    return rows.groupBy("feature_group").agg(F.avg("importance").alias("importance"))
+
+
+_STRINGS.add("feature")
+add("train_logistic", _train_logistic, [*DAY, "raw_score"])
+add("calibrate_by_stage", _calibrated, [*DAY, "stage", "probability"])
+add("ebm_like", _boosted, [*DAY, "raw_score"])
+add("permutation_importance", _importance, ["feature", "importance"])
+add("group_importance", _group_importance, ["feature_group", "importance"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Student-days, those with the highest missed ratio of the last five days first."""
     rows = _QUERIES["student_day"](spark, sf_dir)
