@@ -31,10 +31,10 @@ from .common import materialise, spread, table
 from .components import components
 
 #: Most sets and n-grams of a block, about.
-BLOCK, BLOCK_GRAMS = 1024, 1_000_000
+BLOCK, BLOCK_GRAMS = 4096, 2_000_000
 #: Bits of the filter that texts pass before they are shuffled; its broadcast side has at most BITS / 64 rows.
 BITS = 1 << 23
-FRAGMENT = 2048
+FRAGMENT = 1024
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -134,18 +134,23 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     cut = len(left)
-    overlap = np.zeros((cut, len(sets) - cut if right else cut), np.float64)
+    overlap = np.zeros((cut, len(sets) - cut if right else cut), np.float32)  # counts are exact below 2 ** 24
     width = int((count > 1).sum())
     for lo in range(0, width, FRAGMENT):
         a, b = np.searchsorted(column, (lo, lo + FRAGMENT))
         m = np.zeros((len(sets), min(FRAGMENT, width - lo)), np.float32)
         m[owner[a:b], column[a:b] - lo] = 1
         overlap += m[:cut] @ (m[cut:] if right else m).T
-    union = size[:cut, None] + (size[cut:] if right else size)[None, :] - overlap
-    ok = den * overlap >= num * union
-    if not right:
-        ok = np.triu(ok, 1)
-    return np.argwhere(ok)
+    out = []
+    for i in range(0, cut, 256):  # integers decide; den * overlap >= num * (sizes - overlap)
+        both = overlap[i : i + 256].astype(np.int64)
+        ok = (den + num) * both >= num * (size[i : i + len(both), None] + (size[cut:] if right else size)[None, :])
+        if not right:
+            ok = np.triu(ok, i + 1)
+        found = np.argwhere(ok)
+        found[:, 0] += i
+        out.append(found)
+    return np.concatenate(out) if out else np.zeros((0, 2), int)
 
 
 def _forest(pairs: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
