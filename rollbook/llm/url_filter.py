@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from .common import table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-FEATURES = 1 << 14
+FEATURES = 1 << 18
 GRAMS = (3, 4, 5)
-#: Labelled URLs to train on: 1 is block.
-_BAD = ("cheap-pills", "casino-bonus", "free-viagra", "xxx-videos", "win-money-now", "hot-singles", "payday-loans", "replica-watches", "online-poker", "adult-cams", "weight-loss-miracle", "crack-serials", "free-porn", "best-casino", "buy-pills-online", "cheap-meds", "lottery-winner", "spam-links", "sexy-chat", "bet-jackpot", "ads-server", "ad-tracker", "track-clicks", "banner-ads")
-_GOOD = ("library", "museum", "news", "university", "blog.garden", "recipes", "history", "m.weather", "www.travel", "forum.music", "science", "cityhall", "school", "theater", "ththre", "tionsh", "thther", "therha", "erther", "ingand", "theron", "thnding", "hospital", "tionble")
-LABELS = tuple((f"{s}://{w}{h}.example.{t}{p}", y) for y, hosts in ((1, _BAD), (0, _GOOD)) for i, h in enumerate(hosts) for s, w, t, p in ((("http", "", "com", "/de/12"), ("https", "www.", "org", "/en/page/7.html"), ("https", "blog.", "net", "/es/index?x=1"), ("http", "m.", "org", "/fr/"))[i % 4], (("https", "m.", "net", "/es/404"), ("http", "", "com", "/en/"), ("https", "www.", "org", "/de/a.html"), ("https", "", "com", "/es/3/"))[i % 4]))
+#: Words of hosts to train on; a host of each stands under several names and paths, the same for both kinds.
+_BAD = ("discount-pills", "casino-bonus", "free-viagra", "xxx-videos", "win-money-now", "hot-singles", "payday-loans", "replica-watches", "online-poker", "adult-cams", "weight-loss-miracle", "crack-serials", "free-porn", "best-casino", "buy-pills-online", "cheap-meds", "lottery-winner", "spam-links", "sexy-chat", "bet-jackpot", "ads-server", "ad-tracker", "track-clicks", "banner-ads")
+_GOOD = ("library", "museum", "news", "university", "garden", "recipes", "history", "weather", "travel", "music", "science", "cityhall", "school", "theater", "hospital", "archive", "river-walks", "geometry", "orchestra", "neighbours", "open-data", "translation", "education", "city-stories", "book-review", "national-park", "cycling", "furniture", "pottery", "lighthouse", "railway", "bakery", "parliament", "astronomy", "literature", "gardening", "workshop", "cooperative", "public-health", "local-council")
+_AROUND = (("http://", ".example.com/", "12"), ("https://www.", ".example.org/", "en/page/7.html"), ("https://blog.", ".example.net/", "index?x=1"), ("http://m.", ".example.info/", "a/b/"))
+#: Labelled URLs: 1 is block.
+LABELS = tuple((f"{a}{host}{b}{c}", y) for y, hosts in ((1, _BAD), (0, _GOOD)) for host in hosts for a, b, c in _AROUND)
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -50,7 +52,7 @@ def grams(host: Column, path: Column, sizes=GRAMS) -> Column:
     return F.concat(*of("h", host), *of("p", path))
 
 
-def fit(spark: SparkSession, labels=LABELS, features: int = FEATURES, reg: float = 0.005) -> PipelineModel:
+def fit(spark: SparkSession, labels=LABELS, features: int = FEATURES, reg: float = 0.001) -> PipelineModel:
     """Model over the labelled URLs ``(url, 0 or 1)``."""
     rows = with_parts(spark.createDataFrame([(u, float(y)) for u, y in labels], "url string, label double"))
     rows = rows.withColumn("grams", grams(F.col("host"), F.col("path")))
