@@ -7,8 +7,8 @@ The global order of n-grams is the order of their 64-bit hashes. It is cut into
   order at least one is the same in both. Each set gives a digest of each of its non-empty fragments;
   sets with a digest in common are candidates. Sets so uneven that all their equal fragments could be
   empty also give the n-grams of their prefix, which linked sets share. No link is lost.
-* Overlaps. Candidate sets are gathered in clusters, clusters are cut into blocks of bounded size, and
-  pairs of blocks are compared: for each fragment of the order, partial overlaps of all pairs of the
+* Overlaps. Candidate sets are gathered in clusters, clusters are cut by size and hash into blocks of
+  bounded size, and pairs of blocks that can hold links are compared: for each fragment of the order, partial overlaps of all pairs of the
   two blocks are counted as a matrix product, and the fragments' counts are summed per pair.
 
 Equal sets are one node throughout. Pairs are never rows: a block pair gives a spanning forest of its
@@ -17,6 +17,7 @@ links. Unbounded groups never meet in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -213,16 +214,35 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def _verified(base: DataFrame, clusters: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
-    """Spanning links ``a, b`` of each pair of blocks of each cluster."""
-    n = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / BLOCK_GRAMS)).cast("int")
-    sizes = clusters.groupBy("cluster").agg(n.alias("blocks"))
-    members = clusters.join(sizes, "cluster").select("id", "cluster", "blocks", "n_shingles", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+    """Spanning links ``a, b`` of each pair of blocks of each cluster whose sets can link.
+
+    Sizes fall into levels such that linked sets lie at most one level apart. Neighbouring levels of a
+    cluster form bands of about a block; larger bands are cut into blocks by a hash. Blocks of a band
+    meet each other, and sets at a band's first or last level meet the blocks of the band beside it.
+    """
+    step = max(math.log(den / num) * 1.001, 1e-3)  # linked sets are at most one level apart; the margin absorbs rounding
+    leveled = clusters.withColumn("level", F.floor(F.log("n_shingles") / step))
+    mass = F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_GRAMS)
+    along = Window.partitionBy("cluster").orderBy("level")  # over levels of sizes, of which there are few
+    before = F.coalesce(F.sum("mass").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    levels = leveled.groupBy("cluster", "level").agg(mass.alias("mass")).withColumn("band", F.floor(before))
+    levels = levels.withColumn("blocks", F.ceil(F.sum("mass").over(Window.partitionBy("cluster", "band"))))
+    one = (F.max("band").over(Window.partitionBy("cluster")) == 0) & (F.col("blocks") == 1)
+    cells = lambda band, blocks: F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda x: band * (1 << 32) + x)
+    others = [cells(F.col("band"), F.col("blocks"))]
+    for side, by in ((F.lead, 1), (F.lag, -1)):
+        band, blocks = side("band").over(along), side("blocks").over(along)
+        others.append(F.when((side("level").over(along) == F.col("level") + by) & (band != F.col("band")), cells(band, blocks)))
+    none = F.array().cast("array<bigint>")
+    levels = levels.select("cluster", "level", "band", "blocks", one.alias("one"), F.concat(*(F.coalesce(x, none) for x in others)).alias("others"))
+    cell = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))
+    members = leveled.join(levels, ["cluster", "level"]).select("id", "cluster", "one", "n_shingles", cell.alias("block"), "others")
     members = materialise(members, "members")
     rows, grams = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     bins = max(rows // block, grams // BLOCK_GRAMS) + spread(base.sparkSession)  # small clusters share a task up to about a block
-    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select("id", "cluster", "blocks", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    bin_ = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
+    tiled = members.withColumn("other", F.explode("others"))
+    tiled = tiled.select("id", "cluster", "one", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    bin_ = F.when(F.col("one"), -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster"))
     texts = _maybe_in(base, members.select("id"))
     rows = texts.join(tiled, texts["doc_id"] == tiled["id"]).select("id", "text", "cluster", "block", "i", "j", bin_.alias("bin"))
     return rows.groupBy("bin", "i", "j").applyInPandas(_compare(words, num, den), "a long, b long")
