@@ -2,9 +2,11 @@
 
 * A rotation is learned on a bounded sample (at most about ``sample`` vectors) so that the signs of the
   rotated, centred vectors are balanced binary codes of up to 64 bits.
-* Codes are cut into substrings. In each table, vectors whose substrings differ in at most one bit meet
-  under the keys that leave out one bit; pairs of a bucket whose whole codes differ in at most
-  ``radius`` bits are candidates. With m tables every pair within 2m - 1 bits is retrieved.
+* Codes are cut into substrings of about ``WIDTH`` bits. In each table, vectors whose substrings differ in
+  at most one bit meet under the keys that leave out one bit; pairs of a bucket whose whole codes differ
+  in at most ``radius`` bits are candidates. With m tables every pair within 2m - 1 bits is retrieved.
+* Several rotations, learned from starts of their own, each have such tables. How many follows from the
+  bits and the recall wanted at the threshold, never from the number of vectors.
 * Candidates form clusters; clusters are cut into blocks of bounded size and pairs of blocks are
   reranked with the original vectors in double precision.
 
@@ -26,6 +28,8 @@ from .components import components
 
 SAMPLE = 20_000
 RADIUS = 14
+WIDTH = 16
+RECALL = 0.999
 BLOCK = 512
 BUCKET = 4096
 
@@ -45,24 +49,38 @@ def fit_rotation(vectors: np.ndarray, bits: int = 64, rounds: int = 40, seed: in
     return mean, p @ r
 
 
+def layout(bits: int, least: float, recall: float = RECALL, width: int = WIDTH) -> tuple[int, int]:
+    """``(tables, rotations)`` that retrieve a pair at cosine ``least`` with probability ``recall``.
+
+    A bit differs with the chance of a random hyperplane, angle / pi; a table misses a pair when two or more
+    bits of its substring differ.
+    """
+    tables = max(1, round(bits / width))
+    p, w = np.arccos(np.clip(least, -1.0, 1.0)) / np.pi, -(-bits // tables)
+    miss = max(0.0, 1 - (1 - p) ** w - w * p * (1 - p) ** (w - 1)) ** tables
+    return tables, 1 if miss <= 1 - recall else int(np.ceil(np.log(1 - recall) / np.log(miss)))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scale = np.abs(vectors).max(axis=1, keepdims=True)  # squares of large or tiny floats stay finite and above zero
     vectors = vectors / scale
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _codes(models: dict[int, tuple[np.ndarray, np.ndarray]]):
+def _codes(models: dict[int, list[tuple[np.ndarray, np.ndarray]]]):
+    """A row for each vector and rotation (``turn``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dim = b.column(3).to_numpy()
-            code = np.zeros(b.num_rows, np.uint64)
+            code = np.zeros((max(map(len, models.values()), default=0), b.num_rows), np.uint64)
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
-                x = np.asarray(b.column(2).take(pa.array(at)).flatten(), float).reshape(-1, d)
-                mean, p = models[d]
-                on = (_unit(x) - mean) @ p >= 0
-                code[at] = on @ (np.uint64(1) << np.arange(p.shape[1], dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(code.view(np.int64))], names=["id", "label", "dim", "code"])
+                x = _unit(np.asarray(b.column(2).take(pa.array(at)).flatten(), float).reshape(-1, d))
+                for turn, (mean, p) in enumerate(models[d]):
+                    code[turn, at] = ((x - mean) @ p >= 0) @ (np.uint64(1) << np.arange(p.shape[1], dtype=np.uint64))
+            for turn, own in enumerate(code):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.full(b.num_rows, turn, np.int32)), pa.array(own.view(np.int64))], names=["id", "label", "dim", "turn", "code"])
 
     return run
 
@@ -147,7 +165,7 @@ def _tile(radius: int):
 def candidates(codes: DataFrame, bits: int, tables: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Spanning candidate links ``a, b``. Buckets over ``bucket`` rows are compared block by block."""
     masks = [F.struct(F.lit(t).alias("t"), (F.col("code").bitwiseAND(F.lit(_signed(m)))).alias("v"), F.lit(_signed(m)).alias("m")) for t, m in table_masks(bits, tables)]
-    keyed = codes.select("id", "code", "label", "dim", F.explode(F.array(*masks)).alias("k")).select("id", "code", F.xxhash64("label", "dim", "k.t", "k.m", "k.v").alias("key"))
+    keyed = codes.select("id", "code", "label", "dim", "turn", F.explode(F.array(*masks)).alias("k")).select("id", "code", F.xxhash64("label", "dim", "turn", "k.t", "k.m", "k.v").alias("key"))
     large = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large")
     parts = spread(codes.sparkSession)
     small = keyed.join(large, "key", "left_anti").select("key", "id", "code").repartition(parts, "key").sortWithinPartitions("key")
@@ -200,13 +218,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     dims = [r["dim"] for r in nodes.select("dim").distinct().limit(64).collect()]
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
     some = nodes.where(drawn).select("embedding", "dim").limit(2 * sample).collect()
+    bits = max([min(64, d) for d in dims], default=1)
+    tables, rotations = layout(bits, least)
     models = {}
     for d in dims:
         own = [r["embedding"] for r in some if r["dim"] == d]
-        models[d] = fit_rotation(_unit(np.array(own, float)) if own else np.zeros((0, d)))
-    bits = max([min(64, d) for d in dims], default=1)
-    codes = materialise(nodes.where(F.col("dim").isin(dims)).select("id", "label", "embedding", "dim").mapInArrow(_codes(models), "id long, label string, dim int, code long"), "codes")
-    tables = max(1, round(bits / max(8.0, np.log2(max(n, 2)) - 2)))
+        own = _unit(np.array(own, float)) if own else np.zeros((0, d))
+        models[d] = [fit_rotation(own, seed=7 + turn) for turn in range(rotations)]
+    codes = materialise(nodes.where(F.col("dim").isin(dims)).select("id", "label", "embedding", "dim").mapInArrow(_codes(models), "id long, label string, dim int, turn int, code long"), "codes")
     clusters = components(candidates(codes, bits, tables, radius)).select("id", F.col("component").alias("cluster"))
     clusters = materialise(clusters, "clusters")
     bins = clusters.count() // BLOCK + 1  # small clusters share a task up to about a block

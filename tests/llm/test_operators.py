@@ -159,6 +159,21 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(df.limit(0), 0.98).count() == 0
 
 
+def test_embedding_index_recall_at_the_threshold(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = embedding_dedup._unit(rng.normal(size=(1500, 64)))
+    z = rng.normal(size=x.shape)
+    z = embedding_dedup._unit(z - (z * x).sum(axis=1, keepdims=True) * x)
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(np.concatenate([x, y]))]
+    df = frame(spark, rows, "vec_id long, embedding array<double>, label string")
+    log2 = np.log2
+    monkeypatch.setattr(embedding_dedup.np, "log2", lambda n: log2(n) + 17)  # what is laid out by the row count sees 4e8 rows
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, 0.98 - 1e-9).collect()}
+    assert sum(got[i] > 0 for i in range(1500)) >= embedding_dedup.RECALL * 1500
+    assert embedding_dedup.layout(64, 0.98) == (4, 2)
+
+
 def test_url_filter(spark):
     urls = ["http://EXAMPLE.net/en/x?q", "https://a.example.net/de", "x://b.example.com/de/1", "http://notexample.com/de/1", "http://fr.org/fr/2#a", "http://orgx/fr/", "plain", None, "", "a://b://c/d", "http://host?x/y", "http://casino-bonus.example.org/x", "http://city-library.example.org/books"]
     pages = frame(spark, [(i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string").withColumn("path", F.lit("own"))
