@@ -24,9 +24,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its source's boilerplate lines."""
+    """Every document, without its source's boilerplate lines: on 3 or more and over a tenth of its documents, at any size of source."""
     ship(spark)
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return line_dedup.drop_boilerplate(docs, min_host_pages=1, min_pages=3).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,29 +26,31 @@ def _key(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = MIN_HOST_PAGES, min_pages: int = 1) -> DataFrame:
     """One row per host with boilerplate: ``host, lines array<struct<k1 long, k2 long>>``."""
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).where("host IS NOT NULL")
     line = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), _key))).alias("line")
     counts = (
         pages.select("host", line).where("line <> ''")
         .groupBy("host", *wide_hash(F.col("line"), "k")).agg(F.count("*").alias("n"))
-        .where(F.col("n") > max_ratio * min_host_pages)
+        .where((F.col("n") > max_ratio * min_host_pages) & (F.col("n") >= min_pages))
     )
     totals = pages.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= min_host_pages)
     over = counts.join(totals, "host").where(F.col("n") > max_ratio * F.col("total"))
     return over.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k1", "k2"))).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_host_pages: int = MIN_HOST_PAGES, min_pages: int = 1) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``__lines`` and ``__dropped`` (counts).
 
     * Every row stays, with its other columns as they were; a text may become empty.
     * Null text: stays null, 0 lines. Null host: no site to compare with, text unchanged.
-    * Hosts under ``min_host_pages`` pages: unchanged, since a ratio says nothing there.
+    * Hosts under ``min_host_pages`` pages: unchanged.
+    * A line on fewer than ``min_pages`` pages of its host stays. A floor of 3 and no floor for hosts equal
+      the default on hosts of 20 pages and more, where over a tenth is 3 pages anyway.
     * Repeated rows each count as a page; a line counts once a page.
     """
-    spec = materialise(boilerplate_lines(docs, host, text, max_ratio, min_host_pages), "boilerplate")
+    spec = materialise(boilerplate_lines(docs, host, text, max_ratio, min_host_pages, min_pages), "boilerplate")
     spec = spec.select(F.col("host").alias("__host"), F.col("lines").alias("__boilerplate"))
     joined = docs.join(spec, docs[host] == spec["__host"], "left").drop("__host")
     keyed = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), *wide_hash(_key(x), "k")))

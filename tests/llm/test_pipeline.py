@@ -3,7 +3,7 @@
 import corpus_pipeline
 from rollbook.llm import queries
 
-from .test_operators import components, word_set
+from .test_operators import components, frame, word_set
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -27,6 +27,14 @@ def test_stages(spark, sf_dir, tmp_path):
     assert docs.select("doc_id").distinct().count() == kept[3]
 
 
+def test_lines_of_small_sources(spark, sf_dir):
+    rows = [(i, f"Menu\nline {i}" + ("\nTwice" if i < 2 else ""), "en", "s0", 1) for i in range(19)] + [(30 + i, "Both", "en", "s1", 4) for i in range(2)]
+    rows += [(40 + i, "Menu\nFew" if i < 3 else f"Menu\nown {i}", "en", "s2", 1) for i in range(30)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, frame(spark, rows), sf_dir).collect()}
+    want = {i: f"line {i}" + ("\nTwice" if i < 2 else "") for i in range(19)} | {30: "Both", 31: "Both"}
+    assert got == want | {40 + i: "Few" if i < 3 else f"own {i}" for i in range(30)}
+
+
 def test_registry_names():
     names = list(queries.queries())
     assert [x.split("_")[0] for x in names] == [f"op{i}" for i in range(1, 11)]
