@@ -18,12 +18,34 @@ from .common import table
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FEATURES = 1 << 18
 GRAMS = (3, 4, 5)
-#: Words of hosts to train on; a host of each stands under several names and paths, the same for both kinds.
-_BAD = ("discount-pills", "casino-bonus", "free-viagra", "xxx-videos", "win-money-now", "hot-singles", "payday-loans", "replica-watches", "online-poker", "adult-cams", "weight-loss-miracle", "crack-serials", "free-porn", "best-casino", "buy-pills-online", "cheap-meds", "lottery-winner", "spam-links", "sexy-chat", "bet-jackpot", "ads-server", "ad-tracker", "track-clicks", "banner-ads")
-_GOOD = ("library", "museum", "news", "university", "garden", "recipes", "history", "weather", "travel", "music", "science", "cityhall", "school", "theater", "hospital", "archive", "river-walks", "geometry", "orchestra", "neighbours", "open-data", "translation", "education", "city-stories", "book-review", "national-park", "cycling", "furniture", "pottery", "lighthouse", "railway", "bakery", "parliament", "astronomy", "literature", "gardening", "workshop", "cooperative", "public-health", "local-council")
+#: Words to train on, in hosts and in paths.
+_BAD = ("discount-pills", "casino-bonus", "free-viagra", "xxx-videos", "win-money-now", "hot-singles", "payday-loans", "replica-watches", "online-poker", "adult-cams", "weight-loss-miracle", "crack-serials", "free-porn", "best-casino", "buy-pills-online", "cheap-meds", "lottery-winner", "spam-links", "sexy-chat", "bet-jackpot", "ads-server", "ad-tracker", "track-clicks", "banner-ads", "casino", "poker-room", "slots", "roulette-bonus", "sports-betting", "jackpot-games", "viagra-online", "pharmacy-no-prescription", "diet-pills", "instant-loans", "cash-advance", "xxx", "sex-videos", "porn-tube", "live-cams", "escorts", "warez", "keygen", "cracked-software", "replica-bags", "adserver", "popup-ads", "tracking-pixel", "click-tracker", "spam", "make-money-fast", "free-iphone", "win-prizes", "lottery-results-win", "hot-girls", "adult-dating", "cheap-viagra", "betting-tips", "bitcoin-doubler")
+_GOOD = ("library", "museum", "news", "university", "garden", "recipes", "history", "weather", "travel", "music", "science", "cityhall", "school", "theater", "hospital", "archive", "river-walks", "geometry", "orchestra", "neighbours", "open-data", "translation", "education", "city-stories", "book-review", "national-park", "cycling", "furniture", "pottery", "lighthouse", "railway", "bakery", "parliament", "astronomy", "literature", "gardening", "workshop", "cooperative", "public-health", "local-council", "council", "press", "forum", "journal", "institute", "clinic", "church", "market", "kitchen", "radio", "physics", "biology", "mathematics", "philosophy", "economics", "football", "chess", "photography", "painting", "ceramics", "sewing", "hiking", "sailing", "beekeeping", "farmers", "firefighters", "transport", "planning", "housing", "charity", "volunteers", "students", "teachers", "research", "conference", "dictionary", "encyclopedia", "documentation", "tutorials", "software", "hardware", "maps", "calendar", "events", "about", "contact", "blog", "articles", "stories", "interviews", "reports")
 _AROUND = (("http://", ".example.com/", "12"), ("https://www.", ".example.org/", "en/page/7.html"), ("https://blog.", ".example.net/", "index?x=1"), ("http://m.", ".example.info/", "a/b/"))
+_INTO = (("", "/"), ("shop/", ".html"), ("en/2020/", "?x=1"), ("a/", "/b"))
+_PLAIN = ("http://example.com/", "https://www.example.org/", "https://example.net/", "http://m.example.info/")
+
+
+def labelled(bad=_BAD, good=_GOOD) -> tuple[tuple[str, int], ...]:
+    """URLs to block (1) or allow (0): the words of host and path decide, all around them is alike for both kinds.
+
+    Hosts of each word have the same plain paths; paths of each word stand on plain hosts and on hosts of good
+    words. Hosts of bad words with paths of good ones are blocked.
+    """
+    out = []
+    for y, words in ((1, bad), (0, good)):
+        for k, word in enumerate(words):
+            for i, (a, b, c) in enumerate(_AROUND):
+                left, right = _INTO[(i + k) % len(_INTO)]
+                host = good[(k + 5 * i + 1) % len(good)]
+                out += [(f"{a}{word}{b}{c}", y), (f"{a}{host}{b}{left}{word}{right}", y), (f"{_PLAIN[i]}{left}{word}{right}", y)]
+                if y and i == k % len(_AROUND):
+                    out.append((f"{a}{word}{b}{left}{host}{right}", y))
+    return tuple(out)
+
+
 #: Labelled URLs: 1 is block.
-LABELS = tuple((f"{a}{host}{b}{c}", y) for y, hosts in ((1, _BAD), (0, _GOOD)) for host in hosts for a, b, c in _AROUND)
+LABELS = labelled()
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:

@@ -189,6 +189,15 @@ def test_url_filter(spark):
     assert got[11]["verdict"] == "block" and got[12]["verdict"] == "allow"
 
 
+def test_url_filter_judges_paths(spark):
+    hosts = ["example.org", "www.example.com", "library.example.info", "unseen-place.example.com"]
+    paths = {"block": ["casino-bonus/free-pills", "en/payday-loans.html", "2021/online-poker/"], "allow": ["museum/garden", "en/book-review.html", "2021/lighthouse/"]}
+    rows = [(100 * i + 10 * j + (want == "block"), f"https://{h}/{p}", want) for want, own in paths.items() for i, h in enumerate(hosts) for j, p in enumerate(own)]
+    pages = frame(spark, rows, "page_id long, url string, want string")
+    got = url_filter.judge(pages, url_filter.fit(spark)).collect()
+    assert sum(r["verdict"] == r["want"] for r in got) >= 22  # of 24, half of them to block
+
+
 def test_warc_round_trip(spark):
     html = ["<p>a</p>", "", None, "<p>a</p>", "é\r\n\r\nWARC/1.1\r\n\r\n", "b" * 300_000, "<p>a</p>", "c"]
     rows = [(i, f"http://x/{i}\r\n\"é" if i else None, h) for i, h in enumerate(html)]
