@@ -256,7 +256,7 @@ def _boosted(spark, d):
 
 def _importance(spark, d):
     model, task = _trained(spark, d)
-    return permutation_importance(model, task.frame.where(F.col("academic_year").isin(_SEEN)), task.target, task.ids, repeats=2)
+    return permutation_importance(model, task.frame.where(F.col("academic_year").isin(_SEEN)), task.target, task.ids)
 
 
 def _group_importance(spark, d):

@@ -1,12 +1,15 @@
 """Training against an own solver, calibration, and a run from files to reports."""
 
+import inspect
 import json
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollbook import experiments
+from rollbook import experiments, registry
 from rollbook.config import Config, Data, Experiment, Modeling, Project
 from rollbook.ml import models as M
 from rollbook.ml.encode import fit_encoder
@@ -99,3 +102,14 @@ def test_search_and_scoring_from_files(spark, tmp_path):
     assert [r["candidate"] for r in records] == ["logistic"]
     scored, found, groups = experiments.evaluate(t, model, t.frame.where("academic_year = '2024/25'"), "validation", c)
     assert scored.count() == 50 and found["row_count"] == 50 and {g["stage"] for g in groups} == {"7-9"}
+
+
+def test_registered_importance_shuffles_as_often_as_the_default(monkeypatch):
+    seen = []
+    task = SimpleNamespace(frame=MagicMock(), target="y", ids=["id"])
+    monkeypatch.setattr(registry, "_trained", lambda *_: (None, task))
+    monkeypatch.setattr(registry, "F", MagicMock())
+    monkeypatch.setattr(registry, "permutation_importance", lambda *a, **k: seen.append(inspect.signature(M.permutation_importance).bind(*a, **k)))
+    registry._importance(None, None)
+    seen[0].apply_defaults()
+    assert seen[0].arguments["repeats"] == 5
