@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``id, component`` (smallest id reachable) for every id in ``edges`` (columns ``a, b``).
 
-    Each round maps edges to edges with two aggregations and writes them to the shared folder; nothing
-    is gathered on the driver but a count and a checksum. Hot centres are joined by keys that Spark
-    can split. Self-loops and repeated edges are harmless; without edges the result is empty.
+    Each round maps edges to edges with two aggregations and writes them to the shared folder, until
+    they stay the same; nothing is gathered on the driver but a count and a checksum. Neighbours' least
+    ids are aggregated before they are shuffled and written, so that Spark can split the join of a hot
+    centre. Self-loops and repeated edges are harmless; without edges the result is empty.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -30,4 +31,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
         mark = new
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

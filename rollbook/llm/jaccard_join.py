@@ -1,47 +1,49 @@
 """Exact Jaccard join of word n-gram sets by vertical partitioning.
 
-The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments twice:
-
-* Candidates. Sizes fall into intervals so that linked sets lie in the same or in neighbouring
-  intervals. Linked sets of an interval differ in at most D n-grams, so of D + 1 fragments of the
-  order at least one is the same in both. Each set gives a digest of each of its non-empty fragments;
-  sets with a digest in common are candidates. Sets so uneven that all their equal fragments could be
-  empty also give the n-grams of their prefix, which linked sets share. No link is lost.
-* Overlaps. Candidate sets are gathered in clusters, clusters are cut by size and hash into blocks of
-  bounded size, and pairs of blocks that can hold links are compared: for each fragment of the order, partial overlaps of all pairs of the
-  two blocks are counted as a matrix product, and the fragments' counts are summed per pair.
-
-Equal sets are one node throughout. Pairs are never rows: a block pair gives a spanning forest of its
-links. Unbounded groups never meet in one task.
+Equal sets are one node throughout. Nodes that cannot link are put aside first, then the rest is joined:
+
+1. Heads. A set's head are its least n-grams by hash: as many as a linked set may lack, and a tenth
+   more. Linked sets share at least a known number of n-grams of their heads, so a set with fewer
+   n-grams that any other head holds links with nothing. Only heads are shuffled.
+2. Global order. N-grams of the remaining sets are counted. The order is: n-grams of one set, then
+   rarer before more frequent ones by powers of two, then by hash. It is cut into fragments: each power
+   of two into ``SLICES`` ranges of the hash.
+3. Candidates. Linked sets share an n-gram of their prefixes in that order.
+4. Overlaps. For each fragment, the partial overlaps of candidate pairs are counted by themselves;
+   counts are summed for each pair, and integers decide.
+
+Pairs are formed in rounds. In a round each node meets one node only, of the largest class of linked
+nodes among those with its prefix n-grams, so groups of near copies collapse into classes without their
+pairs. When the pairs left between classes are fewer than the prefix n-grams, or nothing more links,
+all of these are compared. No link between different classes is lost, and nothing is capped.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, spread, table
+from .common import materialise, table
 from .components import components
 
-#: Most sets and n-grams of a block, about.
-BLOCK, BLOCK_GRAMS = 4096, 2_000_000
 #: Bits of the filter that texts pass before they are shuffled; its broadcast side has at most BITS / 64 rows.
 BITS = 1 << 23
-FRAGMENT = 1024
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: Fragments of each power of two of the n-grams' document frequency.
+SLICES = 4
+ROWS = 1000
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _ODD[2]
-    x = (x ^ (x >> np.uint64(27))) * _ODD[3]
+    x = (x ^ (x >> np.uint64(30))) * _ODD[1]
+    x = (x ^ (x >> np.uint64(27))) * _ODD[2]
     return x ^ (x >> np.uint64(31))
 
 
@@ -58,194 +60,172 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _intervals(num: int, den: int, most: int) -> np.ndarray:
-    """First size of each interval, up to past ``most``; the last size of one is floor(first * den / num)."""
-    first = [1]
-    while first[-1] <= most:
-        first.append(first[-1] * den // num + 1)
-    first.append(first[-1] * den // num + 1)
-    first.append(first[-1] * den // num + 1)
-    return np.array(first)
-
-
-def _signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate digests of all sets, and to which set each belongs."""
-    size = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
-    first = _intervals(num, den, int(size.max(initial=0)))
-    own = np.searchsorted(first, size, "right") - 1
-    digests, owners = [], []
-    for step in (0, 1):
-        k = own + step
-        diff = 2 * (first[np.minimum(k + 1, len(first) - 1)] - 1) * (den - num) // (den + num)
-        use = (size > 0) & (diff > 0)  # no difference allowed: only equal sets, which are one node already
-        at = np.repeat(np.arange(len(sets)), np.where(use, size, 0))
-        x = flat[np.repeat(use, size)]
-        if not len(x):
-            continue
-        part = ((x >> np.uint64(40)) * (diff[at] + 1).astype(np.uint64)) >> np.uint64(24)
-        start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])])
-        total = np.add.reduceat(_mix(x), start)
-        owner = at[start]
-        digests.append(_mix(total * _ODD[0] + part[start] * _ODD[1] + k[owner].astype(np.uint64)))
-        owners.append(owner)
-        full = np.bincount(owner, minlength=len(sets))
-        for i in np.flatnonzero(use & (full <= diff)):
-            n = size[i]
-            head = sets[i][: n - (n * num + den - 1) // den + 1]
-            digests.append(_mix(head ^ _ODD[1]))
-            owners.append(np.full(len(head), i))
-    if not digests:
-        return np.empty(0, np.uint64), np.empty(0, int)
-    return np.concatenate(digests), np.concatenate(owners)
-
-
-def _parse(n: int, num: int, den: int):
+def _least(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Fewest n-grams that a set of ``n`` shares with a linked one: ceil(n * num / den)."""
+    return -(-n * num // den)
+
+
+def _spare(n: np.ndarray) -> np.ndarray:
+    return np.maximum(1, n // 10)
+
+
+def _sets(part: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Shingle sets and the two halves of their 128-bit digests."""
+    sets = [shingles(t.as_py(), n) for t in part]
+    raw = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+    return sets, np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _heads(n: int, num: int, den: int):
+    """Sizes, digests and heads of all rows.
+
+    N-grams that several heads of a slice of rows hold are counted (``known``) and leave the heads; one
+    more row without a set holds them for the other slices. So what most documents share is shuffled
+    once for each slice, not for each document.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingles(t.as_py(), n) for t in part.column(1)]
-                digest, owner = _signatures(sets, num, den)
-                order = np.argsort(owner, kind="stable")
-                ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(sets)))].astype(np.int32)
-                raw = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
-                halves = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets, halves = _sets(part.column(1), n)
+                size = np.array([len(x) for x in sets])
+                head = np.minimum(size, size - _least(size, num, den) + _spare(size))
+                need = np.where(size > 0, _spare(_least(size, num, den)), 0)
+                flat = np.concatenate([x[:k] for x, k in zip(sets, head, strict=True)])
+                owner = np.repeat(np.arange(len(sets)), head)
+                grams, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+                several = count[where] > 1
+                known = np.bincount(owner[several], minlength=len(sets))
+                own = np.bincount(owner[~several], minlength=len(sets))
+                shared = grams[count > 1]
+                rows = np.arange(row, row + len(sets))
+                row += len(sets)
+                numbers = [np.r_[x, 0] for x in (size, halves[:, 0], halves[:, 1], need, known)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(ends, pa.array(digest[order].view(np.int64)))],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sigs"],
+                    [pa.concat_arrays([part.column(0), pa.nulls(1, pa.int64())]), pa.array([*rows.tolist(), None], pa.int64())]
+                    + [pa.array(x, pa.int64()) for x in numbers]
+                    + [_lists(np.r_[flat[~several], shared], np.r_[own, len(shared)])],
+                    names=["doc_id", "row", "n_shingles", "d1", "d2", "need", "known", "head"],
                 )
 
     return run
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
-    """Index pairs whose sets link; ``right`` None: pairs within ``left``.
+HEADS = "doc_id long, row long, n_shingles long, d1 long, d2 long, need long, known long, head array<long>"
 
-    The order of n-grams is cut into fragments; each fragment's overlaps of all pairs are counted by a
-    matrix product, then summed.
-    """
-    sets = left + (right or [])
-    size = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    keep = count[column] > 1
-    rank = np.cumsum(count > 1) - 1
-    column, owner = rank[column[keep]], owner[keep]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    cut = len(left)
-    overlap = np.zeros((cut, len(sets) - cut if right else cut), np.float32)  # counts are exact below 2 ** 24
-    width = int((count > 1).sum())
-    for lo in range(0, width, FRAGMENT):
-        a, b = np.searchsorted(column, (lo, lo + FRAGMENT))
-        m = np.zeros((len(sets), min(FRAGMENT, width - lo)), np.float32)
-        m[owner[a:b], column[a:b] - lo] = 1
-        overlap += m[:cut] @ (m[cut:] if right else m).T
-    out = []
-    for i in range(0, cut, 256):  # integers decide; den * overlap >= num * (sizes - overlap)
-        both = overlap[i : i + 256].astype(np.int64)
-        ok = (den + num) * both >= num * (size[i : i + len(both), None] + (size[cut:] if right else size)[None, :])
-        if not right:
-            ok = np.triu(ok, i + 1)
-        found = np.argwhere(ok)
-        found[:, 0] += i
-        out.append(found)
-    return np.concatenate(out) if out else np.zeros((0, 2), int)
-
-
-def _forest(pairs: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    for i, j in pairs:
-        a, b = int(ids_a[i]), int(ids_b[j])
-        if (x := root(a)) != (y := root(b)):
-            parent[x] = y
-            out.append((a, b))
-    return out
-
-
-def _compare(n: int, num: int, den: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in rows.groupby("cluster", sort=False):
-            sets, ids = [shingles(t, n) for t in part["text"]], part["id"].to_numpy()
-            side = (part["block"] == part["i"]).to_numpy()
-            a, b = np.flatnonzero(side), np.flatnonzero(~side)
-            i, j = part["i"].iloc[0], part["j"].iloc[0]
-            if i != j and (not len(a) or not len(b)):
-                continue
-            pairs = linked([sets[x] for x in a], None if i == j else [sets[x] for x in b], num, den)
-            out += _forest(pairs, ids[a], ids[a if i == j else b])
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+def _grams(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                sets, halves = _sets(batch.slice(at, ROWS).column(0), n)
+                size = np.array([len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), _lists(np.concatenate(sets), size)], names=["d1", "d2", "grams"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document; links: ``den * overlap >= num * union``.
+def jaccard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2, component_id`` of every row; links: ``den * overlap >= num * union``.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. A text with fewer than ``words``
     words is one shingle; null text or no word: an empty set that links with nothing. Texts of any
-    length are taken whole. An id that occurs in several rows is one node and keeps its rows; null ids
-    are left out; an empty table gives an empty result.
+    length are taken whole. ``d1, d2`` are the digest of the set. Each row is judged by its own text,
+    also where ids repeat or are null; ``component_id`` is the smallest id that is not null among the
+    rows reachable by links, itself included. An empty table gives an empty result.
     """
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    parsed = materialise(base.mapInArrow(_parse(words, num, den), "doc_id long, n_shingles long, d1 long, d2 long, sigs array<long>"), "parsed")
-    filled = parsed.where("n_shingles > 0")
-    classes = materialise(filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    sigs = filled.select("doc_id", "sigs").where(F.size("sigs") > 0).join(reps, "doc_id", "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
-    first = F.min("doc_id").over(Window.partitionBy("sig"))
-    stars = sigs.withColumn("first", first).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    clusters = components(stars).withColumnRenamed("component", "cluster")
-    sized = clusters.join(filled.select(F.col("doc_id").alias("id"), "n_shingles").distinct(), "id")
-    links = _verified(base, sized, words, num, den, block)
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    joined = classes.join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("__c"))
-    out = parsed.select("doc_id", "n_shingles", "d1", "d2").join(joined, ["d1", "d2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id"))
-
-
-def _verified(base: DataFrame, clusters: DataFrame, words: int, num: int, den: int, block: int) -> DataFrame:
-    """Spanning links ``a, b`` of each pair of blocks of each cluster whose sets can link.
-
-    Sizes fall into levels such that linked sets lie at most one level apart. Neighbouring levels of a
-    cluster form bands of about a block; larger bands are cut into blocks by a hash. Blocks of a band
-    meet each other, and sets at a band's first or last level meet the blocks of the band beside it.
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    parsed = materialise(base.mapInArrow(_heads(words, num, den), HEADS), "heads")
+    heads = parsed.select("row", F.explode("head").alias("gram"))
+    beside = Window.partitionBy("gram").orderBy("row")
+    held = F.lag(F.lit(1)).over(beside).isNotNull() | F.lead(F.lit(1)).over(beside).isNotNull()
+    counted = heads.withColumn("held", held).where("held AND row IS NOT NULL").groupBy("row").agg(F.count("*").alias("more"))
+    filled = parsed.where("n_shingles > 0").select("row", "doc_id", "n_shingles", "d1", "d2", "need", "known")
+    may = F.col("known") + F.coalesce("more", F.lit(0)) >= F.col("need")
+    classes = filled.join(counted, "row", "left").groupBy("d1", "d2").agg(F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.max(may).alias("may"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stay
+    links = _links(base, classes.where("may"), words, num, den)
+    found = components(links).withColumnRenamed("id", "node")
+    grouped = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = materialise(grouped.where("may").groupBy("component").agg(F.min("rep").alias("first")), "components")
+    joined = grouped.join(least, "component", "left").select("d1", "d2", F.coalesce("first", "rep").alias("__c"))
+    out = parsed.where("row IS NOT NULL").select("doc_id", "n_shingles", "d1", "d2").join(joined, ["d1", "d2"], "left")
+    return out.select("doc_id", "n_shingles", "d1", "d2", F.coalesce("__c", "doc_id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row; options and rules are those of :func:`jaccard_rows`."""
+    return jaccard_rows(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def _ordered(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """``node, n, prefix, frag, before, grams``: fragments of each node that can link, in the global order.
+
+    ``before`` is the number of the node's n-grams in earlier fragments (those of one set included),
+    ``prefix`` the number of its n-grams in its prefix.
     """
-    step = max(math.log(den / num) * 1.001, 1e-3)  # linked sets are at most one level apart; the margin absorbs rounding
-    leveled = clusters.withColumn("level", F.floor(F.log("n_shingles") / step))
-    mass = F.greatest(F.count("*") / block, F.sum("n_shingles") / BLOCK_GRAMS)
-    along = Window.partitionBy("cluster").orderBy("level")  # over levels of sizes, of which there are few
-    before = F.coalesce(F.sum("mass").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    levels = leveled.groupBy("cluster", "level").agg(mass.alias("mass")).withColumn("band", F.floor(before))
-    levels = levels.withColumn("blocks", F.ceil(F.sum("mass").over(Window.partitionBy("cluster", "band"))))
-    one = (F.max("band").over(Window.partitionBy("cluster")) == 0) & (F.col("blocks") == 1)
-    cells = lambda band, blocks: F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda x: band * (1 << 32) + x)
-    others = [cells(F.col("band"), F.col("blocks"))]
-    for side, by in ((F.lead, 1), (F.lag, -1)):
-        band, blocks = side("band").over(along), side("blocks").over(along)
-        others.append(F.when((side("level").over(along) == F.col("level") + by) & (band != F.col("band")), cells(band, blocks)))
-    none = F.array().cast("array<bigint>")
-    levels = levels.select("cluster", "level", "band", "blocks", one.alias("one"), F.concat(*(F.coalesce(x, none) for x in others)).alias("others"))
-    cell = F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))
-    members = leveled.join(levels, ["cluster", "level"]).select("id", "cluster", "one", "n_shingles", cell.alias("block"), "others")
-    members = materialise(members, "members")
-    rows, grams = members.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    bins = max(rows // block, grams // BLOCK_GRAMS) + spread(base.sparkSession)  # small clusters share a task up to about a block
-    tiled = members.withColumn("other", F.explode("others"))
-    tiled = tiled.select("id", "cluster", "one", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    bin_ = F.when(F.col("one"), -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster"))
-    texts = _maybe_in(base, members.select("id"))
-    rows = texts.join(tiled, texts["doc_id"] == tiled["id"]).select("id", "text", "cluster", "block", "i", "j", bin_.alias("bin"))
-    return rows.groupBy("bin", "i", "j").applyInPandas(_compare(words, num, den), "a long, b long")
+    texts = _maybe_in(base, nodes.select(F.col("rep").alias("doc_id")))
+    sets = texts.select("text").mapInArrow(_grams(words), "d1 long, d2 long, grams array<long>")
+    sets = sets.join(nodes.select("node", "d1", "d2", F.col("n_shingles").alias("n")), ["d1", "d2"]).dropDuplicates(["node"])
+    grams = materialise(sets.select("node", "n", "grams"), "sets").select("node", "n", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    frag = (F.floor(F.log2("df")) * SLICES + F.shiftright(F.col("gram"), 62).bitwiseAND(F.lit(SLICES - 1))).cast("int")
+    common = grams.join(counts, "gram").select("node", "n", frag.alias("frag"), "gram").repartition("node")
+    pieces = common.groupBy("node", "n", "frag").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+    along = Window.partitionBy("node").orderBy("frag")  # over the fragments of one set
+    size = F.size("grams").cast("long")
+    alone = F.col("n") - F.sum(size).over(Window.partitionBy("node"))
+    before = alone + F.coalesce(F.sum(size).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
+    pieces = pieces.select("node", "n", "frag", "grams", alone.alias("alone"), before.alias("before"), prefix.alias("prefix"))
+    return pieces.where("alone < prefix").drop("alone")
+
+
+def _overlapping(pairs: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) that link: partial overlaps of each fragment, summed for each pair."""
+    left = pieces.select(F.col("node").alias("a"), F.col("n").alias("na"), "frag", F.col("grams").alias("ga"))
+    right = pieces.select(F.col("node").alias("b"), F.col("n").alias("nb"), "frag", F.col("grams").alias("gb"))
+    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("both"))
+    sums = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    return sums.where(f"{den + num} * both >= {num} * (na + nb)").select("a", "b")
+
+
+def _links(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` with the same components as all links of ``nodes``."""
+    pieces = materialise(_ordered(base, nodes, words, num, den), "pieces")
+    inside = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("before")).cast("int"))
+    posts = pieces.where("before < prefix").select("node", "n", "before", F.posexplode(inside).alias("at", "gram"))
+    posts = materialise(posts.select("node", "n", "gram", (F.col("before") + F.col("at") + 1).alias("place")), "posts")
+    classed, links, found = posts.withColumn("class", F.col("node")), None, 0
+    for k in range(1 << 30):
+        order = F.struct(F.xxhash64("node", F.lit(k)), "node")  # another one of the class each time
+        shares = classed.groupBy("gram", "class").agg(F.count("*").alias("m"), F.min(order).alias("one"))
+        lists = shares.groupBy("gram").agg(F.count("*").alias("classes"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "class", "one")).alias("top"))
+        lists = materialise(lists.where("classes > 1").select("gram", "rows", "same", F.col("top.class").alias("hub"), F.col("top.one.node").alias("centre")), "lists")
+        open_, rows = lists.agg(F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        left = classed.join(lists.select("gram", "hub", "centre"), "gram")
+        if k and (not found or open_ <= rows):
+            break
+        votes = left.where("class <> hub").groupBy("node", "centre").agg(F.count("*").alias("votes"))
+        stars = votes.groupBy("node").agg(F.max_by("centre", F.struct("votes", "centre")).alias("b")).withColumnRenamed("node", "a")
+        new = materialise(_overlapping(stars, pieces, num, den), "links")
+        found = new.count()
+        links = new if links is None else links.unionByName(new)
+        if found:
+            classes = materialise(components(links), "classes").withColumnRenamed("id", "node")
+            classed = posts.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+            classed = materialise(classed, "classed")
+    side = lambda c: left.select("gram", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "class", "place")))
+    reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    fits = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & ((den + num) * reach >= num * (F.col("n_a") + F.col("n_b")))
+    pairs = side("a").join(side("b"), "gram").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return links.unionByName(materialise(_overlapping(pairs, pieces, num, den), "links"))
 
 
 def _maybe_in(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -256,7 +236,7 @@ def _maybe_in(base: DataFrame, ids: DataFrame) -> DataFrame:
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)).cast("int")
     bit = lambda p: F.expr(f"shiftleft(1L, {p} & 63)")
-    words = ids.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(bit("p")).alias("__bits"))
+    words = ids.select(place("doc_id").alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(bit("p")).alias("__bits"))
     placed = base.withColumn("__p", place("doc_id")).withColumn("__word", F.shiftright("__p", 6))
     return placed.join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(bit("__p")) != 0).drop("__p", "__word", "__bits")
 

@@ -61,14 +61,14 @@ def word_set(text, n):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-@pytest.mark.parametrize("words,num,block", [(3, 90, 4096), (5, 80, 4096), (3, 70, 3)])
-def test_jaccard_join(spark, words, num, block):
+@pytest.mark.parametrize("words,num", [(3, 90), (5, 80), (3, 70), (1, 50)])
+def test_jaccard_join(spark, words, num):
     rows = corpus()
     rows.sort()
     sets = [word_set(r[1], words) for r in rows]
     pairs = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
     want = {(r[0], len(s), rows[c][0]) for r, s, c in zip(rows, sets, components(len(rows), pairs), strict=True)}
-    got = jaccard_join.jaccard_components(frame(spark, rows), words=words, num=num, den=100, block=block).collect()
+    got = jaccard_join.jaccard_components(frame(spark, rows), words=words, num=num, den=100).collect()
     assert len(got) == len(rows) and {tuple(r) for r in got} == want
     assert len({c for *_, c in want}) < len(rows) - 20
 
