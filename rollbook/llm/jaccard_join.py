@@ -14,8 +14,8 @@ Equal sets are one node throughout. Nodes that cannot link are put aside first,
 
 Pairs are formed in rounds. In a round each node meets one node only, of the largest class of linked
 nodes among those with its prefix n-grams, so groups of near copies collapse into classes without their
-pairs. When the pairs left between classes are fewer than the prefix n-grams, or nothing more links,
-all of these are compared. No link between different classes is lost, and nothing is capped.
+pairs. When the pairs left between classes are fewer than the prefix n-grams, or a round did not halve
+them, all of these are compared. No link between different classes is lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -202,25 +202,28 @@ def _links(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) ->
     inside = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("before")).cast("int"))
     posts = pieces.where("before < prefix").select("node", "n", "before", F.posexplode(inside).alias("at", "gram"))
     posts = materialise(posts.select("node", "n", "gram", (F.col("before") + F.col("at") + 1).alias("place")), "posts")
-    classed, links, found = posts.withColumn("class", F.col("node")), None, 0
-    for k in range(1 << 30):
-        order = F.struct(F.xxhash64("node", F.lit(k)), "node")  # another one of the class each time
+    classed, links, before = posts.withColumn("class", F.col("node")), None, None
+    while True:
+        order = F.struct(F.xxhash64("node", F.lit(0 if before is None else int(before))), "node")
         shares = classed.groupBy("gram", "class").agg(F.count("*").alias("m"), F.min(order).alias("one"))
         lists = shares.groupBy("gram").agg(F.count("*").alias("classes"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "class", "one")).alias("top"))
         lists = materialise(lists.where("classes > 1").select("gram", "rows", "same", F.col("top.class").alias("hub"), F.col("top.one.node").alias("centre")), "lists")
-        open_, rows = lists.agg(F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
         left = classed.join(lists.select("gram", "hub", "centre"), "gram")
-        if k and (not found or open_ <= rows):
+        apart, rows = lists.agg(F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if before is not None and (apart <= rows or 2 * apart > before):
             break
-        votes = left.where("class <> hub").groupBy("node", "centre").agg(F.count("*").alias("votes"))
-        stars = votes.groupBy("node").agg(F.max_by("centre", F.struct("votes", "centre")).alias("b")).withColumnRenamed("node", "a")
-        new = materialise(_overlapping(stars, pieces, num, den), "links")
-        found = new.count()
+        before = apart
+        votes = left.where("class <> hub").groupBy("node", "centre", "hub").agg(F.count("*").alias("votes"))
+        stars = votes.groupBy("node").agg(F.max(F.struct("votes", "centre", "hub")).alias("x")).select(F.col("node").alias("a"), F.col("x.centre").alias("b"), F.col("x.hub").alias("hub"))
+        stars = materialise(stars, "stars")
+        new = materialise(_overlapping(stars.select("a", "b"), pieces, num, den), "links")
         links = new if links is None else links.unionByName(new)
-        if found:
-            classes = materialise(components(links), "classes").withColumnRenamed("id", "node")
-            classed = posts.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
-            classed = materialise(classed, "classed")
+        # a node goes over to the class that its partner had, and once more to where the first of that class goes
+        moved = materialise(stars.join(new, ["a", "b"]).select(F.col("a").alias("node"), "hub"), "moved")
+        once = moved.select(F.col("node").alias("hub"), F.col("hub").alias("next"))
+        moved = moved.join(once, "hub", "left").select("node", F.coalesce("next", "hub").alias("moved"))
+        classed = classed.join(moved, "node", "left").withColumn("class", F.coalesce("moved", "class")).drop("moved")
+        classed = materialise(classed, "classed")
     side = lambda c: left.select("gram", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "class", "place")))
     reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
     fits = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & ((den + num) * reach >= num * (F.col("n_a") + F.col("n_b")))

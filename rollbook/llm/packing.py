@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread, table
-from .tokens import ROWS, encoder, vocabulary
+from .tokens import encoder, slices, vocabulary
 
 SIZE = 2048
 SEGMENT = 1 << 17
@@ -124,7 +124,7 @@ class Packer:
 
 def _pack(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path, words=True), end_id.to_bytes(4, "little")
+        enc = encoder(path, words=True)
         vocab = enc.tokenizer.get_vocab()
         is_end = np.zeros(max(vocab.values()) + 1, bool)
         is_end[[i for t, i in vocab.items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?") | set("\"')") and set(t[:-4]) & set(".!?")]] = True
@@ -134,11 +134,13 @@ def _pack(path: str, end_id: int, size: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                some = b.slice(at, ROWS)
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), strict=True):
-                    if rows := packer.add(doc_id, ids + end):
+            for some in slices(b, 1):
+                ids, counts = enc.encode(some.column(1), end_id)
+                raw, at = ids.tobytes(), 0
+                for doc_id, n in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):
+                    if rows := packer.add(doc_id, raw[4 * at : 4 * (at + n)]):
                         yield batch(rows)
+                    at += n
         if rows := packer.finish():
             yield batch(rows)
 
@@ -158,4 +160,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, doc
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens.
+
+    Null and empty texts are one piece holding the end id; null ids come first and rows that repeat an id
+    are documents of their own; very long texts span sequences; an empty table gives no row; other
+    columns are ignored.
+    """
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import materialise, new_path, spread, table
 from .storage import create, open_range
-from .tokens import ROWS, encoder, vocabulary
+from .tokens import encoder, slices, vocabulary
 
 MAGIC = b"PLANES01"
 BLOCK = 1 << 16
@@ -59,32 +59,35 @@ class Writer:
 
         self.out, self.bits, self.block = out, bits, block
         self.zstd = zstandard.ZstdCompressor(level=level)
-        self.buffer = bytearray()
+        self.held = np.zeros(0, "<u4")
         self.blocks: list[int] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs: list[np.ndarray] = []
         self.ids = 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append((doc_id is not None, doc_id or 0, len(ids) // 4))
-        self.ids += len(ids) // 4
-        self.buffer += ids
-        while len(self.buffer) >= 4 * self.block:
-            self._flush(4 * self.block)
-
-    def _flush(self, size: int) -> None:
-        planes = [self.zstd.compress(p) for p in to_planes(np.frombuffer(bytes(self.buffer[:size]), "<u4"), self.bits)]
-        del self.buffer[:size]
-        self.blocks += [size // 4, *map(len, planes)]
+    def add(self, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents in a row, with the ids of all of them."""
+        self.docs.append(np.array([(x is not None, x or 0, n) for x, n in zip(doc_ids, counts.tolist(), strict=True)], "<i8").reshape(-1, 3))
+        self.ids += len(ids)
+        ids, at = np.concatenate([self.held, ids]), 0
+        while len(ids) - at >= self.block:
+            self._flush(ids[at : at + self.block])
+            at += self.block
+        self.held = ids[at:].copy()
+
+    def _flush(self, ids: np.ndarray) -> None:
+        planes = [self.zstd.compress(p) for p in to_planes(ids, self.bits)]
+        self.blocks += [len(ids), *map(len, planes)]
         for p in planes:
             self.out.write(p)
 
     def close(self) -> None:
-        if self.buffer:
-            self._flush(len(self.buffer))
+        if len(self.held):
+            self._flush(self.held)
         planes = 32 if self.bits else 4
-        head = np.array([len(self.blocks) // (planes + 1), planes, self.block, len(self.docs)], "<i8")
-        index = self.zstd.compress(head.tobytes() + np.array(self.blocks, "<i8").tobytes() + np.array(self.docs, "<i8").tobytes())
+        docs = np.concatenate([np.zeros((0, 3), "<i8"), *self.docs])
+        head = np.array([len(self.blocks) // (planes + 1), planes, self.block, len(docs)], "<i8")
+        index = self.zstd.compress(head.tobytes() + np.array(self.blocks, "<i8").tobytes() + docs.tobytes())
         self.out.write(index + len(index).to_bytes(8, "little") + MAGIC)
         self.out.close()
 
@@ -141,16 +144,14 @@ class Reader:
 
 def _write(folder: str, path: str, end_id: int, bits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), end_id.to_bytes(4, "little")
-        part, writer, uri = TaskContext.get().partitionId(), None, ""
+        enc, part, writer, uri = encoder(path), TaskContext.get().partitionId(), None, ""
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
+            for some in slices(batch, 1):
                 if writer is None:
                     uri, out = create(folder, f"part-{part:06d}")
                     writer = Writer(out, bits)
-                some = batch.slice(at, ROWS)
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, ids + end)
+                ids, counts = enc.encode(some.column(1), end_id)
+                writer.add(some.column(0).to_pylist(), counts, ids)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "ids": [writer.ids]})
@@ -199,5 +200,10 @@ def read_index(files: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to plane files and read back.
+
+    Null and empty texts hold the end id alone; null ids come first and rows that repeat an id are kept,
+    ordered by text; very long texts span blocks; an empty table gives no row; other columns are ignored.
+    """
     files = write_ids(table(spark, sf_dir, "documents"), new_path(spark, "planes"), vocabulary("byte_bpe_50k.json"))
     return read_index(files)

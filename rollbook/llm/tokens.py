@@ -2,36 +2,55 @@
 
 Both tokenizers split a text at white space before merging, so the ids of a text are the ids of its
 chunks in a row. Each Python worker keeps the ids of chunks it has seen in a bounded table and asks the
-library only for new ones; the result is that of encoding the whole text.
+library only for new ones; the result is that of encoding the whole text with
+``add_special_tokens=False``. As the library does, a special token spelt out in a text becomes that
+token: such texts are given to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as the tokenizers' own patterns see it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_WORD = re.compile(f"[^{SPACE}]+")
-#: Other than single blanks and line feeds between chunks.
-_IRREGULAR = re.compile(r"[ \n][ \n]|[^\S \n]|^[ \n]|[ \n]\Z")
-_CONTROL = re.compile("[\x1c-\x1f]")
 LIMIT = 1_000_000
-#: Texts encoded together, so that their new chunks share a call.
-ROWS = 64
+#: Bytes of text encoded together, so that their new chunks share calls.
+SLICE = 4 << 20
 LONGEST = 64
+#: Chunks in a joined call of the library.
+JOINED = 50
 #: Divides chunks of a joined call; chunks that hold it are encoded by themselves.
 _BAR = "\x01"
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = SLICE, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """``encode_all(texts)`` gives the ids of whole texts as little-endian unsigned 32-bit bytes; null counts as empty.
+    """``encode(texts, end)`` gives the ids of whole texts, each followed by ``end``, and their counts; null counts as empty.
 
-    New chunks are encoded by one call on their concatenation and cut apart again: a byte-level chunk
-    starts at its blank or line feed, word chunks are divided by a bar.
+    Distinct chunks of a call are looked up once. New ones are encoded in joined groups and cut apart
+    again: a byte-level chunk starts at its blank or line feed, a word ends with its own kind of piece,
+    and other chunks of words are divided by a bar.
     """
 
     def __init__(self, path: str, words: bool = False):
@@ -39,67 +58,108 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = words
         self.seen: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
+        self.starts, self.ends = np.zeros((2, max(vocab.values()) + 1), bool)
         if words:
             (bar,) = self.tokenizer.encode(_BAR, add_special_tokens=False).ids
             self.starts[bar] = True
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         else:
-            self.starts[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, chunks: list[str]) -> None:
-        if self.words:
-            ids = self._ids("".join(f" {_BAR} {c}" for c in chunks))
-        else:
-            ids = self._ids("".join(c if c[0] == "\n" else f" {c}" for c in chunks))
-        at = np.flatnonzero(self.starts[ids])
-        if len(at) != len(chunks):  # a chunk that looks like several
-            for c in chunks:
-                self.seen[c] = self._ids(c if self.words or c[0] == "\n" else f" {c}").tobytes()
-            return
-        raw, ends = ids.tobytes(), [*at[1:].tolist(), len(ids)]
-        for c, i, j in zip(chunks, at.tolist(), ends, strict=True):
-            self.seen[c] = raw[4 * (i + self.words) : 4 * j]
-
-    def _parts(self, text: str | None) -> tuple[bytes, list[str]]:
-        """Ids of the part in front, and the chunks that follow."""
-        if not text:
-            return b"", []
-        if self.words:
-            if text.isascii():
-                text = text.lower()  # as the tokenizer does; fewer distinct chunks
-            return b"", _WORD.findall(text) if _CONTROL.search(text) else text.split()
-        if _IRREGULAR.search(text):
-            return b"".join(self._ids(c).tobytes() for c in _CHUNK.findall(text)), []
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self._ids(first).tobytes(), rest
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        parts = [self._parts(t) for t in texts]
+            self.starts[[i for t, i in vocab.items() if t[0] in "ĠĊ"]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spelt(self, chunk: str) -> str:
+        return chunk if self.words or chunk[:1] == "\n" else f" {chunk}"
+
+    def _learn(self, chunks: list[str], plain: bool) -> None:
+        """Ids of ``chunks``; ``plain``: words of letters only."""
+        groups = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        bar = self.words and not plain
+        joined = [" ".join(g) if plain else "".join(f" {_BAR} {c}" if bar else self._spelt(c) for c in g) for g in groups]
+        for group, ids in zip(groups, self._ids(joined), strict=True):
+            at = np.flatnonzero(self.ends[ids]) + 1 if plain else np.flatnonzero(self.starts[ids])
+            if len(at) != len(group):  # a chunk that looks like several
+                for c, x in zip(group, self._ids([self._spelt(c) for c in group]), strict=True):
+                    self.seen[c] = x.tobytes()
+                continue
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            first, last = ([0, *at[:-1]], at) if plain else (at, [*at[1:], len(raw)])
+            skip = 4 * bar
+            for c, i, j in zip(group, first, last, strict=True):
+                self.seen[c] = raw[i + skip : j]
+
+    def _whole(self, text: str) -> bytes:
+        """A text that chunks by blanks and line feeds don't fit."""
+        if self.words or any(t in text for t in self.special):
+            return self._ids([text])[0].tobytes()
+        return b"".join(x.tobytes() for x in self._ids(_CHUNK.findall(text)))
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        even = pc.replace_substring(pc.ascii_lower(texts), "\n", " ") if self.words else pc.replace_substring(texts, "\n", " \n")
+        parts = pc.split_pattern(even, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        which, chunks = coded.indices.to_numpy().astype(np.int64), _strings(coded.dictionary)
+        whole = pc.match_substring(even, "<|").to_numpy(zero_copy_only=False) if any("<|" in t for t in self.special) else np.zeros(len(texts), bool)
         if len(self.seen) >= LIMIT:
             self.seen.clear()
-        new = set().union(*(p for _, p in parts)).difference(self.seen)
-        extra = [c for c in new if len(c) > LONGEST or _BAR in c]
-        new.difference_update(extra)
-        new = list(new)
-        for i in range(0, len(new), 1000):
-            self._learn(new[i : i + 1000])
+        new = [c for c in chunks if c not in self.seen]
+        odd: set[str] = set()
+        if self.words:
+            extra = [c for c in new if len(c) > LONGEST or _BAR in c]
+            new = [c for c in new if c and len(c) <= LONGEST and _BAR not in c]
+            plain = [c for c in new if c.isalpha()]
+            self._learn(plain, True)
+            self._learn([c for c in new if not c.isalpha()], False)
+            self.seen[""] = b""
+        else:
+            odd = {c for c in new if not (x := c[1:] if c[:1] == "\n" else c) or x[0].isspace() or x[-1].isspace()}
+            extra = [c for c in new if len(c) > LONGEST and c not in odd]
+            self._learn([c for c in new if len(c) <= LONGEST and c not in odd], False)
         for c in extra:
-            self.seen[c] = self._ids(c if self.words or c[0] == "\n" else f" {c}").tobytes()
-        get = self.seen.__getitem__
-        out = [head + b"".join(map(get, p)) for head, p in parts]
+            self.seen[c] = self._ids([self._spelt(c)])[0].tobytes()
+        get = self.seen.get
+        pieces = [get(c, b"") for c in chunks]
         for c in extra:
             del self.seen[c]
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        none = len(pieces)
+        pieces.append(b"")
+        # the part in front of the first blank has none of its own; texts that are encoded whole are such a part
+        heads = [] if self.words else _strings(coded.dictionary.take(pa.array(which[bounds[:-1]])))
+        if not self.words:
+            which[bounds[:-1]] = none
+        if odd:
+            bad = np.array([c in odd for c in chunks] + [False])[which]
+            whole = whole | np.logical_or.reduceat(bad, bounds[:-1])
+        own = np.flatnonzero(whole)
+        if self.words:
+            front, at_front = [self._whole(texts[i].as_py()) for i in own.tolist()], own
+        else:
+            front, at_front = [x.tobytes() for x in self._ids(heads)], np.arange(len(texts))
+            for i in own.tolist():
+                front[i] = self._whole(texts[i].as_py())
+        for i in own.tolist():
+            which[bounds[i] : bounds[i + 1]] = none
+        fronts = np.full(len(texts), none)
+        fronts[at_front] = len(pieces) + np.arange(len(front))
+        pieces += front
+        pieces.append(b"" if end is None else end.to_bytes(4, "little"))
+        which = np.insert(which, np.r_[bounds[1:], bounds[:-1]], np.r_[np.full(len(texts), len(pieces) - 1), fronts])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        start = np.cumsum(size) - size
+        length = size[which]
+        offset = np.cumsum(length) - length
+        take = np.arange(int(length.sum())) + np.repeat(start[which] - offset, length)
+        counts = np.add.reduceat(length, bounds[:-1] + 2 * np.arange(len(texts)))
+        return np.frombuffer(b"".join(pieces), "<u4")[take], counts
 
 
 _encoders: dict[tuple, Encoder] = {}
