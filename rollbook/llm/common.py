@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,12 +14,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that Spark hands to Python at once, unless the session sets a number: texts are long, and both sides hold such a batch.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors' Python, once for each application."""
+    """Hand this package to the executors' Python, once for each application, in batches that suit texts."""
+    if spark.conf.get(BATCH[0], None) is None:
+        spark.conf.set(*BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -40,11 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """Folder that driver and executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (unit tests in one JVM) is a temporary folder made and set.
+    Where the session names none, a temporary folder is made and set for a local master (unit tests in
+    one JVM); any other master raises, as executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         path = tempfile.mkdtemp(prefix="spark-")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: White space as the tokenizers' own patterns see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-LIMIT = 1_000_000
+LIMIT = 600_000
 #: Bytes of text encoded together, so that their new chunks share calls.
 SLICE = 4 << 20
 LONGEST = 64
@@ -41,8 +41,39 @@ def slices(batch: pa.RecordBatch, column: int, size: int = SLICE, rows: int = 40
         at = to
 
 
-def _strings(column: pa.Array) -> list[str]:
-    return column.to_numpy(zero_copy_only=False).tolist()
+def parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts split at each blank: numbers of the parts, first part of each text (and the end), distinct parts."""
+    lists = pc.split_pattern(texts, " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def gather(table: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ``which`` of ``table``, of which ``size`` gives the lengths, one after the other; and where each begins (and the end)."""
+    start = np.cumsum(size) - size
+    at = np.r_[0, np.cumsum(size[which])]
+    return table[np.arange(int(at[-1])) + np.repeat(start[which] - at[:-1], size[which])], at
+
+
+def assemble(which: np.ndarray, bounds: np.ndarray, pieces: list[bytes], whole: dict[int, bytes], front: list[bytes] | None = None, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts from the ids of their parts, and their counts.
+
+    ``front`` goes before and ``end`` behind the parts of each text; texts in ``whole`` have its ids instead of front and parts.
+    """
+    n, none = len(bounds) - 1, len(pieces)
+    pieces = [*pieces, b"", end]
+    fronts = np.full(n, none)
+    if front is not None:
+        fronts = len(pieces) + np.arange(n)
+        pieces += front
+    for i, ids in whole.items():
+        which[bounds[i] : bounds[i + 1]] = none
+        fronts[i] = len(pieces)
+        pieces.append(ids)
+    which = np.insert(which, np.r_[bounds[1:], bounds[:-1]], np.r_[np.full(n, none + 1), fronts])
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    ids, at = gather(np.frombuffer(b"".join(pieces), "<u4"), size, which)
+    return ids, np.diff(at[np.r_[bounds[:-1] + 2 * np.arange(n), len(which)]])
 
 
 class Encoder:
@@ -104,10 +135,7 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         even = pc.replace_substring(pc.ascii_lower(texts), "\n", " ") if self.words else pc.replace_substring(texts, "\n", " \n")
-        parts = pc.split_pattern(even, " ")
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
-        which, chunks = coded.indices.to_numpy().astype(np.int64), _strings(coded.dictionary)
+        which, bounds, chunks = parts(even)
         whole = pc.match_substring(even, "<|").to_numpy(zero_copy_only=False) if any("<|" in t for t in self.special) else np.zeros(len(texts), bool)
         if len(self.seen) >= LIMIT:
             self.seen.clear()
@@ -130,36 +158,16 @@ class Encoder:
         pieces = [get(c, b"") for c in chunks]
         for c in extra:
             del self.seen[c]
-        none = len(pieces)
         pieces.append(b"")
-        # the part in front of the first blank has none of its own; texts that are encoded whole are such a part
-        heads = [] if self.words else _strings(coded.dictionary.take(pa.array(which[bounds[:-1]])))
+        # the part in front of the first blank has none of its own
+        heads = [] if self.words else [chunks[i] for i in which[bounds[:-1]].tolist()]
         if not self.words:
-            which[bounds[:-1]] = none
+            which[bounds[:-1]] = len(pieces) - 1
         if odd:
             bad = np.array([c in odd for c in chunks] + [False])[which]
             whole = whole | np.logical_or.reduceat(bad, bounds[:-1])
-        own = np.flatnonzero(whole)
-        if self.words:
-            front, at_front = [self._whole(texts[i].as_py()) for i in own.tolist()], own
-        else:
-            front, at_front = [x.tobytes() for x in self._ids(heads)], np.arange(len(texts))
-            for i in own.tolist():
-                front[i] = self._whole(texts[i].as_py())
-        for i in own.tolist():
-            which[bounds[i] : bounds[i + 1]] = none
-        fronts = np.full(len(texts), none)
-        fronts[at_front] = len(pieces) + np.arange(len(front))
-        pieces += front
-        pieces.append(b"" if end is None else end.to_bytes(4, "little"))
-        which = np.insert(which, np.r_[bounds[1:], bounds[:-1]], np.r_[np.full(len(texts), len(pieces) - 1), fronts])
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        start = np.cumsum(size) - size
-        length = size[which]
-        offset = np.cumsum(length) - length
-        take = np.arange(int(length.sum())) + np.repeat(start[which] - offset, length)
-        counts = np.add.reduceat(length, bounds[:-1] + 2 * np.arange(len(texts)))
-        return np.frombuffer(b"".join(pieces), "<u4")[take], counts
+        alone = {i: self._whole(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()}
+        return assemble(which, bounds, pieces, alone, None if self.words else [x.tobytes() for x in self._ids(heads)], b"" if end is None else end.to_bytes(4, "little"))
 
 
 _encoders: dict[tuple, Encoder] = {}

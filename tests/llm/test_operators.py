@@ -83,14 +83,53 @@ def test_sentencepiece_is_the_library_s(spark):
 
     path = vocabulary("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = [*corpus(), (2000, "a    b\x01\U0001f600  naïve  ", None, None, None), (2001, "▁ \n\n x", None, None, None)]
+    rng = random.Random(4)
+    odd = ["a    b\x01\U0001f600  naïve  ", "▁ \n\n x", "</s> <0x0A>", " " * 20_000, "ab" * 5000 + " x" + "中" * 300]
+    odd += [" " * k + x for k in range(1, 40) for x in ("", "the", "\n")]
+    odd += ["".join(rng.choices(["the", "a", "in", " ", "  ", "\n", "é", "▁", "1", "==", "\t"], k=12)) for _ in range(300)]
+    rows = [*corpus(), *((2000 + i, x, None, None, None) for i, x in enumerate(odd)), (None, "x", None, None, None), (3, "y", None, None, None)]
     docs = frame(spark, rows).withColumn("ids", F.lit("own"))
-    out = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, path), path).collect()
+    out = sentencepiece_wfst.decode(sentencepiece_wfst.encode(docs, path, decoded="again"), path).collect()
     assert len(out) == len(rows)
     for r in out:
         text = r["text"] or ""
-        assert list(r["ids"]) == lib.encode(text) and r["decoded"] == lib.decode(list(r["ids"]))
+        assert list(r["ids"]) == lib.encode(text) and r["decoded"] == r["again"] == lib.decode(list(r["ids"]))
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    assert sentencepiece_wfst.encode(frame(spark, []), path).count() == 0
+
+
+def small_model(tmp_path, kind, squeeze):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    names = ["<unk>", *(f"<0x{i:02X}>" for i in range(256)), "▁", "a", "b", "ab", "▁a", "aab", "bb", "▁ab", "abab"]
+    for i, x in enumerate(names):
+        p = m.pieces.add(piece=x, score=0.0 if i < 257 else -1.0 - (i * 7 % 5))
+        p.type = p.UNKNOWN if i == 0 else p.BYTE if i < 257 else p.NORMAL
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = kind, True, len(names)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = "identity", True, squeeze
+    path = tmp_path / f"{kind}{squeeze}.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_sentencepiece_of_other_models(tmp_path, kind, squeeze):
+    import sentencepiece
+
+    path = small_model(tmp_path, kind, squeeze)
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_wfst.Transducer(path)
+    rng = random.Random(5)
+    for _ in range(400):
+        text = "".join(rng.choices(["a", "b", " ", "é"], [6, 6, 2, 1], k=rng.randint(0, 12)))
+        if kind == 2:
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == lib.encode(text)
+        score = lambda ids: sum(-1000.0 if i < 257 else own.score[own.piece[i]] for i in ids)
+        assert own.decode(np.frombuffer(own.encode(text), "<u4")) == lib.decode(lib.encode(text))
+        assert score(np.frombuffer(own.encode(text), "<u4").tolist()) == score(lib.encode(text))
+        s = own.normalise(text)
+        assert not s or own.shortest([s])[0] == own.shortest_of_long(s) or kind == 1
 
 
 def test_line_dedup(spark):
@@ -222,29 +261,40 @@ def library_ids(name, end):
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
+ODD_TEXTS = ["\n a\n\n b \t c <|endoftext|> ", "Don't stop. \x1c Ünï—中文 <|endoftext|>!\x01 x", "<|EndOfText|> <|startoftext|>", "x\t \ty\r\nz", "ab cd " * 70_000, "q" * 3000]
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_token_planes_round_trip(spark, bits):
     ids = library_ids("byte_bpe_50k.json", 0)
-    rows = [*corpus(), (2000, "\n a\n\n b \t c <|endoftext|> ", None, None, None)]
-    files = token_files.write_ids(frame(spark, rows), new_path(spark, "planes"), vocabulary("byte_bpe_50k.json"), bits=bits)
-    got, at = {r["doc_id"]: r for r in token_files.read_index(files).collect()}, 0
-    assert len(got) == len(rows)
-    for doc_id, text, *_ in sorted(rows):
+    rows = [*corpus(), *((2000 + i, x, None, None, None) for i, x in enumerate(ODD_TEXTS)), (3, "again", None, None, None), (3, "again", None, None, None)]
+    docs = frame(spark, [*rows, (None, "no id", None, None, None)]).withColumn("start", F.lit("own"))
+    files = token_files.write_ids(docs, new_path(spark, "planes"), vocabulary("byte_bpe_50k.json"), bits=bits)
+    got, at = sorted(tuple(r) for r in token_files.read_index(files).collect() if r["doc_id"] is not None), 0
+    (none,) = (tuple(r) for r in token_files.read_index(files).where("doc_id IS NULL").collect())
+    want = ids("no id")
+    assert none == (None, 0, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    at = len(want)
+    assert len(got) == len(rows) and sum(r[2] for r in got) > 2 * token_files.BLOCK
+    for r, (doc_id, text, *_) in zip(got, sorted(rows, key=lambda r: (r[0], r[1] or "")), strict=True):
         want = ids(text)
-        assert got[doc_id][1:] == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        assert r == (doc_id, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
     assert token_files.read_index(token_files.write_ids(frame(spark, []), new_path(spark, "planes"), vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
 def test_packing(spark):
     ids = library_ids("word_bpe_49k.json", 1)
-    rows = [*corpus(), (2000, "Don't stop. \x1c Ünï—中文 <|endoftext|>!\x01 x", None, None, None)]
-    got = packing.pack(frame(spark, rows), vocabulary("word_bpe_49k.json")).collect()
+    rows = [*corpus(), *((2000 + i, x, None, None, None) for i, x in enumerate(ODD_TEXTS)), (None, "no id", None, None, None)]
+    repeats = [(3000, "again and again", None, None, None)] * 3
+    docs = frame(spark, rows + repeats).withColumn("offset", F.lit("own"))
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json")).collect()
     of_doc, of_seq = defaultdict(list), defaultdict(list)
     for r in got:
         of_doc[r["doc_id"]].append(r)
         of_seq[r["sequence_id"]].append(r)
-    assert len(of_doc) == len(rows)
+    assert len(of_doc) == len(rows) + 1 and sum(r["start"] == 0 for r in of_doc.pop(3000)) == 3
+    assert max(r["doc_tokens"] for r in got) > packing.SEGMENT
     for doc_id, text, *_ in rows:
         want, at = np.array(ids(text), "<u4"), 0
         for r in sorted(of_doc[doc_id], key=lambda r: r["start"]):
