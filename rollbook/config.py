@@ -57,7 +57,7 @@ def _build(kind: type, raw: dict[str, Any]) -> Any:
     try:
         return kind(**values)
     except TypeError as e:
-        raise ValueError(f"Missing required config key in {kind.__name__.lower()}: {e}") from e
+        raise ValueError(f"{kind.__name__.lower()} of the configuration: {e}") from e
 
 
 def load_config(path: str) -> Config:
@@ -67,5 +67,5 @@ def load_config(path: str) -> Config:
     raw = yaml.safe_load(Path(path).read_text()) or {}
     for key in ("data", "experiments"):
         if key not in raw:
-            raise ValueError(f"Missing required config key: {key}")
+            raise ValueError(f"the configuration has no {key}")
     return Config(_build(Data, raw["data"]), [_build(Experiment, e) for e in raw["experiments"]], _build(Project, raw.get("project") or {}), _build(Modeling, raw.get("modeling") or {}))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from pathlib import Path
+from pathlib import PurePosixPath
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +19,17 @@ from .operators.sampling import cap_rows, sample_fraction
 from .plans.prepare import Prepared, prepare
 from .plans.scoring import IDS, Scoring
 from .plans.tasks import Task, all_tasks, filter_years
-from .sources.files import feature_summary, load_inputs, schema_sidecar, write_feature_table, write_frame
+from .sources.files import exists, feature_summary, load_inputs, read_text, schema_sidecar, write_feature_table, write_frame, write_text
+
+# Columns and files of the scoring output.
+SHORT_PROB = "short_horizon_absence_prob"
+LESSON_PROB = "lesson_absence_prob"
+LESSON_SUM = "lesson_expected_absence"
 
 
 def load_prepared(spark: SparkSession, config: Config) -> Prepared:
     tables = load_inputs(spark, vars(config.data))
-    return prepare(tables["attendance_events"], tables["student_schedule"], tables["school_calendar"], config.modeling, config.project.school_year_start_month).persist()
+    return prepare(tables["attendance_events"], tables["student_schedule"], tables["school_calendar"], config.modeling, config.project.school_year_start_month).stored()
 
 
 def evaluate(task: Task, model: M.Model, frame: DataFrame, split: str, config: Config) -> tuple[DataFrame, dict[str, Any], list[dict[str, Any]]]:
@@ -71,21 +76,21 @@ def score_class(spark: SparkSession, config: Config, as_of: str, school_id: str,
     out = config.project.output_dir
     load = lambda task: M.Model.load(spark, f"{out}/models/production/{task}")
     ids = ["date", *IDS]
-    short = load("short_horizon").with_probability(s.short_horizon(), "short_horizon_absence_prob").select(*ids, "short_horizon_absence_prob")
+    short = load("short_horizon").with_probability(s.short_horizon(), SHORT_PROB).select(*ids, SHORT_PROB)
 
     def risks(frame: DataFrame, prefix: str, end: str) -> DataFrame:
         for k in (10, 20):
             frame = load(f"{prefix}_{k}").with_probability(frame, f"risk_{k}pct_{end}_end")
         return frame.select(*ids, f"risk_10pct_{end}_end", f"risk_20pct_{end}_end").orderBy(F.desc(f"risk_20pct_{end}_end"), "student_id")
 
-    lesson = load("lesson").with_probability(s.lesson(), "lesson_absence_prob")
-    lesson = lesson.select("score_date", "target_date", *IDS, "lesson_id", "target_subject", "target_lesson_start_minutes", "lesson_absence_prob")
+    lesson = load("lesson").with_probability(s.lesson(), LESSON_PROB)
+    lesson = lesson.select("score_date", "target_date", *IDS, "lesson_id", "target_subject", "target_lesson_start_minutes", LESSON_PROB)
     frames = {
-        "short_horizon_predictions": short.orderBy(F.desc("short_horizon_absence_prob"), "student_id"),
+        "short_horizon_predictions": short.orderBy(F.desc(SHORT_PROB), "student_id"),
         "chronic_predictions": risks(s.chronic(), "chronic", "term"),
         "chronic_lasyar_predictions": risks(s.chronic_year(), "chronic_year", "year"),
-        "lesson_predictions": lesson.orderBy("target_date", "target_lesson_start_minutes", F.desc("lesson_absence_prob"), "student_id"),
-        "lesson_expected_absence": metrics.expected_absence(lesson).orderBy("target_date", "target_lesson_start_minutes", "lesson_id"),
+        "lesson_predictions": lesson.orderBy("target_date", "target_lesson_start_minutes", F.desc(LESSON_PROB), "student_id"),
+        LESSON_SUM: metrics.expected_missed(lesson, LESSON_PROB, LESSON_SUM).orderBy("target_date", "target_lesson_start_minutes", "lesson_id"),
     }
     folder = f"{out}/scoring/{school_id}_{class_id}_{as_of}"
     for name, df in frames.items():
@@ -98,21 +103,19 @@ def materialise(spark: SparkSession, config: Config, folder: str) -> dict[str, A
     summary = {}
     for name, t in all_tasks(load_prepared(spark, config), config.modeling, config.project.school_year_start_month).items():
         t.frame = spark.read.parquet(write_feature_table(t.frame, folder, name))
-        Path(folder, f"{name}_schema.json").write_text(schema_sidecar(t.frame, t.target, t.numeric, t.categorical, t.ids))
+        write_text(f"{folder}/{name}_schema.json", schema_sidecar(t.frame, t.target, t.numeric, t.categorical, t.ids))
         summary[name] = {**feature_summary(t.frame, t.target).first().asDict(), "n_numeric": len(t.numeric), "n_categorical": len(t.categorical)}
-    Path(folder, "summary.json").write_text(json.dumps(summary, indent=2))
+    write_text(f"{folder}/summary.json", json.dumps(summary, indent=2))
     return summary
 
 
-
-
 def load_candidate(folder: str) -> dict[str, Any]:
     import yaml
 
-    file = Path(folder, "config.yaml")
-    if not file.exists():
-        raise FileNotFoundError(f"No config.yaml found in {folder}")
-    raw = yaml.safe_load(file.read_text()) or {}
+    file = f"{folder}/config.yaml"
+    if not exists(file):
+        raise FileNotFoundError(f"{file} is not there")
+    raw = yaml.safe_load(read_text(file)) or {}
     if "task" not in raw:
         raise ValueError("candidate config must specify 'task'")
     return raw
@@ -125,7 +128,7 @@ def run_candidate(spark: SparkSession, folder: str, features: str, config: Confi
     settings = dict(raw.get("model") or {})
     kind, seed = settings.pop("type", "logistic"), int(raw.get("seed", config.project.random_seed))
     numeric, categorical = C.resolve(groups, name)
-    if not Path(features, f"{name}.parquet").exists():
+    if not exists(f"{features}/{name}.parquet"):
         raise FileNotFoundError(f"Feature table not found: {features}/{name}.parquet; materialise the features first")
     frame = spark.read.parquet(f"{features}/{name}.parquet")
     missing = [c for c in numeric + categorical if c not in frame.columns]
@@ -146,8 +149,8 @@ def run_candidate(spark: SparkSession, folder: str, features: str, config: Confi
     M.calibrate(model, seen, task.target, task.group).save(spark, f"{folder}/model")
     by_feature = {r[0]: r[1] for r in M.permutation_importance(model, seen, task.target, task.ids, repeats=repeats, seed=seed).collect()} if importance and kind == "logistic" else {}
     by_group = C.group_importance(by_feature)
-    row = {"candidate": Path(folder).name, "task": name, "experiment": e.name, "model_type": kind, "hyperparams": settings, "feature_groups": groups, "n_features": len(numeric) + len(categorical), "train_rows": rows.count(), "val_rows": found["row_count"], "runtime_s": round(time.monotonic() - began, 1), **found, "subgroups": subgroups}
-    Path(folder, "metrics.json").write_text(json.dumps(row, indent=2))
-    Path(folder, "importance.json").write_text(json.dumps({"by_feature": by_feature, "by_group": by_group}, indent=2))
+    row = {"candidate": PurePosixPath(folder).name, "task": name, "experiment": e.name, "model_type": kind, "hyperparams": settings, "feature_groups": groups, "n_features": len(numeric) + len(categorical), "train_rows": rows.count(), "val_rows": found["row_count"], "runtime_s": round(time.monotonic() - began, 1), **found, "subgroups": subgroups}
+    write_text(f"{folder}/metrics.json", json.dumps(row, indent=2))
+    write_text(f"{folder}/importance.json", json.dumps({"by_feature": by_feature, "by_group": by_group}, indent=2))
     reports.append_log(log, row, by_group)
     return row

@@ -98,7 +98,7 @@ def with_rolling(days: DataFrame) -> DataFrame:
 
 
 def with_streaks(days: DataFrame) -> DataFrame:
-    """Rows in a row with an absence, and rows since the last one, over the student's whole history."""
+    """Rows in a row with a miss, and rows since the last one, over the student's whole history."""
     days = days.withColumn("__row", F.row_number().over(day_order()))
     w, out = to_date_frame(), {}
     for kind, flag, since in (("substantial", F.col("daily_any_substantial_miss"), "substantial_miss"), ("ogiltig", F.col("daily_ogiltig_missed_minutes") > 0, "ogiltig_miss")):
@@ -126,15 +126,20 @@ def with_term_progress(days: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def with_prior_year(days: DataFrame) -> DataFrame:
-    years = days.groupBy("student_id", F.col("academic_year").alias("previous_academic_year")).agg(
-        F.sum("daily_recorded_minutes").alias("r"), F.sum("daily_missed_minutes").alias("m"), F.sum("daily_giltig_missed_minutes").alias("g"),
-        F.sum("daily_ogiltig_missed_minutes").alias("o"), F.count_if("daily_any_substantial_miss").alias("s"), F.count_distinct("date").alias("d"),
-    )
-    ratio = lambda n, d: X.safe_divide(F.col(n), F.col(d))
-    years = years.select("student_id", "previous_academic_year", ratio("m", "r").alias("prior_year_missed_ratio"), ratio("g", "r").alias("prior_year_giltig_ratio"), ratio("o", "r").alias("prior_year_ogiltig_ratio"), ratio("s", "d").alias("prior_year_substantial_day_rate"))
-    days = days.withColumn("previous_academic_year", X.previous_academic_year(F.col("academic_year")))
-    days = days.join(years, ["student_id", "previous_academic_year"], "left")
-    return days.withColumn("has_prior_year_history", F.col("prior_year_missed_ratio").isNotNull().cast("int"))
+    """Ratios of the whole school year before, by a range frame over a student's years; null without one."""
+    start = F.substring_index("academic_year", "/", 1).cast("int")
+    before = Window.partitionBy("student_id").orderBy("__year").rangeBetween(-1, -1)
+    days = days.withColumns({"__year": start, "__new_date": (~F.col("date").eqNullSafe(F.lag("date").over(day_order()))).cast("int")})
+    total = lambda c: F.sum(c).over(before)
+    recorded = total("daily_recorded_minutes")
+    days = days.withColumns({
+        "prior_year_missed_ratio": X.safe_divide(total("daily_missed_minutes"), recorded),
+        "prior_year_giltig_ratio": X.safe_divide(total("daily_giltig_missed_minutes"), recorded),
+        "prior_year_ogiltig_ratio": X.safe_divide(total("daily_ogiltig_missed_minutes"), recorded),
+        "prior_year_substantial_day_rate": X.safe_divide(total(F.col("daily_any_substantial_miss").cast("int")), total("__new_date")),
+        "previous_academic_year": X.previous_academic_year(F.col("academic_year")),
+    })
+    return days.drop("__year", "__new_date").withColumn("has_prior_year_history", F.col("prior_year_missed_ratio").isNotNull().cast("int"))
 
 
 def student_day(lessons: DataFrame, calendar: DataFrame) -> DataFrame:

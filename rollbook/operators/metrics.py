@@ -10,22 +10,23 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranges import descending, first_rows, running_totals
 
 
 def precision_at(df: DataFrame, target: str, score: str, fraction: float, ids: list[str], n: int | None = None) -> DataFrame:
     """``precision``: mean label of the ceil(n * fraction) best rows, one at least."""
     n = df.count() if n is None else n
-    top = df.orderBy(F.col(score).desc(), *ids).limit(max(1, math.ceil(n * fraction)))
+    top = first_rows(df, max(1, math.ceil(n * fraction)), [descending(score), *map(F.col, ids)])
     return top.agg(F.avg(F.col(target).cast("double")).alias("precision"))
 
 
 def average_precision(df: DataFrame, target: str, score: str, by: list[str] = ()) -> DataFrame:
     """``pr_auc`` by steps: precision at each distinct score, weighted by its positives; null with one class."""
     cut = df.groupBy(*by, score).agg(F.sum(F.col(target).cast("double")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = w.orderBy(F.col(score).desc())
-    cut = cut.withColumns({"tp": F.sum("p").over(down), "all": F.sum("n").over(down), "pos": F.sum("p").over(w), "rows": F.sum("n").over(w)})
+    cut = running_totals(cut, [descending(score)], {"tp": F.col("p"), "all": F.col("n")}, list(by))
+    whole = cut.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("rows"))
+    cut = cut.join(whole, list(by)) if by else cut.crossJoin(F.broadcast(whole))  # one row
     area = F.sum(F.col("p") / F.when(F.col("pos") > 0, F.col("pos")) * F.col("tp") / F.col("all"))
     return cut.groupBy(*by).agg(F.when((F.max("pos") > 0) & (F.max("pos") < F.max("rows")), area).alias("pr_auc"))
 
@@ -48,8 +49,8 @@ def group_metrics(df: DataFrame, group: str, target: str, score: str, fractions:
     """A row of metrics for each group of at least ``min_rows`` rows."""
     out = basics(df, target, score, [group]).where(F.col("row_count") >= min_rows)
     out = out.join(average_precision(df, target, score, [group]), group)
-    w = Window.partitionBy(group)
-    ranked = df.select(group, F.col(target).cast("double").alias("y"), F.row_number().over(w.orderBy(F.col(score).desc(), *ids)).alias("r"), F.count("*").over(w).alias("n"))
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    ranked = running_totals(df, [descending(score), *map(F.col, ids)], {"r": F.lit(1)}, [group]).join(sizes, group).select(group, F.col(target).cast("double").alias("y"), "r", "n")
     for f in fractions:
         top = ranked.where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * f))).groupBy(group).agg(F.avg("y").alias(f"precision_at_{f:.2f}"))
         out = out.join(top, group)
@@ -57,16 +58,16 @@ def group_metrics(df: DataFrame, group: str, target: str, score: str, fractions:
 
 
 def lesson_totals(df: DataFrame, score: str, target: str) -> DataFrame:
-    """Expected and actual absences of each lesson; rows with a null key belong to none."""
+    """Expected and actual missed attendances of each lesson; rows with a null key belong to none."""
     keys = ["date", "school_id", "class_id", "lesson_id"]
-    return df.dropna(subset=keys).groupBy(*keys).agg(F.sum(score).alias("expected_absence"), F.sum(F.col(target).cast("double")).alias("actual_absence"))
+    return df.dropna(subset=keys).groupBy(*keys).agg(F.sum(score).alias("expected_missed"), F.sum(F.col(target).cast("double")).alias("actual_missed"))
 
 
 def average_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Rank of ``col`` from 1, ties sharing their mean rank; ranks come from the distinct values' counts."""
     counts = df.groupBy(F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("__v", (below + (F.col("__n") + 1) / 2).alias(out))
+    counts = running_totals(counts, [F.col("__v")], {"__upto": F.col("__n")})
+    ranks = counts.select("__v", (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(ranks, F.col(col) == F.col("__v")).drop("__v")
 
 
@@ -76,17 +77,18 @@ def lesson_metrics(totals: DataFrame, fractions: list[float]) -> DataFrame:
     Lesson totals are read once for the rank sums and once for each of the two top lists of a fraction.
     """
     keys = ["date", "school_id", "class_id", "lesson_id"]
-    ranked = totals.transform(average_rank, "expected_absence", "re").transform(average_rank, "actual_absence", "ra")
-    out = ranked.agg(F.count("*").alias("lesson_count"), F.corr("re", "ra").alias("rank_correlation"), F.avg(F.abs(F.col("expected_absence") - F.col("actual_absence"))).alias("mae_expected_absence"))
+    ranked = totals.transform(average_rank, "expected_missed", "re").transform(average_rank, "actual_missed", "ra")
+    out = ranked.agg(F.count("*").alias("lesson_count"), F.corr("re", "ra").alias("rank_correlation"), F.avg(F.abs(F.col("expected_missed") - F.col("actual_missed"))).alias("mae_expected_missed"))
     n = totals.count()
     for f in fractions:
         k = max(1, math.ceil(n * f))
-        best = [totals.orderBy(F.col(c).desc(), *keys).limit(k).select(*keys) for c in ("expected_absence", "actual_absence")]
+        best = [first_rows(totals, k, [descending(c), *map(F.col, keys)]).select(*keys) for c in ("expected_missed", "actual_missed")]
         hit = best[0].join(best[1], keys).agg((F.count("*") / k).alias(f"lesson_hit_rate_at_{f:.2f}"))
-        out = out.join(hit)  # one row each
+        out = out.crossJoin(hit)  # one row each
     return out
 
 
-def expected_absence(predictions: DataFrame, prob: str = "lesson_absence_prob") -> DataFrame:
+def expected_missed(predictions: DataFrame, prob: str, out: str = "lesson_expected_missed") -> DataFrame:
+    """Sum of the probabilities of all students of a lesson; rows with a null key belong to none."""
     keys = ["target_date", "lesson_id", "target_subject", "target_lesson_start_minutes"]
-    return predictions.dropna(subset=keys).groupBy(*keys).agg(F.sum(prob).alias("lesson_expected_absence"))
+    return predictions.dropna(subset=keys).groupBy(*keys).agg(F.sum(prob).alias(out))

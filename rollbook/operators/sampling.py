@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import first_rows
+
 
 def draw_order(keys: list[str], seed: int) -> Column:
     """The same in every run and engine: MD5 of the key's text and the seed."""
@@ -15,7 +17,7 @@ def draw_order(keys: list[str], seed: int) -> Column:
 
 def draw(df: DataFrame, n: int, keys: list[str], seed: int) -> DataFrame:
     """The first ``n`` rows in draw order."""
-    return df.orderBy(draw_order(keys, seed), *keys).limit(n)
+    return first_rows(df, n, [draw_order(keys, seed), *map(F.col, keys)])
 
 
 def _counts(df: DataFrame, target: str) -> tuple[int, int]:

@@ -51,7 +51,7 @@ class Scoring:
     def check(self) -> Scoring:
         """``ValueError`` if the class has no student that day."""
         if self.students.isEmpty():
-            raise ValueError(f"No scored students found for school={self.school_id} class={self.class_id} on {self.as_of}")
+            raise ValueError(f"class {self.class_id} of school {self.school_id} has no student with a complete day on {self.as_of}")
         return self
 
     def _pick(self, df: DataFrame, task: str) -> DataFrame:

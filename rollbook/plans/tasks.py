@@ -142,12 +142,22 @@ def slot_history(lessons: DataFrame, slot: str) -> DataFrame:
 
 
 def with_histories(frame: DataFrame, lessons: DataFrame) -> DataFrame:
-    """Slot histories known at ``score_date`` for each target lesson; 0 without history."""
+    """Slot histories known at ``score_date`` for each target lesson; 0 without history.
+
+    They are looked up for the distinct slots and dates of a student, a few narrow columns, and joined to
+    the wide rows once.
+    """
+    keys = ["student_id", *(f"target_{c}" for c in SLOTS["subject_weekday_timebin"]), "score_date"]
+    known = frame.select(*keys).distinct()
     for slot, by in SLOTS.items():
         history = slot_history(lessons, slot).withColumnsRenamed({c: f"target_{c}" for c in by})
         values = [f"hist_{slot}_lesson_count", f"hist_{slot}_substantial_rate"]
-        frame = asof_join(frame, history, ["student_id", *(f"target_{c}" for c in by)], "score_date", "date", values, 0.0)
-    return frame
+        known = asof_join(known, history, ["student_id", *(f"target_{c}" for c in by)], "score_date", "date", values, 0.0)
+    known = known.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.col("student_id") == F.col("__student_id")
+    for k in keys[1:]:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return frame.join(known, on, "left").drop(*(f"__{k}" for k in keys))
 
 
 def with_target_flags(lessons: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from .plans import tasks
 from .plans.prepare import Prepared, prepare
 from .plans.scoring import Scoring
 from .sources import derived, files
+from .sources.shared import written
 
 DAY = ["student_id", "date"]
 LESSON = ["student_id", "date", "lesson_id"]
@@ -133,7 +134,7 @@ for _s, _by in tasks.SLOTS.items():
     add(f"asof_{_name}", _asof, [*LESSON, "score_date", *_hist], "asof_subject_weekday_timebin")
 add("lesson_expand", lambda s, d: (lambda p: tasks.expand_lessons(p.lesson_frame, p.student_day, 5))(prepared(s, d)), [*LESSON, "score_date", "horizon_school_days", "target_label", "roll_5d_missed_ratio"], "expanded")
 add("lesson_day_flags", lambda s, d: tasks.with_target_flags(lesson_rows(s, d).where("has_attendance_record")), [*LESSON, *_TARGET], "flags")
-add("lesson_dataset", lambda s, d: tasks.lesson(prepared(s, d)).frame, _task_columns("lesson"), "asof_subject_weekday_timebin")
+add("lesson_dataset", lambda s, d: tasks.lesson(prepared(s, d).stored()).frame, _task_columns("lesson"), "asof_subject_weekday_timebin")
 
 
 def _class(spark: SparkSession, d: str) -> tuple[str, str, str]:
@@ -200,16 +201,16 @@ _LSUM = f"(SELECT date, school_id, class_id, lesson_id, round(sum(score), 6) AS
 
 
 def _lesson_totals(spark, d):
-    return metrics.lesson_totals(_scored_lessons(spark, d), "score", "target_label").withColumn("expected_absence", F.round("expected_absence", 6))
+    return metrics.lesson_totals(_scored_lessons(spark, d), "score", "target_label").withColumn("expected_missed", F.round("expected_missed", 6))
 
 
-add("lesson_aggregate_metrics", lambda s, d: metrics.lesson_metrics(_lesson_totals(s, d), [0.05]), ["lesson_count", "rank_correlation", "mae_expected_absence", "lesson_hit_rate_at_0.05"],
-    raw=f"""SELECT round(CAST(count(*) AS DOUBLE), 9) AS lesson_count, round(corr(re, ra), 9) AS rank_correlation, round(avg(abs(e - a)), 9) AS mae_expected_absence,
+add("lesson_aggregate_metrics", lambda s, d: metrics.lesson_metrics(_lesson_totals(s, d), [0.05]), ["lesson_count", "rank_correlation", "mae_expected_missed", "lesson_hit_rate_at_0.05"],
+    raw=f"""SELECT round(CAST(count(*) AS DOUBLE), 9) AS lesson_count, round(corr(re, ra), 9) AS rank_correlation, round(avg(abs(e - a)), 9) AS mae_expected_missed,
       round(count(*) FILTER (pe <= k AND pa <= k) / any_value(k), 9) AS "lesson_hit_rate_at_0.05"
       FROM (SELECT *, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS re, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra,
         row_number() OVER (ORDER BY e DESC, date, school_id, class_id, lesson_id) AS pe, row_number() OVER (ORDER BY a DESC, date, school_id, class_id, lesson_id) AS pa, ceil(count(*) OVER () * 0.05) AS k FROM {_LSUM})""")
-add("expected_absence", lambda s, d: metrics.expected_absence(_scored_lessons(s, d).withColumnsRenamed({"date": "target_date", "score": "lesson_absence_prob"})), ["target_date", "lesson_id", "target_subject", "target_lesson_start_minutes", "lesson_expected_absence"],
-    raw=f"SELECT date AS target_date, lesson_id, target_subject, round(CAST(target_lesson_start_minutes AS DOUBLE), 9) AS target_lesson_start_minutes, round(sum(score), 9) AS lesson_expected_absence FROM {_LESSONS} WHERE target_lesson_start_minutes IS NOT NULL AND target_subject IS NOT NULL GROUP BY ALL")
+add("expected_missed", lambda s, d: metrics.expected_missed(_scored_lessons(s, d).withColumnRenamed("date", "target_date"), "score"), ["target_date", "lesson_id", "target_subject", "target_lesson_start_minutes", "lesson_expected_missed"],
+    raw=f"SELECT date AS target_date, lesson_id, target_subject, round(CAST(target_lesson_start_minutes AS DOUBLE), 9) AS target_lesson_start_minutes, round(sum(score), 9) AS lesson_expected_missed FROM {_LESSONS} WHERE target_lesson_start_minutes IS NOT NULL AND target_subject IS NOT NULL GROUP BY ALL")
 add("feature_summary", lambda s, d: files.feature_summary(tasks.chronic(prepared(s, d), 0.10).frame, "target_chronic_10"), ["row_count", "positive_rate", "years"],
     raw="SELECT round(CAST(count(*) AS DOUBLE), 9) AS row_count, round(avg(target_chronic_10), 9) AS positive_rate, string_agg(DISTINCT academic_year, ',' ORDER BY academic_year) AS years FROM chronic")
 _DRAW = "md5(student_id || '|' || strftime(date, '%Y-%m-%d') || '|' || '42')"
@@ -232,9 +233,9 @@ _TRAIN, _SEEN = ["1994/95", "1995/96", "1996/97"], ["1997/98"]
 
 
 def _trained(spark, d, candidate="logistic"):
-    """A chronic model of the first three school years, and its task with rows kept at hand."""
+    """A chronic model of the first three school years, and its task with rows written once."""
     task = tasks.chronic(prepared(spark, d), 0.20)
-    task.frame = task.frame.where(F.col("academic_year").isin(_TRAIN + _SEEN)).persist()
+    task.frame = written(task.frame.where(F.col("academic_year").isin(_TRAIN + _SEEN)), "chronic")
     return fit_candidate(task.frame.where(F.col("academic_year").isin(_TRAIN)), task, candidate, 42), task
 
 
@@ -260,10 +261,8 @@ def _importance(spark, d):
 
 
 def _group_importance(spark, d):
-    """Mean importance by feature group; features of no group count as ``base``."""
-    named = [(c, g) for g, cols in C.GROUPS.items() for c in cols]
-    groups = spark.createDataFrame(named, "feature string, feature_group string")
-    rows = _importance(spark, d).join(groups, "feature", "left").withColumn("feature_group", F.coalesce("feature_group", F.lit("base")))
+    names = F.create_map(*(F.lit(x) for g, cols in C.GROUPS.items() for c in cols for x in (c, g)))
+    rows = _importance(spark, d).withColumn("feature_group", F.coalesce(names[F.col("feature")], F.lit(C.group_of(""))))
     return rows.groupBy("feature_group").agg(F.avg("importance").alias("importance"))
 
 

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 import math
-from pathlib import Path
 from typing import Any
 
+from .sources.files import exists, read_text, write_text
+
 
 def _clean(x: Any) -> Any:
     return None if isinstance(x, float) and not math.isfinite(x) else x
 
 
 def write_json(records: list[dict[str, Any]], path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps([{k: _clean(v) for k, v in r.items()} for r in records], indent=2))
+    write_text(path, json.dumps([{k: _clean(v) for k, v in r.items()} for r in records], indent=2))
 
 
 def write_markdown(records: list[dict[str, Any]], path: str) -> None:
@@ -26,8 +27,7 @@ def write_markdown(records: list[dict[str, Any]], path: str) -> None:
         for r in (x for x in records if x.get("experiment", "") == name):
             values = ", ".join(f"{k}={v:.4f}" if isinstance(v, float) else f"{k}={v}" for k, v in r.items() if k not in ("experiment", "task", "split"))
             lines.append(f"- **{r.get('task')}** {r.get('split')}: {values}")
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n".join(lines) + "\n")
+    write_text(path, "\n".join(lines) + "\n")
 
 
 LOG_COLUMNS = ["candidate", "task", "model_type", "feature_groups", "n_features", "train_rows", "precision_at_0.01", "precision_at_0.05", "pr_auc", "brier", "runtime_s", "top_groups"]
@@ -35,13 +35,13 @@ LOG_COLUMNS = ["candidate", "task", "model_type", "feature_groups", "n_features"
 
 def append_log(path: str, row: dict[str, Any], importance: dict[str, float]) -> None:
     """Append a line to the tab-separated search log; the header comes with the first."""
-    file = Path(path)
-    file.parent.mkdir(parents=True, exist_ok=True)
     top = sorted(importance, key=importance.get, reverse=True)[:3]
     row = {**row, "feature_groups": ",".join(row["feature_groups"]), "top_groups": ",".join(top)}
-    new = not file.exists()
-    with file.open("a", newline="") as f:
-        out = csv.DictWriter(f, LOG_COLUMNS, delimiter="\t", extrasaction="ignore", restval="")
-        if new:
-            out.writeheader()
-        out.writerow(row)
+    text = io.StringIO()
+    out = csv.DictWriter(text, LOG_COLUMNS, delimiter="\t", extrasaction="ignore", restval="")
+    if exists(path):
+        text.write(read_text(path))
+    else:
+        out.writeheader()
+    out.writerow(row)
+    write_text(path, text.getvalue())

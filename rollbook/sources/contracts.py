@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import number
 
+# Names and types of the input contract.
 _KEYS = "student_id string, school_id string, class_id string, grade string"
 _LESSON = "date date, lesson_id string, subject string, scheduled_start_at timestamp_ntz, scheduled_minutes double"
 SCHEMAS = {

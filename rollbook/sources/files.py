@@ -26,6 +26,32 @@ def load_inputs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFra
     return {t: conform(t, load_table(spark, str(paths[t]))) for t in SCHEMAS}
 
 
+def _hadoop(path: str):
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(path: str) -> bool:
+    """Whether there is a file or folder, in any store that the active session reaches."""
+    system, place = _hadoop(path)
+    return system.exists(place)
+
+
+def read_text(path: str) -> str:
+    """A small text file."""
+    row = SparkSession.active().read.text(path, wholetext=True).first()
+    return row[0] if row else ""
+
+
+def write_text(path: str, text: str) -> None:
+    """A small text file in place of what was there, with its folders."""
+    system, place = _hadoop(path)
+    out = system.create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_frame(df: DataFrame, path: str) -> None:
     """csv for ``.csv``, else parquet."""
     if PurePosixPath(path).suffix == ".csv":

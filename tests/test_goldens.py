@@ -16,7 +16,7 @@ YEARS = ["2022/23", "2023/24", "2024/25", "2025/26"]
 
 @pytest.fixture(scope="module")
 def prepared(spark):
-    return prepare(*school.frames(spark)).persist()
+    return prepare(*school.frames(spark)).stored()
 
 
 def per_year(frame, target):
@@ -64,7 +64,7 @@ def test_scoring(prepared):
     lesson = s.lesson()
     assert lesson.count() == 12
     assert {r[0] for r in lesson.select("horizon_school_days").collect()} == {1, 2}
-    with pytest.raises(ValueError, match="No scored students"):
+    with pytest.raises(ValueError, match="has no student"):
         Scoring(prepared.lesson_frame, prepared.calendar, "2025-12-24", "SCHOOL_1", "CLASS_7A").check()
 
 

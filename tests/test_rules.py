@@ -111,9 +111,9 @@ def test_metrics(spark):
 
 
 def test_lesson_metrics(spark):
-    df = spark.createDataFrame([(dt.date(2024, 1, 1), "S", "C", f"L{k}", e, a) for k, (e, a) in enumerate([(3.0, 2.0), (2.0, 2.0), (1.0, 0.0), (1.0, 1.0)])], "date date, school_id string, class_id string, lesson_id string, expected_absence double, actual_absence double")
+    df = spark.createDataFrame([(dt.date(2024, 1, 1), "S", "C", f"L{k}", e, a) for k, (e, a) in enumerate([(3.0, 2.0), (2.0, 2.0), (1.0, 0.0), (1.0, 1.0)])], "date date, school_id string, class_id string, lesson_id string, expected_missed double, actual_missed double")
     got = metrics.lesson_metrics(df, [0.5]).first()
-    assert got["lesson_count"] == 4 and got["mae_expected_absence"] == 0.5 and got["lesson_hit_rate_at_0.50"] == 1.0
+    assert got["lesson_count"] == 4 and got["mae_expected_missed"] == 0.5 and got["lesson_hit_rate_at_0.50"] == 1.0
     assert math.isclose(got["rank_correlation"], 4.0 / 4.5, rel_tol=1e-9)
 
 
@@ -130,7 +130,7 @@ def test_sampling(spark):
 
 
 def test_feature_groups():
-    with pytest.raises(ValueError, match="Unknown feature groups"):
+    with pytest.raises(ValueError, match="No such feature group"):
         features.resolve(["nope"], "lesson")
     assert len(features.resolve(features.DEFAULT_GROUPS["lesson"], "lesson")[0]) == 70
     assert features.group_importance({"roll_1d_missed_ratio": 1.0, "roll_3d_missed_ratio": 3.0, "stage": 5.0}) == {"rolling_short": 2.0, "base": 5.0}
@@ -157,7 +157,7 @@ def test_config(tmp_path):
         config.load_config(str(f))
 
 
-def test_reports(tmp_path):
+def test_reports(spark, tmp_path):
     reports.write_json([{"a": float("nan")}], str(tmp_path / "m.json"))
     assert "null" in (tmp_path / "m.json").read_text()
     reports.write_markdown([{"experiment": "e", "task": "t", "split": "s", "m": 0.5}], str(tmp_path / "m.md"))
