@@ -14,8 +14,9 @@ Equal sets are one node throughout. Nodes that cannot link are put aside first,
 
 Pairs are formed in rounds. In a round each node meets one node only, of the largest class of linked
 nodes among those with its prefix n-grams, so groups of near copies collapse into classes without their
-pairs. When the pairs left between classes are fewer than the prefix n-grams, or a round did not halve
-them, all of these are compared. No link between different classes is lost, and nothing is capped.
+pairs. When the pairs left between classes are fewer than the prefix n-grams, or a round leaves more than
+``LEFT`` of them, all of these are compared. No link between different classes is lost, and nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BITS = 1 << 23
 #: Fragments of each power of two of the n-grams' document frequency.
 SLICES = 4
 ROWS = 1000
+#: Share of the pairs between classes that a round may leave and another one follow; part of a class among which later rounds choose.
+LEFT, PART = 0.9, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -165,10 +168,10 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 
 
 def _ordered(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """``node, n, prefix, frag, before, grams``: fragments of each node that can link, in the global order.
+    """``node, n, alone, prefix, frag, before, grams``: fragments of each node that can link, in the global order.
 
-    ``before`` is the number of the node's n-grams in earlier fragments (those of one set included),
-    ``prefix`` the number of its n-grams in its prefix.
+    ``alone`` is the number of the node's n-grams that no other set has, ``before`` that of its n-grams in
+    earlier fragments (those included), ``prefix`` that of its n-grams in its prefix.
     """
     texts = _maybe_in(base, nodes.select(F.col("rep").alias("doc_id")))
     sets = texts.select("text").mapInArrow(_grams(words), "d1 long, d2 long, grams array<long>")
@@ -184,7 +187,7 @@ def _ordered(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int)
     before = alone + F.coalesce(F.sum(size).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     prefix = F.expr(f"n - (n * {num} + {den - 1}) div {den} + 1")
     pieces = pieces.select("node", "n", "frag", "grams", alone.alias("alone"), before.alias("before"), prefix.alias("prefix"))
-    return pieces.where("alone < prefix").drop("alone")
+    return pieces.where("alone < prefix")
 
 
 def _overlapping(pairs: DataFrame, pieces: DataFrame, num: int, den: int) -> DataFrame:
@@ -200,19 +203,20 @@ def _links(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) ->
     """Links ``a, b`` with the same components as all links of ``nodes``."""
     pieces = materialise(_ordered(base, nodes, words, num, den), "pieces")
     inside = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.col("prefix") - F.col("before")).cast("int"))
-    posts = pieces.where("before < prefix").select("node", "n", "before", F.posexplode(inside).alias("at", "gram"))
-    posts = materialise(posts.select("node", "n", "gram", (F.col("before") + F.col("at") + 1).alias("place")), "posts")
-    classed, links, before = posts.withColumn("class", F.col("node")), None, None
+    posts = pieces.where("before < prefix").select("node", "n", "alone", "before", F.posexplode(inside).alias("at", "gram"))
+    posts = materialise(posts.select("node", "n", (F.col("alone") / F.col("n")).alias("odd"), "gram", (F.col("before") + F.col("at") + 1).alias("place")), "posts")
+    classed, links, before, turn = posts.withColumn("class", F.col("node")), None, None, 0
     while True:
-        order = F.struct(F.xxhash64("node", F.lit(0 if before is None else int(before))), "node")
+        # the node with the least of its own is the likeliest to link; later turns look for it among a part of the class
+        order = F.struct((F.lit(turn > 0) & (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PART)) > 0)).alias("other"), "odd", "node")
         shares = classed.groupBy("gram", "class").agg(F.count("*").alias("m"), F.min(order).alias("one"))
-        lists = shares.groupBy("gram").agg(F.count("*").alias("classes"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "class", "one")).alias("top"))
+        lists = shares.groupBy("gram").agg(F.count("*").alias("classes"), F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", -F.col("one.odd"), "class", "one")).alias("top"))
         lists = materialise(lists.where("classes > 1").select("gram", "rows", "same", F.col("top.class").alias("hub"), F.col("top.one.node").alias("centre")), "lists")
         left = classed.join(lists.select("gram", "hub", "centre"), "gram")
         apart, rows = lists.agg(F.coalesce(F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
-        if before is not None and (apart <= rows or 2 * apart > before):
+        if before is not None and (apart <= rows or apart > before * LEFT):
             break
-        before = apart
+        before, turn = apart, turn + 1
         votes = left.where("class <> hub").groupBy("node", "centre", "hub").agg(F.count("*").alias("votes"))
         stars = votes.groupBy("node").agg(F.max(F.struct("votes", "centre", "hub")).alias("x")).select(F.col("node").alias("a"), F.col("x.centre").alias("b"), F.col("x.hub").alias("hub"))
         stars = materialise(stars, "stars")
