@@ -1,7 +1,8 @@
 """Near-duplicate vectors by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-* A rotation is learned on a bounded sample (at most about ``sample`` vectors) so that the signs of the
-  rotated, centred vectors are balanced binary codes of up to 64 bits.
+* A rotation is learned on a bounded sample (about ``sample`` vectors and ``FLOATS`` components at most) so
+  that the signs of the rotated, centred vectors are balanced binary codes of up to 64 bits. Vectors of a
+  length that the sample hardly holds get a random rotation from a seed, made in the task.
 * Codes are cut into substrings of about ``WIDTH`` bits. In each table, vectors whose substrings differ in
   at most one bit meet under the keys that leave out one bit; pairs of a bucket whose whole codes differ
   in at most ``radius`` bits are candidates. With m tables every pair within 2m - 1 bits is retrieved.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialise, spread, table
 from .components import components
 
-SAMPLE = 20_000
+SAMPLE, FLOATS = 20_000, 4_000_000
 RADIUS = 14
 WIDTH = 16
 RECALL = 0.999
@@ -49,6 +50,12 @@ def fit_rotation(vectors: np.ndarray, bits: int = 64, rounds: int = 40, seed: in
     return mean, p @ r
 
 
+def random_rotation(dim: int, bits: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a length without a sample: orthogonal random directions."""
+    q, _ = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, min(bits, dim))))
+    return np.zeros(dim), q
+
+
 def layout(bits: int, least: float, recall: float = RECALL, width: int = WIDTH) -> tuple[int, int]:
     """``(tables, rotations)`` that retrieve a pair at cosine ``least`` with probability ``recall``.
 
@@ -67,17 +74,18 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _codes(models: dict[int, list[tuple[np.ndarray, np.ndarray]]]):
+def _codes(models: dict[int, list[tuple[np.ndarray, np.ndarray]]], rotations: int):
     """A row for each vector and rotation (``turn``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dim = b.column(3).to_numpy()
-            code = np.zeros((max(map(len, models.values()), default=0), b.num_rows), np.uint64)
-            for d in np.unique(dim):
+            code = np.zeros((rotations, b.num_rows), np.uint64)
+            for d in np.unique(dim).tolist():
                 at = np.flatnonzero(dim == d)
                 x = _unit(np.asarray(b.column(2).take(pa.array(at)).flatten(), float).reshape(-1, d))
-                for turn, (mean, p) in enumerate(models[d]):
+                own = models.get(d) or [random_rotation(d, seed=7 + turn) for turn in range(rotations)]
+                for turn, (mean, p) in enumerate(own):
                     code[turn, at] = ((x - mean) @ p >= 0) @ (np.uint64(1) << np.arange(p.shape[1], dtype=np.uint64))
             for turn, own in enumerate(code):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.full(b.num_rows, turn, np.int32)), pa.array(own.view(np.int64))], names=["id", "label", "dim", "turn", "code"])
@@ -201,32 +209,33 @@ def _rerank(least: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, radius: int = RADIUS, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector; links: equal label, cosine >= ``least``.
 
     Vectors that are null, empty, zero or hold null or non-finite components, or have a null label, link
     with nothing, as do vectors of different lengths. Rows that repeat an id count as vectors of their
-    own in ``n_links``. Null ids are kept, without links. An empty table gives an empty result.
+    own, linked by their own vectors. Null ids are kept, without links. An empty table gives an empty
+    result; other columns are ignored.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
-    nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding"))
-    nodes = materialise(nodes, "nodes")
+    nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding"))
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
     spark = vectors.sparkSession
-    n = nodes.count()
-    dims = [r["dim"] for r in nodes.select("dim").distinct().limit(64).collect()]
-    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))
-    some = nodes.where(drawn).select("embedding", "dim").limit(2 * sample).collect()
-    bits = max([min(64, d) for d in dims], default=1)
+    n, floats, longest = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    share = min(1.0, sample / max(n, 1), FLOATS / max(floats, 1))
+    drawn = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    some = drawn.select("embedding", "dim").limit(int(2 * share * n) + 100).collect() if longest <= FLOATS else []
+    bits = min(64, longest)
     tables, rotations = layout(bits, least)
     models = {}
-    for d in dims:
-        own = [r["embedding"] for r in some if r["dim"] == d]
-        own = _unit(np.array(own, float)) if own else np.zeros((0, d))
-        models[d] = [fit_rotation(own, seed=7 + turn) for turn in range(rotations)]
-    codes = materialise(nodes.where(F.col("dim").isin(dims)).select("id", "label", "embedding", "dim").mapInArrow(_codes(models), "id long, label string, dim int, turn int, code long"), "codes")
-    clusters = components(candidates(codes, bits, tables, radius)).select("id", F.col("component").alias("cluster"))
+    for d in sorted({r["dim"] for r in some}):
+        own = _unit(np.array([r["embedding"] for r in some if r["dim"] == d], float))
+        if len(own) >= 2 * min(64, d):
+            models[d] = [fit_rotation(own, seed=7 + turn) for turn in range(rotations)]
+    codes = materialise(nodes.select("id", "label", "embedding", "dim").mapInArrow(_codes(models, rotations), "id long, label string, dim int, turn int, code long"), "codes")
+    clusters = components(candidates(codes, bits, tables, radius, bucket)).select("id", F.col("component").alias("cluster"))
     clusters = materialise(clusters, "clusters")
     bins = clusters.count() // BLOCK + 1  # small clusters share a task up to about a block
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -238,12 +247,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_
     met = materialise(met, "met")
     links = met.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     found = components(met.where("a <> b").select("a", "b"))
-    known = nodes.select("label", "embedding", "id", "weight").join(links, "id", "left").join(found, "id", "left")
-    known = known.select("label", "embedding", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    first = nodes.select("id", "first").join(found, "id").groupBy("component").agg(F.min("first").alias("component_id"))
+    known = nodes.select("label", "embedding", "id", "first", "weight").join(links, "id", "left").join(found.join(first, "component"), "id", "left")
+    known = known.select("label", "embedding", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     out = rows.join(known, ["label", "embedding"], "left")
-    mine = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
+    has_id = F.col("vec_id").isNotNull()
+    mine = F.when(has_id, F.coalesce("component_id", "vec_id"))
+    links = F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+    return out.select("vec_id", links.alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of equal label at a cosine of 0.98 or more; odd rows as in :func:`near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
