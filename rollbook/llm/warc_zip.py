@@ -56,14 +56,15 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return z.compress(text.encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def parse_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-cased names) and block of each gzip member in ``raw``."""
-    while raw:
+def parse_records(raw: bytes, sizes: list[int]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields (lower-cased names) and block of each gzip member in ``raw``; ``sizes`` are the members' lengths."""
+    at, view = 0, memoryview(raw)
+    for size in sizes:
         z = zlib.decompressobj(wbits=31)
-        text = z.decompress(raw) + z.flush()
-        if not z.eof:
-            raise ValueError("record is cut off")
-        raw = z.unused_data
+        text = z.decompress(view[at : at + size]) + z.flush()
+        if not z.eof or z.unused_data:
+            raise ValueError("record and index differ")
+        at += size
         head, _, rest = text.partition(b"\r\n\r\n")
         first, *lines = head.decode().split("\r\n")
         if not first.startswith("WARC/"):
@@ -127,11 +128,12 @@ def data_start(file, entry: tuple[int, int, int]) -> int:
     return entry[1] + 30 + sum(struct.unpack("<HH", head[26:30]))
 
 
-def ranges(file, most: int = RANGE) -> Iterator[tuple[int, int]]:
-    """Offset and length of runs of whole records, at most ``most`` bytes unless one record is longer."""
+def ranges(file, most: int = RANGE) -> Iterator[tuple[int, list[int]]]:
+    """Offset of runs of whole records and their lengths, at most ``most`` bytes unless one record is longer."""
     members = directory(file)
     starts: dict[str, int] = {}
     lo = hi = -1
+    sizes: list[int] = []
     for name in sorted(n for n in members if n.startswith("indexes/") and n.endswith(".cdxj")):
         file.seek(data_start(file, members[name]))
         for line in file.read(members[name][2]).decode().splitlines():
@@ -140,12 +142,13 @@ def ranges(file, most: int = RANGE) -> Iterator[tuple[int, int]]:
                 starts[x["filename"]] = data_start(file, members[x["filename"]])
             a = starts[x["filename"]] + x["offset"]
             if a != hi or hi - lo + x["length"] > most:
-                if hi > lo:
-                    yield lo, hi - lo
-                lo = a
+                if sizes:
+                    yield lo, sizes
+                lo, sizes = a, []
             hi = a + x["length"]
-    if hi > lo:
-        yield lo, hi - lo
+            sizes.append(x["length"])
+    if sizes:
+        yield lo, sizes
 
 
 def _write(folder: str, member: int):
@@ -203,7 +206,8 @@ def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uri in b.column(0).to_pylist():
             with open_range(uri) as f:
                 rows = list(ranges(f))
-            yield pa.RecordBatch.from_pydict({"file": [uri] * len(rows), "offset": [x for x, _ in rows], "length": [x for _, x in rows]})
+            columns = [pa.array([uri] * len(rows), pa.string()), pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file", "offset", "sizes"])
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
@@ -221,11 +225,11 @@ def _row(fields: dict[str, str], block: bytes) -> tuple:
 def _read(payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for uri, offset, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 with open_range(uri) as f:
                     f.seek(offset)
-                    raw = f.read(length)
-                rows = [_row(*x) for x in parse_records(raw)]
+                    raw = f.read(sum(sizes))
+                rows = [_row(*x) for x in parse_records(raw, sizes)]
                 names = [x.split()[0] for x in SCHEMA.split(", ")]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 columns = [pa.array([r[i] for r in rows], kinds[i]) for i in range(6)]
@@ -239,10 +243,11 @@ def _read(payload: bool):
 def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
     """Records of the archives in column ``file``: SCHEMA, and ``payload binary`` (null for revisits)."""
     n = spread(files.sparkSession)
-    plan = files.select("file").repartition(n).mapInArrow(_plan, "file string, offset long, length long")
+    plan = files.select("file").repartition(n).mapInArrow(_plan, "file string, offset long, sizes array<long>")
     return plan.repartition(n).mapInArrow(_read(payload), SCHEMA + ", payload binary" * payload)
 
 
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records of archives, read back; null html is empty, odd ids as in :func:`write_archives`."""
     files = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "archives"))
     return read_archives(files, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
