@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .common import table
 
-DOCS, PASSAGE, LANGUAGES = 300, 900, 64
+DOCS, PASSAGE, PASSAGES = 300, 900, 20_000
 PIECE = 2048
 MIN_MARGIN = 0.01
 _GAP = re.compile(r"[\W\d_]+")
@@ -34,7 +35,7 @@ def folded(text: str | None) -> str:
     return out if any(map(str.isalpha, out)) else ""
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = DOCS, passage: int = PASSAGE, max_languages: int = LANGUAGES) -> dict[str, bytes]:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = DOCS, passage: int = PASSAGE, most: int = PASSAGES) -> dict[str, bytes]:
     """Dictionary of each language, from at most ``per_language`` passages of ``passage`` characters each.
 
     Documents are drawn by a hash of their key; the draw is thinned while scanning, by the number of
@@ -44,9 +45,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     wide = 1 << 40
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(3)), F.lit(wide))
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), draw.alias("draw")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}  # a row for each language
     if not counts:
         return {}
+    per_language = max(1, min(per_language, most // len(counts)))
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 4.0 * per_language / n) * wide))))
     at = F.floor(F.col("draw") / 7) % F.greatest(F.length("text") - passage, F.lit(1))
     drawn = rows.where(F.col("draw") <= share[F.col("lang")]).select("lang", "draw", F.substring("text", (at + 1).cast("int"), F.lit(passage)).alias("text"))
@@ -57,10 +59,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return {k: " ".join(x for x in v if x).encode() for k, v in texts.items() if any(v)}
 
 
-def _identify(dictionaries: dict[str, bytes], keep_text: bool):
+def _identify(shared: Broadcast, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as z
 
+        dictionaries = shared.value
         names, coders = sorted(dictionaries), []
         for k in names:
             d = z.ZstdCompressionDict(dictionaries[k], dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -98,7 +101,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     rows = docs.select(*names, text)
     kept = [f for f in rows.schema.fields if keep_text or f.name != text]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_identify(dictionaries, keep_text), schema).withColumn("rejected", F.col("score") < min_margin)
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by ``fit``
+    return rows.mapInArrow(_identify(shared, keep_text), schema).withColumn("rejected", F.col("score") < min_margin)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -106,6 +110,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from four fifths of the labelled documents; odd rows as in :func:`identify`."""
     docs = table(spark, sf_dir, "documents")
     dictionaries = fit(docs.where(~held_out(F.col("doc_id"))))
     out = identify(docs.select("doc_id", "text"), dictionaries)
