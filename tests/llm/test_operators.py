@@ -181,23 +181,37 @@ def vectors():
     return rows + [(500 + i, v, "l0") for i, v in enumerate(odd)] + [(600, rows[3][1], rows[3][2]), (601, [2 * x for x in rows[3][1]], rows[3][2])]
 
 
-def test_embedding_dedup(spark):
-    rows = vectors()
-    df = frame(spark, rows, "vec_id long, embedding array<double>, label string")
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, 0.98).collect()}
+@pytest.mark.parametrize("block,bucket", [(512, 4096), (8, 12)])
+def test_embedding_dedup(spark, block, bucket):
+    """Small blocks and buckets: large buckets and clusters go through tiles."""
+    rows = [*vectors(), *((700 + i, np.random.default_rng(i // 2).normal(size=3 + i // 2).tolist(), "l0") for i in range(160))]  # 80 further lengths
+    df = frame(spark, rows, "vec_id long, embedding array<double>, label string").withColumn("n_links", F.lit("own"))
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, 0.98, block=block, bucket=bucket).collect()}
     assert len(got) == len(rows)
     fine = [v is not None and None not in v and bool(np.isfinite(v).all()) and any(v) for _, v, _ in rows]
     unit = [np.array(v) / np.linalg.norm(v) if ok else None for (_, v, _), ok in zip(rows, fine, strict=True)]
-    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if fine[i] and fine[j] and rows[i][2] is not None and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.98]
+    alike = lambda i, j: fine[i] and fine[j] and rows[i][2] is not None and rows[i][2] == rows[j][2] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98
+    pairs = [(i, j) for j in range(len(rows)) for i in range(j) if alike(i, j)]
     true = Counter(x for p in pairs for x in p)
     found = sum(got[r[0]]["n_links"] for r in rows)
     assert found >= 0.9 * 2 * len(pairs) > 100
     assert all(got[r[0]]["n_links"] <= true[i] for i, r in enumerate(rows))
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) and r["component_id"] <= r["vec_id"] for r in got.values())
+    assert all(got[700 + i]["n_links"] == 1 for i in range(160))
+    if found == 2 * len(pairs):
+        want = [rows[c][0] for c in components(len(rows), pairs)]
+        assert [got[r[0]]["component_id"] for r in rows] == want
     assert all(got[500 + i]["n_links"] == 0 and got[500 + i]["kept"] for i in range(5))
     assert embedding_dedup.near_duplicates(df.limit(0), 0.98).count() == 0
 
 
+def test_embedding_dedup_of_repeated_ids(spark):
+    x = np.random.default_rng(1).normal(size=(3, 8)).tolist()
+    rows = [(1, x[0], "a"), (2, x[1], "a"), (1, x[1], "a"), (3, x[2], "a"), (3, x[2], "a"), (None, x[0], "a")]
+    got = embedding_dedup.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(1, 0, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 3, True), (3, 1, 3, True), (None, 0, None, True)]))
+
+
 def test_embedding_index_recall_at_the_threshold(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = embedding_dedup._unit(rng.normal(size=(1500, 64)))
