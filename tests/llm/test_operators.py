@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import unicodedata
+import zipfile
 import zlib
 from collections import Counter, defaultdict
 
@@ -78,6 +79,31 @@ def test_jaccard_join_without_rows(spark):
     assert jaccard_join.jaccard_components(frame(spark, [(5, None, None, None, None)])).collect()[0][:] == (5, 0, 5)
 
 
+def test_jaccard_join_of_odd_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, long), (7, "other words that stand alone here"), (None, long + " x"), (3, long + " y"), (None, "nothing else is like this one"), (9, long), (9, long)]
+    got = sorted(str(tuple(r)) for r in jaccard_join.jaccard_components(frame(spark, rows, "doc_id long, text string")).collect())
+    assert got == sorted(map(str, [(7, 56, 3), (7, 2, 7), (None, 57, 3), (3, 57, 3), (None, 2, None), (9, 56, 3), (9, 56, 3)]))
+
+
+def test_jaccard_join_of_many_near_copies(spark):
+    """Two large families of near copies that share a passage; most members link with some others only."""
+    rng = random.Random(6)
+    passage, rows = [f"p{i}" for i in range(30)], []
+    for f in range(2):
+        base = [f"f{f}w{i}" for i in range(150)]
+        for k in range(500):
+            words = list(base)
+            for at in rng.sample(range(150), rng.choice((0, 2, 4, 7, 9))):
+                words[at] = f"x{rng.random()}"
+            rows.append((1000 * f + k, " ".join(words + passage)))
+    sets = [word_set(t, 5) for _, t in rows]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = {r[0]: rows[c][0] for r, c in zip(rows, components(len(rows), pairs), strict=True)}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) >= 2
+
+
 def test_sentencepiece_is_the_library_s(spark):
     import sentencepiece
 
@@ -268,6 +294,34 @@ def test_warc_round_trip(spark):
     assert warc_zip.read_archives(warc_zip.write_archives(pages.limit(0), new_path(spark, "archives"))).count() == 0
 
 
+def test_zip64_directory(tmp_path, monkeypatch):
+    """Every size and offset of the directory, and its own place, in 64-bit fields."""
+    from pyarrow import fs
+
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 0)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 0)
+    path = str(tmp_path / "a.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for k in range(3):
+            z.writestr(f"m{k}", b"x" * k + b"data")
+    with open(path, "rb") as f:
+        assert b"PK\6\6" in f.read()
+    with fs.LocalFileSystem().open_input_file(path) as file:
+        found = warc_zip.directory(file)
+        assert list(found) == ["m0", "m1", "m2"]
+        for k in range(3):
+            start = warc_zip.data_start(file, found[f"m{k}"])
+            file.seek(start)
+            assert file.read(found[f"m{k}"][2]) == b"x" * k + b"data"
+
+
+def test_warc_of_null_and_repeated_ids(spark):
+    rows = [(None, None, "same"), (5, "u", "same"), (5, "v", "same"), (2, "w", "same"), (None, "x", None)]
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["record_type"], r["refers_to"]) for r in warc_zip.read_archives(warc_zip.write_archives(pages, new_path(spark, "archives"))).collect())
+    assert got == [("2", "revisit", 5), ("5", "response", None), ("5", "response", None), ("None", "response", None), ("None", "response", None)]
+
+
 def library_ids(name, end):
     from tokenizers import Tokenizer
 
@@ -371,6 +425,35 @@ def test_fingerprints(spark, monkeypatch):
     assert len({r["fingerprint"] for r in got}) == len(by_text)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_edited_texts(spark, tmp_path, monkeypatch, collide):
+    """All columns of the query against brute force, also where all hashes of documents collide."""
+    rows = sorted([*corpus(), (3000, "twin text", None, None, None), (3001, "TWIN  text", None, None, None), (3002, "é" * 5, None, None, None)])
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    if collide:
+        monkeypatch.setattr(fingerprint, "wide_hash", lambda col, name: [F.lit(1).cast("long").alias(f"{name}1"), F.lit(2).cast("long").alias(f"{name}2")])
+    got = {r["doc_id"]: r for r in fingerprint.op9_fingerprint(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for (doc_id, text, *_), (_, after, *_) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, after, r = text or "", after or "", got[doc_id]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_next"] == float(canonical(text) == canonical(after)) and r["near_edited"] == float(canonical(text) == canonical(edited))
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == bool(r["near_edited"])
+    by_text = defaultdict(set)
+    for doc_id, text, *_ in rows:
+        by_text[text or ""].add(got[doc_id]["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_next_rows_of_odd_ids(spark):
+    rows = [(None, "b"), (None, "a"), (7, "d"), (7, "c"), (9, None)]
+    got = sorted(str(tuple(r)) for r in fingerprint.with_next(frame(spark, rows, "doc_id long, text string")).select("doc_id", "text", "next_text").collect())
+    assert got == sorted(map(str, [(None, "a", "b"), (None, "b", "c"), (7, "c", "d"), (7, "d", None), (9, None, "a")]))
+    assert fingerprint.with_next(frame(spark, [], "doc_id long, text string")).count() == 0
+
+
 def test_next_rows(spark):
     rows = sorted(corpus())
     got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(frame(spark, rows)).collect()}
