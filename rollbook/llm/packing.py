@@ -36,8 +36,13 @@ def windows(cuts: list[int], penalty: list[int], size: int = SIZE, per_window: i
 
     Neighbouring cuts must be at most ``size`` apart.
     """
-    where = {p: i for i, p in enumerate(cuts)}
-    powers = [1 << k for k in range(8, size.bit_length()) if 1 << k <= size]
+    place = np.asarray(cuts)
+    full: list[tuple[int, ...]] = [()] * len(cuts)  # cuts at a power of two before each cut
+    for k in (1 << x for x in range(8, size.bit_length())):
+        at = np.minimum(np.searchsorted(place, place - k), len(place) - 1)
+        found = np.flatnonzero(place[at] == place - k)
+        for j, h in zip(found.tolist(), at[found].tolist(), strict=True):
+            full[j] = (*full[j], h)
     cost, back = [0] * len(cuts), [0] * len(cuts)
     queue = deque([(0, 0, cuts[0])])  # cost + position, index, position
     for j in range(1, len(cuts)):
@@ -45,9 +50,8 @@ def windows(cuts: list[int], penalty: list[int], size: int = SIZE, per_window: i
         while queue[0][2] < p - size:
             queue.popleft()
         best, i = queue[0][0] + size - p, queue[0][1]
-        for k in powers:
-            h = where.get(p - k)
-            if h is not None and cost[h] < best:
+        for h in full[j]:
+            if cost[h] < best:
                 best, i = cost[h], h
         best += per_window + penalty[j]
         cost[j], back[j] = best, i

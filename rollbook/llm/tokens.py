@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 #: White space as the tokenizers' own patterns see it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-LIMIT = 400_000
+LIMIT = 500_000
 #: Bytes of text encoded together, so that their new chunks share calls.
-SLICE = 2 << 20
+SLICE = 4 << 20
 LONGEST = 64
 #: Chunks in a joined call of the library.
 JOINED = 50
@@ -90,7 +90,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = words
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}  # the latest chunks, and those before them
+        self.older: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab()
         self.starts, self.ends = np.zeros((2, max(vocab.values()) + 1), bool)
@@ -137,9 +138,11 @@ class Encoder:
         even = pc.replace_substring(pc.ascii_lower(texts), "\n", " ") if self.words else pc.replace_substring(texts, "\n", " \n")
         which, bounds, chunks = parts(even)
         whole = pc.match_substring(even, "<|").to_numpy(zero_copy_only=False) if any("<|" in t for t in self.special) else np.zeros(len(texts), bool)
-        if len(self.seen) >= LIMIT:
-            self.seen.clear()
+        if len(self.seen) >= LIMIT // 2:
+            self.seen, self.older = {}, self.seen
         new = [c for c in chunks if c not in self.seen]
+        self.seen.update((c, self.older[c]) for c in new if c in self.older)
+        new = [c for c in new if c not in self.seen]
         odd: set[str] = set()
         if self.words:
             extra = [c for c in new if len(c) > LONGEST or _BAR in c]
