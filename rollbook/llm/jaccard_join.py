@@ -29,6 +29,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import materialise, table
@@ -134,6 +135,20 @@ def _grams(n: int):
     return run
 
 
+def with_digest(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
+    """All columns of ``docs``, then ``d1, d2``, the digest of each text's shingle set; columns of these names make way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                _, halves = _sets(part.column(part.schema.get_field_index(text)), words)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=[*part.schema.names, "d1", "d2"])
+
+    rows = docs.drop("d1", "d2")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]))
+
+
 def jaccard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, d1, d2, component_id`` of every row; links: ``den * overlap >= num * union``.
 

@@ -39,3 +39,18 @@ def test_registry_names():
     names = list(queries.queries())
     assert [x.split("_")[0] for x in names] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_near_duplicates_of_odd_ids(spark, sf_dir):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, long), (7, "other words that stand alone here"), (None, f"{long} x"), (3, f"{long} y"), (None, "nothing else is like this one"), (9, long), (9, long)]
+    rows += [(20, "a text of its own that comes twice"), (20, "a text of its own that comes twice"), (30, "..."), (31, None), (31, "")]
+    docs = frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    want = [(7, rows[1][1]), (3, rows[3][1]), (None, rows[4][1]), (20, rows[7][1]), (30, "..."), (31, None), (31, "")]
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, want))
+
+
+def test_empty_table(spark, sf_dir, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
