@@ -30,11 +30,22 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked by five-word shingles at a similarity of 0.8; documents without words stay."""
+    """One document (the smallest id) of each group linked by five-word shingles at a similarity of 0.8; documents without words stay.
+
+    Where an id repeats or is null, each row is judged by its own text, and of rows with one set of
+    shingles one stays.
+    """
     ship(spark)
-    groups = jaccard_join.jaccard_components(docs, words=5, num=80, den=100)
-    copies = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    rows = materialise(jaccard_join.jaccard_rows(docs, words=5, num=80, den=100), "groups")
+    odd = materialise(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "odd")
+    copies = rows.where("doc_id <> component_id").select("doc_id").unionByName(odd.dropna()).distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(materialise(copies, "copies"), "doc_id", "left_anti").select(COLUMNS)
+    if odd.isEmpty():
+        return kept
+    mine = rows.where("doc_id <=> component_id OR n_shingles = 0").select(F.col("doc_id").alias("__id"), "d1", "d2", "n_shingles").distinct()
+    again = docs.where("doc_id IS NULL").unionByName(docs.join(odd, "doc_id", "left_semi").select(docs.columns))
+    again = jaccard_join.with_digest(again).join(mine, ["d1", "d2"]).where("doc_id <=> __id")
+    return kept.unionByName(again.where("n_shingles = 0").select(COLUMNS)).unionByName(again.where("n_shingles > 0").dropDuplicates(["doc_id", "d1", "d2"]).select(COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that all stages keep.
+
+    Null and empty texts go with language ID, as do texts without a letter; rows that repeat an id or have
+    none are judged by their own texts; texts of any length are taken whole; an empty table gives no piece;
+    columns other than those of documents are dropped.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
