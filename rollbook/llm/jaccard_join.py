@@ -238,7 +238,7 @@ def _links(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) ->
         new = materialise(_overlapping(stars.select("a", "b"), pieces, num, den), "links")
         links = new if links is None else links.unionByName(new)
         # a node goes over to the class that its partner had, and once more to where the first of that class goes
-        moved = materialise(stars.join(new, ["a", "b"]).select(F.col("a").alias("node"), "hub"), "moved")
+        moved = stars.join(new, ["a", "b"]).select(F.col("a").alias("node"), "hub")
         once = moved.select(F.col("node").alias("hub"), F.col("hub").alias("next"))
         moved = moved.join(once, "hub", "left").select("node", F.coalesce("next", "hub").alias("moved"))
         classed = classed.join(moved, "node", "left").withColumn("class", F.coalesce("moved", "class")).drop("moved")
