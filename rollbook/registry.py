@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from .plans import tasks
 from .plans.prepare import Prepared, prepare
 from .plans.scoring import Scoring
 from .sources import derived, files
-from .sources.shared import written
+from .sources.contracts import conform
+from .sources.shared import shared_folder, written
 
 DAY = ["student_id", "date"]
 LESSON = ["student_id", "date", "lesson_id"]
@@ -76,6 +78,36 @@ add("contract_calendar", derived.school_calendar, _CALENDAR, "cal")
 add("dedup_latest_attendance", lambda s, d: lessons.dedup_attendance(derived.attendance_events(s, d)), [*DAY, *_ATTENDANCE], "att")
 add("dedup_schedule", lambda s, d: lessons.dedup_schedule(derived.student_schedule(s, d)), [*DAY, *_SCHEDULE], "(SELECT DISTINCT * FROM sched)")
 add("dedup_calendar", lambda s, d: lessons.dedup_calendar(derived.school_calendar(s, d)), _CALENDAR, "cal")
+
+
+def _repeats(df: DataFrame, where: str, **other: str) -> DataFrame:
+    """Rows of ``df``, and those of ``where`` once more with other values and once as they are."""
+    again = df.where(where)
+    return df.unionByName(again.withColumns({c: F.expr(x) for c, x in other.items()})).unionByName(again)
+
+
+add("dedup_schedule_repeats", lambda s, d: lessons.dedup_schedule(_repeats(derived.student_schedule(s, d), "subject = 'SUBJ1'", subject="'SUBJ0'")), [*DAY, *_SCHEDULE],
+    frm="""(SELECT * FROM (SELECT * FROM sched UNION ALL SELECT * REPLACE ('SUBJ0' AS subject) FROM sched WHERE subject = 'SUBJ1' UNION ALL SELECT * FROM sched WHERE subject = 'SUBJ1')
+      QUALIFY row_number() OVER (PARTITION BY student_id, school_id, class_id, grade, date, lesson_id ORDER BY scheduled_minutes DESC NULLS LAST, scheduled_start_at DESC NULLS LAST, subject DESC NULLS LAST) = 1)""")
+add("dedup_calendar_repeats", lambda s, d: lessons.dedup_calendar(_repeats(derived.school_calendar(s, d), "school_id = 'SCH1'", is_instructional_day="NOT is_instructional_day", term_id="'other'")), _CALENDAR,
+    frm="""(SELECT * FROM (SELECT * FROM cal UNION ALL SELECT * REPLACE ('other' AS term_id, NOT is_instructional_day AS is_instructional_day) FROM cal WHERE school_id = 'SCH1' UNION ALL SELECT * FROM cal WHERE school_id = 'SCH1')
+      QUALIFY row_number() OVER (PARTITION BY school_id, date ORDER BY is_instructional_day DESC, school_day_index DESC NULLS LAST, term_id DESC) = 1)""")
+
+
+def _csv_schedule(spark, d):
+    """The schedule written as csv, read as strings, checked and typed by the contract."""
+    path = f"{shared_folder(spark)}/schedule_{uuid.uuid4().hex}.csv"
+    files.write_frame(derived.student_schedule(spark, d), path)
+    return conform("student_schedule", files.load_table(spark, path))
+
+
+def _feature_table(spark, d):
+    """The term dataset written as a feature table and read again for two school years."""
+    path = files.write_feature_table(tasks.chronic(prepared(spark, d), 0.20).frame, f"{shared_folder(spark)}/features_{uuid.uuid4().hex}", "chronic_20")
+    return tasks.filter_years(spark.read.parquet(path), ["1994/95", "1996/97"])
+
+
+add("csv_round_trip", _csv_schedule, [*DAY, *_SCHEDULE], "sched")
 add("lesson_frame", lesson_rows, [*LESSON, *_SCHEDULE, "term_id", "is_instructional_day", "school_day_index", "academic_year", "stage", "attended_minutes", "missed_minutes", "absence_validity", "has_attendance_record", "lesson_start_minutes", "lesson_time_bin", "weekday", "miss_share", "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
 add("lesson_flags", lesson_rows, [*LESSON, "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
 add("minutes_inference", lesson_rows, [*LESSON, "has_attendance_record", "attended_minutes", "missed_minutes", "miss_share"], "lesson")
@@ -116,6 +148,7 @@ add("short_horizon_dataset", lambda s, d: tasks.short_horizon(prepared(s, d)).fr
 for _k, _t in ((10, 0.10), (20, 0.20)):
     add(f"chronic_{_k}", lambda s, d, t=_t: tasks.chronic(prepared(s, d), t).frame, _task_columns(f"chronic_{_k}"), "chronic")
     add(f"chronic_year_{_k}", lambda s, d, t=_t: tasks.chronic_year(prepared(s, d), t).frame, _task_columns(f"chronic_year_{_k}"), "chronic_year")
+add("feature_table_round_trip", _feature_table, _task_columns("chronic_20"), "chronic WHERE academic_year IN ('1994/95', '1996/97')")
 add("year_cumulative", lambda s, d: tasks.year_to_date(day_rows(s, d)), [*DAY, "year_cumulative_missed_ratio", "gap_to_year_10pct", "gap_to_year_20pct", "year_school_days_elapsed"], "chronic_year")
 add("term1_finals", lambda s, d: tasks.with_term1_actuals(tasks.year_to_date(day_rows(s, d))), [*DAY, "is_term2", *(f"term1_actual_{k}_ratio" for k in ("missed", "giltig", "ogiltig"))], "chronic_year")
 add("year_calendar", lambda s, d: tasks.year_calendar(derived.school_calendar(s, d)), ["school_id", "academic_year", "year_total_school_days"], raw="SELECT school_id, printf('%d/%02d', y0, (y0 + 1) % 100) AS academic_year, round(CAST(year_total_school_days AS DOUBLE), 9) AS year_total_school_days FROM year_cal")
