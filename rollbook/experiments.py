@@ -147,7 +147,7 @@ def run_candidate(spark: SparkSession, folder: str, features: str, config: Confi
     found = metrics.binary_metrics(scored, task.target, "raw_score", config.modeling.top_k_fractions, task.ids)
     subgroups = [r.asDict() for r in metrics.group_metrics(scored, task.group, task.target, "raw_score", config.modeling.top_k_fractions, task.ids).collect()]
     M.calibrate(model, seen, task.target, task.group).save(spark, f"{folder}/model")
-    by_feature = {r[0]: r[1] for r in M.permutation_importance(model, seen, task.target, task.ids, repeats=repeats, seed=seed).collect()} if importance and kind == "logistic" else {}
+    by_feature = {r[0]: r[1] for r in M.permutation_importance(model, seen, task.target, task.ids, repeats=repeats, seed=seed).collect()} if importance else {}
     by_group = C.group_importance(by_feature)
     row = {"candidate": PurePosixPath(folder).name, "task": name, "experiment": e.name, "model_type": kind, "hyperparams": settings, "feature_groups": groups, "n_features": len(numeric) + len(categorical), "train_rows": rows.count(), "val_rows": found["row_count"], "runtime_s": round(time.monotonic() - began, 1), **found, "subgroups": subgroups}
     write_text(f"{folder}/metrics.json", json.dumps(row, indent=2))

@@ -166,28 +166,39 @@ def refit(task: Task, candidate: str, years: list[str], calibration_years: list[
 def permutation_importance(model: Model, df: DataFrame, target: str, ids: list[str], fraction: float = 0.05, repeats: int = 5, seed: int = 42, most: int = 5000) -> DataFrame:
     """``feature, importance``: mean loss of precision at ``fraction`` when a column is shuffled.
 
-    A report over a bounded number of rows (``most``). For a logistic model shuffling a column swaps its
-    contribution to the linear score, so all columns and repeats are one job.
+    A report over a bounded number of rows (``most``), all columns and repeats in one job. For a logistic
+    model shuffling a column swaps its contribution to the linear score; for trees its code is swapped and
+    the row scored again.
     """
     import math
 
-    if model.trees is not None:
-        raise ValueError("importance by contributions needs a logistic model")
     from pyspark.sql.window import Window
 
     from ..operators.sampling import draw, draw_order
-
-    part: dict[str, Column] = {}
-    for b, (c, x) in zip(model.coefficients, model.encoder.terms(), strict=True):
-        part[c] = part[c] + b * x if c in part else b * x
-    names = list(part)
-    rows = draw(df, most, ids, seed).select(F.col(target).cast("double").alias("y"), model.logit().alias("z"), F.array(*part.values()).alias("c"), F.row_number().over(Window.orderBy(draw_order(ids, seed), *ids)).alias("i")).persist()
+    from ..sources.shared import written
+
+    if model.trees is None:
+        part: dict[str, Column] = {}
+        for b, (c, x) in zip(model.coefficients, model.encoder.terms(), strict=True):
+            part[c] = part[c] + b * x if c in part else b * x
+        names, values, score = list(part), F.array(*part.values()), model.logit()
+    else:
+        names, values, score = model.encoder.inputs, F.array(*model.encoder.codes()), F.col("raw_score")
+    drawn = draw(df, most, ids, seed)
+    drawn = drawn if model.trees is None else model.with_raw(drawn)
+    rows = drawn.select(F.col(target).cast("double").alias("y"), score.alias("z"), values.alias("c"), F.row_number().over(Window.orderBy(draw_order(ids, seed), *ids)).alias("i"))
+    rows = written(rows, "importance")  # at most ``most`` rows
     k = max(1, math.ceil(rows.count() * fraction))
     base = metrics.precision_at(rows, "y", "z", fraction, ["i"]).first()[0]
     reps = rows.select("i", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("r"))
     perm = reps.withColumn("j", F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", "i", "r", F.lit(str(seed))).cast("binary")), "i")))
     other = rows.select(F.col("i").alias("j"), F.col("c").alias("d"))
-    swapped = rows.join(perm, "i").join(other, "j").select("y", "z", "i", "r", F.posexplode(F.zip_with("c", "d", lambda a, b: b - a)).alias("f", "delta"))
-    w = Window.partitionBy("r", "f").orderBy((F.col("z") + F.col("delta")).desc(), "i")
-    top = swapped.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("f").agg((F.lit(base) - F.avg("y")).alias("importance"))
+    swapped = rows.join(perm, "i").join(other, "j").select("y", "z", "c", "d", "i", "r", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f"))
+    if model.trees is None:
+        swapped = swapped.withColumn("z", F.col("z") + F.get("d", "f") - F.get("c", "f"))
+    else:
+        codes = F.transform("c", lambda x, n: F.when(n == F.col("f"), F.get(F.col("d"), n)).otherwise(x))
+        swapped = model.trees.transform(swapped.withColumn("__features", array_to_vector(codes))).withColumn("z", vector_to_array("probability")[1])
+    w = Window.partitionBy("r", "f").orderBy(F.col("z").desc(), "i")
+    top = swapped.select("r", "f", "z", "i", "y").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("f").agg((F.lit(base) - F.avg("y")).alias("importance"))
     return top.select(F.get(F.array(*map(F.lit, names)), F.col("f")).alias("feature"), "importance")

@@ -11,8 +11,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """Add ``values`` of the latest ``right`` row with equal ``by`` and ``right_time <= left_time``.
 
     Both sides are merged into one timeline by a union; a window over each key carries the last known
-    values forward. Each side is read once, and rows dealt by a part of the key need no further
-    exchange. Rows of one key must be few enough to sort together, as a student's are. Null keys or
+    values forward. Each side is read once. Rows dealt by a part of the key, as tables in buckets are, need no
+    exchange for the window; ask with few columns, as all of them are sorted. Rows of one key must be few enough to sort together, as a student's are. Null keys or
     times, and keys without history, get ``default``; a null value does not hide an earlier one.
     """
     kinds = {v: right.schema[v].dataType for v in values}

@@ -86,15 +86,26 @@ def day_totals(lessons: DataFrame) -> DataFrame:
 
 
 def with_rolling(days: DataFrame) -> DataFrame:
-    """Ratios of sums and means of daily values over the last rows; they run on over terms and years."""
+    """Ratios of sums and means of daily values over the last rows; they run on over terms and years.
+
+    Sums to date are taken once; those of a window are their differences to the row before the window.
+    """
+    w = to_date_frame()
+    daily = {
+        "missed": F.col("daily_missed_minutes"), "giltig": F.col("daily_giltig_missed_minutes"), "ogiltig": F.col("daily_ogiltig_missed_minutes"), "recorded": F.col("daily_recorded_minutes"),
+        "partial": X.zero(F.col("daily_partial_lesson_ratio")), "lessons": F.col("daily_partial_lesson_ratio").isNotNull().cast("int"), "substantial": F.col("daily_any_substantial_miss").cast("int"), "rows": F.lit(1),
+    }
+    days = days.withColumn("__to_date", F.struct(*(F.sum(x).over(w).alias(k) for k, x in daily.items())))
+    days = days.withColumns({f"__before_{n}": F.lag("__to_date", n).over(day_order()) for n in WINDOWS})
     out = {}
     for n in WINDOWS:
-        w = day_order().rowsBetween(1 - n, 0)
-        for kind, m in (("missed", "missed_minutes"), ("giltig", "giltig_missed_minutes"), ("ogiltig", "ogiltig_missed_minutes")):
-            out[f"roll_{n}d_{kind}_ratio"] = X.safe_divide(F.sum(f"daily_{m}").over(w), F.sum("daily_recorded_minutes").over(w))
-        out[f"roll_{n}d_partial_ratio"] = F.avg("daily_partial_lesson_ratio").over(w)
-        out[f"roll_{n}d_substantial_day_rate"] = F.avg(F.col("daily_any_substantial_miss").cast("int")).over(w)
-    return days.withColumns(out).withColumn("trend_5_vs_20_missed_ratio", F.col("roll_5d_missed_ratio") - F.col("roll_20d_missed_ratio"))
+        last = lambda k, n=n: F.col(f"__to_date.{k}") - X.zero(F.col(f"__before_{n}.{k}"))
+        for kind in ("missed", "giltig", "ogiltig"):
+            out[f"roll_{n}d_{kind}_ratio"] = X.safe_divide(last(kind), last("recorded"))
+        out[f"roll_{n}d_partial_ratio"] = X.safe_divide(last("partial"), last("lessons"))
+        out[f"roll_{n}d_substantial_day_rate"] = X.safe_divide(last("substantial"), last("rows"))
+    days = days.withColumns(out).drop("__to_date", *(f"__before_{n}" for n in WINDOWS))
+    return days.withColumn("trend_5_vs_20_missed_ratio", F.col("roll_5d_missed_ratio") - F.col("roll_20d_missed_ratio"))
 
 
 def with_streaks(days: DataFrame) -> DataFrame:

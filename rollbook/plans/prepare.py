@@ -18,10 +18,15 @@ class Prepared:
     schedule_day: DataFrame
     calendar: DataFrame
 
-    def stored(self) -> Prepared:
-        """The same, with the two frames that every task reads written once, in buckets of students."""
+    def stored_lessons(self) -> Prepared:
+        """The same, with the lessons written once, in buckets of students."""
         frame = stored(self.lesson_frame, "lesson_frame", "student_id")
-        return Prepared(frame, stored(days.student_day(frame, self.calendar), "student_day", "student_id"), days.schedule_day(frame), self.calendar)
+        return Prepared(frame, days.student_day(frame, self.calendar), days.schedule_day(frame), self.calendar)
+
+    def stored(self) -> Prepared:
+        """The same, with both frames that every task reads written once."""
+        p = self.stored_lessons()
+        return Prepared(p.lesson_frame, stored(p.student_day, "student_day", "student_id"), p.schedule_day, p.calendar)
 
 
 def prepare(attendance: DataFrame, schedule: DataFrame, calendar: DataFrame, m: Modeling | None = None, start_month: int = 8) -> Prepared:

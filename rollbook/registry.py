@@ -159,19 +159,19 @@ for _s, _by in tasks.SLOTS.items():
     add(f"slot_history_{_name}", lambda s, d, slot=_s: tasks.slot_history(lesson_rows(s, d), slot), ["student_id", *_by, "date", *_hist], f"slot_{_s}")
 
     def _asof(s, d, slot=_s):
-        p = prepared(s, d)
+        p = prepared(s, d).stored_lessons()
         frame = tasks.expand_lessons(p.lesson_frame, p.student_day, 5)
         history = tasks.slot_history(p.lesson_frame, slot).withColumnsRenamed({c: f"target_{c}" for c in tasks.SLOTS[slot]})
         return tasks.asof_join(frame, history, ["student_id", *(f"target_{c}" for c in tasks.SLOTS[slot])], "score_date", "date", [f"hist_{slot}_lesson_count", f"hist_{slot}_substantial_rate"], 0.0)
 
     add(f"asof_{_name}", _asof, [*LESSON, "score_date", *_hist], "asof_subject_weekday_timebin")
-add("lesson_expand", lambda s, d: (lambda p: tasks.expand_lessons(p.lesson_frame, p.student_day, 5))(prepared(s, d)), [*LESSON, "score_date", "horizon_school_days", "target_label", "roll_5d_missed_ratio"], "expanded")
+add("lesson_expand", lambda s, d: (lambda p: tasks.expand_lessons(p.lesson_frame, p.student_day, 5))(prepared(s, d).stored_lessons()), [*LESSON, "score_date", "horizon_school_days", "target_label", "roll_5d_missed_ratio"], "expanded")
 add("lesson_day_flags", lambda s, d: tasks.with_target_flags(lesson_rows(s, d).where("has_attendance_record")), [*LESSON, *_TARGET], "flags")
 add("lesson_dataset", lambda s, d: tasks.lesson(prepared(s, d).stored()).frame, _task_columns("lesson"), "asof_subject_weekday_timebin")
 
 
 def _class(spark: SparkSession, d: str) -> tuple[str, str, str]:
-    """The class and date to score: the student-day with the smallest md5 of 1998 dates."""
+    """The class and date to score: the first by date, school and class of 1998; a small job while the query is built."""
     days_ = derived.student_schedule(spark, d).where("weekday(date) < 5 AND day(date) <> 13 AND year(date) = 1998")
     r = days_.select(F.min(F.concat_ws("|", "date", "school_id", "class_id"))).first()[0]
     return tuple(r.split("|"))

@@ -104,6 +104,13 @@ def test_search_and_scoring_from_files(spark, tmp_path):
     assert scored.count() == 50 and found["row_count"] == 50 and {g["stage"] for g in groups} == {"7-9"}
 
 
+def test_importance_of_trees(spark, rows):
+    task = Task("chronic_10", rows, "y", ["x", "z"], ["cat"], ["id"])
+    m = M.fit_candidate(rows, task, "ebm", 1, {"rounds": 10})
+    found = {r[0]: r[1] for r in M.permutation_importance(m, rows, "y", ["id"], fraction=0.2, repeats=3).collect()}
+    assert set(found) == {"x", "z", "cat"} and max(found, key=found.get) == "x" and found["x"] > 0.05
+
+
 def test_registered_importance_shuffles_as_often_as_the_default(monkeypatch):
     seen = []
     task = SimpleNamespace(frame=MagicMock(), target="y", ids=["id"])
