@@ -63,8 +63,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used before."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has used before.
+
+    It lies in a folder of the application, which may be deleted as a whole when that has ended.
+    """
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
