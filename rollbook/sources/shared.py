@@ -14,10 +14,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named in ``spark.checkpoint.dir``; a temporary one only for a local master that names none."""
+    """The application's folder in ``spark.checkpoint.dir``; a temporary one only for a local master that names none.
+
+    It may be deleted as a whole when the application has ended.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
