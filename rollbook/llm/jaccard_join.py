@@ -34,12 +34,13 @@ from pyspark.sql.window import Window
 
 from .common import materialise, table
 from .components import components
+from .storage import settle
 
 #: Bits of the filter that texts pass before they are shuffled; its broadcast side has at most BITS / 64 rows.
 BITS = 1 << 23
 #: Fragments of each power of two of the n-grams' document frequency.
 SLICES = 4
-ROWS = 1000
+ROWS = 500
 #: Share of the pairs between classes that a round may leave and another one follow; part of a class among which later rounds choose.
 LEFT, PART = 0.9, 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -117,6 +118,7 @@ def _heads(n: int, num: int, den: int):
                     + [_lists(np.r_[flat[~several], shared], np.r_[own, len(shared)])],
                     names=["doc_id", "row", "n_shingles", "d1", "d2", "need", "known", "head"],
                 )
+        settle()
 
     return run
 
@@ -131,6 +133,7 @@ def _grams(n: int):
                 sets, halves = _sets(batch.slice(at, ROWS).column(0), n)
                 size = np.array([len(x) for x in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), _lists(np.concatenate(sets), size)], names=["d1", "d2", "grams"])
+        settle()
 
     return run
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import table
+from .storage import settle
 
 DOCS, PASSAGE, PASSAGES = 300, 900, 20_000
 PIECE = 2048
@@ -86,6 +87,9 @@ def _identify(shared: Broadcast, keep_text: bool):
             n = batch.num_columns - (not keep_text)
             columns = [*batch.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:n], "lang_pred", "score"])
+            del batch, columns
+        del coders
+        settle()
 
     return run
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread, table
+from .storage import settle
 from .tokens import encoder, slices, vocabulary
 
 SIZE = 2048
@@ -147,6 +148,8 @@ def _pack(path: str, end_id: int, size: int):
                     at += n
         if rows := packer.finish():
             yield batch(rows)
+        del packer
+        settle()
 
     return run
 

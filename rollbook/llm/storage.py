@@ -6,6 +6,19 @@ import re
 import uuid
 
 
+def settle() -> None:
+    """Give memory that a task has let go back to the system: Spark keeps its Python workers for the stages to come."""
+    import ctypes
+    import ctypes.util
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c") or None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def filesystem(uri: str):
     """File system and path of a URI of the shared folder (file, s3, s3a, gs, hdfs, viewfs)."""
     from pyarrow import fs

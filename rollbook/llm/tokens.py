@@ -22,7 +22,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 LIMIT = 500_000
 #: Bytes of text encoded together, so that their new chunks share calls.
-SLICE = 4 << 20
+SLICE = 2 << 20
 LONGEST = 64
 #: Chunks in a joined call of the library.
 JOINED = 50
