@@ -69,15 +69,15 @@ def windows(cuts: list[int], penalty: list[int], size: int = SIZE, per_window: i
 
 def candidate_cuts(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted cuts and their penalties from document ends and sentence ends; long gaps get steps."""
-    base = np.unique(np.r_[0, ends, sentences])
+    penalty = np.full(int(ends[-1]) + 1, WORD_CUT)
+    penalty[sentences] = SENTENCE_CUT
+    penalty[ends] = penalty[0] = 0
+    base = np.flatnonzero(penalty < WORD_CUT)
     gaps = np.diff(base)
-    wide = np.flatnonzero(gaps > LONG)
-    steps = [np.arange(base[i] + STEP, base[i + 1], STEP) for i in wide]
-    cuts = np.unique(np.concatenate([base, *steps])) if len(wide) else base
-    penalty = np.full(len(cuts), WORD_CUT)
-    penalty[np.searchsorted(cuts, base)] = SENTENCE_CUT
-    penalty[np.searchsorted(cuts, np.r_[0, ends])] = 0
-    return cuts, penalty
+    steps = np.where(gaps > LONG, (gaps - 1) // STEP, 0)
+    cuts = np.repeat(base[:-1], steps) + STEP * (1 + np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps))
+    cuts = np.sort(np.r_[base, cuts])
+    return cuts, penalty[cuts]
 
 
 class Packer:
