@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprint, hard_negatives, jaccard_join, language_id, line_dedup, packing, sentencepiece_wfst, token_files, url_filter, warc_zip
+from . import embedding_dedup, fingerprint, hard_negatives, jaccard_join, language_id, line_dedup, packing, sentencepiece_wfst, spelling_variants, token_files, url_filter, warc_zip
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         packing.op8_packing,
         fingerprint.op9_fingerprint,
         jaccard_join.op10_ngram_join,
+        spelling_variants.op11_spelling_variants,
         hard_negatives.op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.OP2_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
+    return {"op2_line_dedup": line_dedup.OP2_SQL, "op11_spelling_variants": spelling_variants.OP11_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
