@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprint, hard_negatives, jaccard_join, language_id, line_dedup, packing, sentencepiece_wfst, spelling_variants, token_files, url_filter, warc_zip
+from . import embedding_dedup, fingerprint, hard_negatives, jaccard_join, language_id, line_dedup, packing, sentencepiece_wfst, spelling_variants, token_files, toxicity, url_filter, warc_zip
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         fingerprint.op9_fingerprint,
         jaccard_join.op10_ngram_join,
         spelling_variants.op11_spelling_variants,
+        toxicity.op12_toxicity,
         hard_negatives.op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}

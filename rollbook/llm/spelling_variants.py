@@ -173,7 +173,7 @@ def near_words(words: DataFrame, letters: int = LETTERS) -> DataFrame:
     ``letters`` bounds the automata of a task, not the results.
     """
     ship(words.sparkSession)
-    open_ = words.select("word", "n", F.lit("").alias("state"))
+    open_ = words.select("word", "n", F.substring("word", 1, 0).alias("state"))
     found, turn = [], 0
     while True:
         size = open_.groupBy("state").agg(F.count("*").alias("words"), F.sum(F.length("word") - F.length("state")).alias("letters"), F.min("word").alias("low"), F.max("word").alias("high"))
