@@ -58,16 +58,18 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 def with_fingerprint(df: DataFrame, text: str, out: str, buckets: DataFrame) -> DataFrame:
     """Add the fingerprint of column ``text`` as ``out``; ``buckets`` come from :func:`split_buckets`."""
-    keyed = df.withColumn("__c", canonical(F.col(text))).withColumns(dict(zip(("__f1", "__f2"), (x for x in wide_hash(F.col("__c"), "__f")))))
-    b = buckets.select(F.col("f1").alias("__b1"), F.col("f2").alias("__b2"))
-    keyed = keyed.join(b, (F.col("__f1") == F.col("__b1")) & (F.col("__f2") == F.col("__b2")), "left")
-    print_ = F.when(F.col("__b1").isNull(), _hex("__f1", "__f2")).otherwise(F.concat(_hex("__f1", "__f2"), F.lit("-"), F.sha2("__c", 256)))
-    return keyed.withColumn(out, print_).drop("__c", "__f1", "__f2", "__b1", "__b2")
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")  # so that no name of a column is in the way
+    keyed = df.select(whole, canonical(F.col(f"`{text}`")).alias("c")).select("row", "c", *wide_hash(F.col("c"), "f"))
+    keyed = keyed.join(buckets.select("f1", "f2", F.lit(True).alias("split")), ["f1", "f2"], "left")
+    print_ = F.when(F.col("split").isNull(), _hex("f1", "f2")).otherwise(F.concat(_hex("f1", "f2"), F.lit("-"), F.sha2("c", 256)))
+    names = [c for c in df.columns if c != out]
+    return keyed.select(*(F.col("row")[c].alias(c) for c in names), print_.alias(out))
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", cols: tuple[str, ...] = ("text",)) -> DataFrame:
     """Add ``next_<col>`` of the row that follows by ascending id (after the last: the first).
 
+    Other columns stay as they were, whatever their names; those named like a result make way for it.
     Rows are cut into id ranges at quantiles of the ids, so each window holds a bounded share however
     the ids lie; each range also receives a copy of the first row of the following range. Equal ids
     are ordered by the columns. Null ids come first.
@@ -78,26 +80,29 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", cols: tuple[str, ...] = (
     cuts = sorted(set(cuts))
     at = F.col(doc_id)
     bucket = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda c: c <= at)) if cuts else F.lit(0)
-    ranged = docs.withColumn("__bucket", F.when(at.isNull(), 0).otherwise(bucket)).withColumn("__halo", F.lit(0))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")  # so that no name of a column is in the way
+    ranged = docs.select(whole, at.alias("id"), F.when(at.isNull(), 0).otherwise(bucket).alias("bucket"), F.lit(0).alias("halo"))
+    least = F.coalesce("id", F.lit(-(2**63)))
     # a row for each range that has rows: at most n
-    firsts = sorted(ranged.groupBy("__bucket").agg(F.min(F.coalesce(at, F.lit(-(2**63)))).alias("id")).collect())
-    if not firsts:
-        return ranged.withColumns({f"next_{c}": F.col(c) for c in cols}).drop("__bucket", "__halo")
+    firsts = sorted(ranged.groupBy("bucket").agg(F.min(least).alias("id")).collect(), key=lambda r: (r["bucket"], r["id"]))
     ids = [r["id"] for r in firsts]
-    before = {i: firsts[k - 1]["__bucket"] for k, i in enumerate(ids)}  # the range before each first row; that of the very first is the last
-    first = F.coalesce(at, F.lit(-(2**63)))
-    to = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), first)
-    halo = ranged.where(first.isin(ids)).withColumn("__bucket", to).withColumn("__halo", F.lit(1))
-    w = Window.partitionBy("__bucket").orderBy("__halo", F.col(doc_id).asc_nulls_first(), *cols)
-    both = ranged.unionByName(halo).withColumns({f"next_{c}": F.lead(c).over(w) for c in cols})
-    return both.where("__halo = 0").drop("__bucket", "__halo")
+    before = {i: firsts[k - 1]["bucket"] for k, i in enumerate(ids)}  # the range before each first row; that of the very first is the last
+    w = Window.partitionBy("bucket").orderBy("halo", F.col("id").asc_nulls_first(), *(F.col("row")[c] for c in cols))
+    both = ranged
+    if firsts:
+        to = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), least)
+        both = ranged.unionByName(ranged.where(least.isin(ids)).withColumn("bucket", to).withColumn("halo", F.lit(1)))
+    nexts = [F.lead(F.col("row")[c]).over(w).alias(f"next_{c}") for c in cols]
+    names = [c for c in docs.columns if c not in {f"next_{x}" for x in cols}]
+    return both.select("row", "halo", *nexts).where("halo = 0").select(*(F.col("row")[c].alias(c) for c in names), *(f"next_{c}" for c in cols))
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
-    An exact digest is either the same or not: likenesses are 1.0 for equal fingerprints, else 0.0.
-    Null text counts as empty. Ids that repeat are ordered by text.
+    An exact digest is either the same or not: likenesses are 1.0 for equal fingerprints whose canonical
+    texts are also equal byte for byte, else 0.0. Null text counts as empty. Ids that repeat are ordered by
+    text; a table of one row follows itself; an empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     buckets = split_buckets(docs)
@@ -107,5 +112,5 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(docs).withColumn("edited", edited).withColumn("n_chars", n.cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
     for text, out in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next_text", "next_fingerprint")):
         rows = with_fingerprint(rows, text, out, buckets)
-    same = {f"near_{x}": (F.col("fingerprint") == F.col(f"{x}_fingerprint")).cast("double") for x in ("edited", "next")}
+    same = {f"near_{x}": ((F.col("fingerprint") == F.col(f"{x}_fingerprint")) & (canonical(F.col("text")) == canonical(F.col(c)))).cast("double") for x, c in (("edited", "edited"), ("next", "next_text"))}
     return rows.withColumns(same).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

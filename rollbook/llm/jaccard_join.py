@@ -164,9 +164,8 @@ def jaccard_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parsed = materialise(base.mapInArrow(_heads(words, num, den), HEADS), "heads")
     heads = parsed.select("row", F.explode("head").alias("gram"))
-    beside = Window.partitionBy("gram").orderBy("row")
-    held = F.lag(F.lit(1)).over(beside).isNotNull() | F.lead(F.lit(1)).over(beside).isNotNull()
-    counted = heads.withColumn("held", held).where("held AND row IS NOT NULL").groupBy("row").agg(F.count("*").alias("more"))
+    held = heads.groupBy("gram").agg(F.count("*").alias("rows")).where("rows > 1").select("gram")
+    counted = heads.where("row IS NOT NULL").join(held, "gram").groupBy("row").agg(F.count("*").alias("more"))
     filled = parsed.where("n_shingles > 0").select("row", "doc_id", "n_shingles", "d1", "d2", "need", "known")
     may = F.col("known") + F.coalesce("more", F.lit(0)) >= F.col("need")
     classes = filled.join(counted, "row", "left").groupBy("d1", "d2").agg(F.min("n_shingles").alias("n_shingles"), F.min("doc_id").alias("rep"), F.max(may).alias("may"))
@@ -246,10 +245,13 @@ def _links(base: DataFrame, nodes: DataFrame, words: int, num: int, den: int) ->
         moved = moved.join(once, "hub", "left").select("node", F.coalesce("next", "hub").alias("moved"))
         classed = classed.join(moved, "node", "left").withColumn("class", F.coalesce("moved", "class")).drop("moved")
         classed = materialise(classed, "classed")
-    side = lambda c: left.select("gram", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "class", "place")))
+    # sizes of linked sets differ by a factor of den / num at most: the larger one is in the same band or the next
+    band = F.floor(F.log("n") / (float(np.log(den / num)) * (1 + 1e-6) + 1e-9)).alias("band")
+    side = lambda c, at: left.select("gram", at, *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "class", "place")))
     reach = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
-    fits = (F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & ((den + num) * reach >= num * (F.col("n_a") + F.col("n_b")))
-    pairs = side("a").join(side("b"), "gram").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    ordered = F.struct("n_a", "node_a") < F.struct("n_b", "node_b")
+    fits = ordered & (F.col("class_a") != F.col("class_b")) & ((den + num) * reach >= num * (F.col("n_a") + F.col("n_b")))
+    pairs = side("a", F.explode(F.array(band, band + 1)).alias("band")).join(side("b", band), ["gram", "band"]).where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     return links.unionByName(materialise(_overlapping(pairs, pieces, num, den), "links"))
 
 
@@ -267,5 +269,5 @@ def _maybe_in(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word 3-gram sets of all documents, linked at a Jaccard similarity of 0.9 or more."""
+    """Word 3-gram sets of all documents, linked at a Jaccard similarity of 0.9 or more; odd rows as in :func:`jaccard_rows`."""
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)

@@ -169,13 +169,22 @@ def test_line_dedup(spark):
     want = []
     for r in rows:
         lines = r[1].split("\n") if r[1] is not None else []
-        cut = lambda x, s=r[3]: s is not None and pages[s] >= 20 and seen[s, key(x)] > 0.1 * pages[s]
+        cut = lambda x, s=r[3]: s is not None and seen[s, key(x)] >= 3 and seen[s, key(x)] > 0.1 * pages[s]
         kept = [x for x in lines if not cut(x)]
         want.append((r[0], "\n".join(kept) if r[1] is not None else None, len(lines), len(lines) - len(kept)))
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"], r["__lines"], r["__dropped"])) for r in got)
+    assert sum(r["__dropped"] > 0 for r in got if r["source"] == "rare") == 10  # a small source is judged like any other
     assert line_dedup.drop_boilerplate(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_other_columns(spark):
+    names = ["__boilerplate", "__kept", "__host", "row", "host", "lines", "kept", "a.b"]
+    rows = [(i, "Menu\nline %d" % i, "s", *range(i, i + len(names))) for i in range(12)]
+    wide = frame(spark, rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names))
+    got = sorted(map(tuple, line_dedup.drop_boilerplate(wide.withColumn("__lines", F.lit(9))).collect()))
+    assert got == [(i, f"line {i}", "s", *range(i, i + len(names)), 2, 1) for i in range(12)]
+
+
 def test_language_id_on_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     from rollbook.llm.language_id import op3_language_id
@@ -454,6 +463,16 @@ def test_next_rows_of_odd_ids(spark):
     assert fingerprint.with_next(frame(spark, [], "doc_id long, text string")).count() == 0
 
 
+def test_other_columns_stay(spark):
+    names = ["__bucket", "__halo", "row", "id", "halo", "__c", "__f1", "f2", "split", "a.b"]
+    rows = [(i, f"text {i % 3}", *range(i, i + len(names))) for i in range(9)]
+    wide = frame(spark, rows, "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in names))
+    got = sorted(map(tuple, fingerprint.with_next(wide).collect()))
+    assert got == [(*r, rows[(i + 1) % 9][1]) for i, r in enumerate(rows)]
+    out = fingerprint.with_fingerprint(wide, "text", "fingerprint", fingerprint.split_buckets(wide))
+    assert out.columns == [*wide.columns, "fingerprint"] and sorted(tuple(r)[:-1] for r in out.collect()) == rows
+
+
 def test_next_rows(spark):
     rows = sorted(corpus())
     got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(frame(spark, rows)).collect()}
