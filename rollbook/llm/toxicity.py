@@ -130,22 +130,27 @@ def train(texts: list[str], toxic: list[int], weight: list[float], width: int =
     return Toxicity(weights, float(p[2][1] - p[2][0]))
 
 
-def fit(docs: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", per_class: int = DOCS, passage: int = PASSAGE, **options) -> Toxicity:
-    """Model from at most ``per_class`` passages of ``passage`` characters for each class of ``docs``.
-
-    Passages are drawn by a hash of the key, thinned while scanning, and weighted by the size of their class,
-    so that scores follow the share of toxic texts; what reaches the driver is bounded by the two parameters.
-    Rows with null text or a label other than 0 and 1 teach nothing. An empty text is taught as not toxic.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", key: str = "doc_id", per_class: int = DOCS, passage: int = PASSAGE, **options) -> Toxicity:
+    """Model from at most ``per_class`` passages of ``passage`` characters for each class of ``labels``.
+
+    Keys are drawn from the labels by a hash, thinned while scanning, before any text is read: the drawn keys
+    (at most 4 * ``per_class``) are broadcast to ``docs``, which is not shuffled. Passages are weighted by the
+    size of their class, so that scores follow the share of toxic texts; what reaches the driver is bounded
+    by the two parameters. Rows with null text or key, or a label other than 0 and 1, teach nothing. An empty
+    text is taught as not toxic. A key that repeats teaches all its texts, within the bound.
     """
     wide = 1 << 40
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(wide))
-    rows = docs.select(F.col(text).alias("text"), F.col(label).cast("int").alias("toxic"), draw.alias("draw")).where("text IS NOT NULL AND toxic IN (0, 1)")
+    rows = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"), draw.alias("draw")).where("key IS NOT NULL AND toxic IN (0, 1)")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, 4 * per_class / sizes.get(1, 1)))).otherwise(F.lit(min(1.0, 4 * per_class / sizes.get(0, 1))))
+    by_class = Window.partitionBy("toxic")
+    first = lambda df, n, *by: df.withColumn("rank", F.row_number().over(by_class.orderBy(*by))).where(F.col("rank") <= n)
+    drawn = first(rows.where(F.col("draw") <= share * wide), 2 * per_class, "draw", "key").drop("rank")
     at = F.floor(F.col("draw") / 7) % F.greatest(F.length("text") - passage, F.lit(1))
-    drawn = rows.where(F.col("draw") <= share * wide).select("toxic", "draw", F.substring("text", (at + 1).cast("int"), F.lit(passage)).alias("text"))
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "text"))).where(F.col("rank") <= per_class)
-    taught = ranked.orderBy("toxic", "rank").collect()  # at most 2 * per_class passages
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(drawn), "key")  # at most 4 * per_class keys
+    passages = texts.select("toxic", "draw", F.substring("text", (at + 1).cast("int"), F.lit(passage)).alias("text"))
+    taught = first(passages, per_class, "draw", "text").orderBy("toxic", "rank").collect()  # at most 2 * per_class passages
     found = Counter(r["toxic"] for r in taught)
     weight = [sizes[r["toxic"]] / found[r["toxic"]] for r in taught]
     return train([r["text"] for r in taught] + [""], [r["toxic"] for r in taught] + [0], [*weight, 0.01 * sum(weight) + 1], **options)
@@ -179,9 +184,9 @@ def score(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, learned from four fifths of the labelled documents; odd rows as in :func:`score`.
 
-    Ids that repeat are scored row by row; a label whose id repeats teaches all rows of that id.
+    Ids that repeat are scored row by row.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = fit(docs.where(~held_out(F.col("doc_id"))).join(labels, "doc_id"))
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

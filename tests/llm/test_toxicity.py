@@ -25,9 +25,14 @@ def texts(n, seed=1):
     return rows
 
 
+def fitted(spark, rows):
+    df = spark.createDataFrame(rows, DOC)
+    return toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic"))
+
+
 def test_unseen_forms_of_learned_stems(spark):
     rows = texts(900)
-    model = toxicity.fit(spark.createDataFrame(rows[:700], DOC))
+    model = fitted(spark, rows[:700])
     got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(rows[700:], DOC).drop("toxic"), model).collect()}
     right = [got[i]["predicted"] == y for i, _, y in rows[700:]]
     assert len(got) == 200 and np.mean(right) > 0.97
@@ -37,7 +42,7 @@ def test_unseen_forms_of_learned_stems(spark):
 
 
 def test_odd_texts(spark):
-    model = toxicity.fit(spark.createDataFrame(texts(300), DOC))
+    model = fitted(spark, texts(300))
     rows = [(1, None, "a"), (2, "", "b"), (3, " \n ?! ", "c"), (4, "ba " * 200_000 + "x" * 300_000, "d"), (5, "vrexquba " * 3, "e"), (5, "vrexquba " * 3, "f"), (None, "中文 ünï \U0001f600", "g")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, score string")
     got = toxicity.score(frame, model)
@@ -50,9 +55,9 @@ def test_odd_texts(spark):
 
 
 def test_fits_without_two_classes(spark):
-    empty = toxicity.fit(spark.createDataFrame([], DOC))
+    empty = fitted(spark, [])
     assert toxicity.score(spark.createDataFrame([(1, "x", 0)], DOC).drop("toxic"), empty).first()["predicted"] == 0
-    clean = toxicity.fit(spark.createDataFrame([(1, "some words", 0), (2, None, 1), (3, "more", None), (4, "words", 2)], DOC))
+    clean = fitted(spark, [(1, "some words", 0), (2, None, 1), (3, "more", None), (4, "words", 2), (None, "words", 1)])
     assert toxicity.score(spark.createDataFrame([(1, "some", 0)], DOC).drop("toxic"), clean).first()["predicted"] == 0
 
 
