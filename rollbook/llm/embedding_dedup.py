@@ -1,22 +1,26 @@
 """Near-duplicate vectors by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-* A rotation is learned on a bounded sample (about ``sample`` vectors and ``FLOATS`` components at most) so
-  that the signs of the rotated, centred vectors are balanced binary codes of up to 64 bits. Vectors of a
-  length that the sample hardly holds get a random rotation from a seed, made in the task.
-* Codes are cut into substrings of about ``WIDTH`` bits. In each table, vectors whose substrings differ in
-  at most one bit meet under the keys that leave out one bit; pairs of a bucket whose whole codes differ
-  in at most ``radius`` bits are candidates. With m tables every pair within 2m - 1 bits is retrieved.
-* Several rotations, learned from starts of their own, each have such tables. How many follows from the
-  bits and the recall wanted at the threshold, never from the number of vectors.
-* Candidates form clusters; clusters are cut into blocks of bounded size and pairs of blocks are
-  reranked with the original vectors in double precision.
-
-Equal vectors are one node with a weight. Pairs are never rows: tasks give counts and spanning links.
+* Rotations are learned on a bounded sample (about ``sample`` vectors and ``FLOATS`` components at most), each
+  from a start of its own, so that the signs of the rotated, centred vectors are balanced binary codes.
+* Each code is cut into substrings; each substring is the index of one table. Two vectors whose codes agree in
+  the substring of any table meet in a bucket of it: with m tables every pair within m - 1 bits does.
+* How wide substrings are, and how many tables there are, is measured: partners are planted at the wanted
+  cosine around sampled vectors, in all directions and along those of the data, and tables are added until
+  the wanted share of both kinds meets. So a common direction or topics in the data, which bring vectors
+  closer than their codes, lead to more tables, never to fewer links. Of the widths that reach the recall the
+  one is taken that costs least in copies and in chance meetings, which are measured on the sample too.
+* Each bucket is reranked with the original vectors in double precision. A pair counts in the first table in
+  which it meets, so candidates need no rows, and pairs that only share a bucket lead to nothing.
+
+Lengths of vectors are laid out by themselves. Lengths that the sample hardly holds get random rotations
+through the origin, whose bits differ by the angle alone. Equal vectors are one node with a weight. Pairs are
+never rows: tasks give counts and spanning links. Buckets over ``bucket`` rows are compared block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,18 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, spread, table
+from .common import materialise, ship, spread, table
 from .components import components
 
 SAMPLE, FLOATS = 20_000, 4_000_000
-RADIUS = 14
-WIDTH = 16
 RECALL = 0.999
-BLOCK = 512
-BUCKET = 4096
+BUCKET = 2048
+BITS = 64
+#: Lengths up to which rotations are learned; longer vectors are folded to so many components first.
+LONGEST = 4096
+WIDTHS = (1, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32)
+#: Planted partners of each kind, most rotations, and chance meetings that cost as much as one more copy of a vector.
+PLANTED, ROTATIONS, MEETINGS = 3000, 24, 50
 
 
-def fit_rotation(vectors: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit_rotation(vectors: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection (dimension x bits): principal directions, rotated by ITQ."""
     mean = vectors.mean(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
     bits = min(bits, vectors.shape[1])
@@ -50,22 +57,98 @@ def fit_rotation(vectors: np.ndarray, bits: int = 64, rounds: int = 40, seed: in
     return mean, p @ r
 
 
-def random_rotation(dim: int, bits: int = 64, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The same for a length without a sample: orthogonal random directions."""
+def random_rotation(dim: int, bits: int = BITS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Orthogonal random directions through the origin, for a length without a sample."""
     q, _ = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, min(bits, dim))))
     return np.zeros(dim), q
 
 
-def layout(bits: int, least: float, recall: float = RECALL, width: int = WIDTH) -> tuple[int, int]:
-    """``(tables, rotations)`` that retrieve a pair at cosine ``least`` with probability ``recall``.
+def fold(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of over ``LONGEST`` components as sums of these with random signs, which keep angles nearly as they were."""
+    n, d = vectors.shape
+    if d <= LONGEST:
+        return vectors
+    signed = np.zeros((n, -(-d // LONGEST) * LONGEST))
+    signed[:, :d] = vectors * np.where(np.random.default_rng([7, d]).integers(0, 2, d) > 0, 1.0, -1.0)
+    return signed.reshape(n, -1, LONGEST).sum(axis=1)
+
+
+@dataclass
+class Layout:
+    """Rotations of one length of vectors, and the width of the substrings of their codes."""
+
+    rotations: list[tuple[np.ndarray, np.ndarray]]
+    width: int
+
+    def keys(self, unit: np.ndarray) -> np.ndarray:
+        """Substrings of the codes of unit vectors, a column for each table."""
+        mask = np.uint64((1 << self.width) - 1)
+        cut = [codes(unit, *r)[:, None] >> np.arange(0, whole_bits(r, self.width), self.width, dtype=np.uint64) & mask for r in self.rotations]
+        return np.concatenate(cut, axis=1).astype(np.int64)
+
+
+def codes(unit: np.ndarray, mean: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return ((unit - mean) @ p >= 0) @ (np.uint64(1) << np.arange(p.shape[1], dtype=np.uint64))
+
+
+def whole_bits(rotation: tuple[np.ndarray, np.ndarray], width: int) -> int:
+    """Bits of a code that whole substrings use."""
+    return rotation[1].shape[1] // width * width
+
+
+def agreements(differ: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Number of substrings in which pairs of codes agree; ``differ`` holds the bits in which they don't."""
+    mask = np.uint64((1 << width) - 1)
+    return sum(((differ >> np.uint64(at)) & mask) == 0 for at in range(0, bits, width)) + np.zeros(len(differ), int)
+
+
+def planted(unit: np.ndarray, least: float, rng: np.random.Generator, n: int = PLANTED) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at cosine ``least`` around sampled vectors: parting in all directions, and along differences of sampled vectors."""
+    out = []
+    for along in (False, True):
+        x = unit[rng.integers(0, len(unit), n)]
+        z = unit[rng.integers(0, len(unit), n)] - unit[rng.integers(0, len(unit), n)] if along else rng.standard_normal(x.shape)
+        z = z - (z * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(z, axis=1, keepdims=True)
+        z = np.where(size > 1e-9, z / np.maximum(size, 1e-9), 0.0)
+        out.append((x, least * x + np.sqrt(max(0.0, 1 - least**2)) * z))
+    return out
 
-    A bit differs with the chance of a random hyperplane, angle / pi; a table misses a pair when two or more
-    bits of its substring differ.
-    """
-    tables = max(1, round(bits / width))
-    p, w = np.arccos(np.clip(least, -1.0, 1.0)) / np.pi, -(-bits // tables)
-    miss = max(0.0, 1 - (1 - p) ** w - w * p * (1 - p) ** (w - 1)) ** tables
-    return tables, 1 if miss <= 1 - recall else int(np.ceil(np.log(1 - recall) / np.log(miss)))
+
+def lay_out(unit: np.ndarray, labels: np.ndarray, rows: float, least: float, recall: float = RECALL, learn: bool = True, seed: int = 7, n: int = PLANTED) -> Layout:
+    """Cheapest layout for ``rows`` vectors like the sampled ``unit`` ones that lets ``recall`` of the planted pairs meet."""
+    rng, dim = np.random.default_rng([seed, unit.shape[1]]), unit.shape[1]
+    pairs = planted(unit, least, rng, n)
+    i, j = rng.integers(0, len(unit), (2, 5 * n))
+    i, j = i[i != j], j[i != j]
+    same = labels[i] == labels[j]
+    mates = rows * (same.mean() if len(same) else 1.0)  # vectors of a label that a vector can meet
+    i, j = (i[same], j[same]) if same.any() else (i, j)
+    widths = [w for w in WIDTHS if w <= min(BITS, dim)]
+    hit = {w: [np.zeros(n, bool) for _ in pairs] for w in widths}
+    tables, chance, rotations, best = dict.fromkeys(widths, 0), dict.fromkeys(widths, 0.0), [], None
+    for turn in range(ROTATIONS):
+        r = fit_rotation(unit, seed=seed + turn) if learn else random_rotation(dim, seed=seed + turn)
+        rotations.append(r)
+        differ = [codes(a, *r) ^ codes(b, *r) for a, b in pairs]
+        apart = codes(unit, *r)
+        apart = apart[i] ^ apart[j]
+        for w in list(widths):
+            bits = whole_bits(r, w)
+            for h, x in zip(hit[w], differ, strict=True):
+                h |= agreements(x, bits, w) > 0
+            chance[w] += float(agreements(apart, bits, w).mean()) if len(i) else 0.0
+            tables[w] += r[1].shape[1] // w
+            cost = MEETINGS * tables[w] + mates * chance[w]
+            if min(h.mean() for h in hit[w]) >= recall and (best is None or cost < best[0]):
+                best = cost, w, turn + 1
+            if min(h.mean() for h in hit[w]) >= recall or (best is not None and cost >= best[0]):
+                widths.remove(w)
+        if not widths:
+            break
+    if best is None:  # the narrowest substrings nearly always meet
+        return Layout(rotations, 1)
+    return Layout(rotations[: best[2]], best[1])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -74,39 +157,33 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _codes(models: dict[int, list[tuple[np.ndarray, np.ndarray]]], rotations: int):
-    """A row for each vector and rotation (``turn``)."""
+def unsampled(dim: int, rows: int, least: float, recall: float) -> Layout:
+    """Layout for a length without a sample: random rotations, measured on random vectors."""
+    some = _unit(np.random.default_rng([11, dim]).standard_normal((256, dim)))
+    return lay_out(some, np.zeros(len(some), int), rows, least, recall, learn=False, n=1000)
+
+
+def _keyed(layouts: dict[int, Layout], least: float, recall: float):
+    """Substrings of all tables of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = dict(layouts)
         for b in batches:
-            dim = b.column(3).to_numpy()
-            code = np.zeros((rotations, b.num_rows), np.uint64)
+            dim, count = b.column(2).to_numpy(), b.column(3).to_numpy()
+            keys: list = [None] * b.num_rows
             for d in np.unique(dim).tolist():
                 at = np.flatnonzero(dim == d)
-                x = _unit(np.asarray(b.column(2).take(pa.array(at)).flatten(), float).reshape(-1, d))
-                own = models.get(d) or [random_rotation(d, seed=7 + turn) for turn in range(rotations)]
-                for turn, (mean, p) in enumerate(own):
-                    code[turn, at] = ((x - mean) @ p >= 0) @ (np.uint64(1) << np.arange(p.shape[1], dtype=np.uint64))
-            for turn, own in enumerate(code):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.full(b.num_rows, turn, np.int32)), pa.array(own.view(np.int64))], names=["id", "label", "dim", "turn", "code"])
+                short = min(d, LONGEST)
+                if d not in own:
+                    own[d] = unsampled(short, int(count[at[0]]), least, recall)
+                x = _unit(fold(_unit(np.asarray(b.column(1).take(pa.array(at)).flatten(), float).reshape(-1, d))))
+                for i, k in zip(at.tolist(), own[d].keys(x), strict=True):
+                    keys[i] = k
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
 
     return run
 
 
-def table_masks(bits: int, tables: int) -> list[tuple[int, int]]:
-    """``(table, mask)``: for each table, the substring's mask with each of its bits left out."""
-    out = []
-    cut = np.linspace(0, bits, tables + 1).astype(int)
-    for t in range(tables):
-        whole = sum(1 << int(i) for i in range(cut[t], cut[t + 1]))
-        out += [(t, whole & ~(1 << int(i))) for i in range(cut[t], cut[t + 1])]
-    return out
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     parent: dict[int, int] = {}
 
@@ -123,138 +200,158 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _near(ids: np.ndarray, codes: np.ndarray, run: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning candidates among rows of equal ``run`` (sorted by it)."""
-    a, b = [], []
-    for d in range(1, len(ids)):
-        same = np.flatnonzero(run[d:] == run[:-d])
-        if not len(same):
-            break
-        close = same[np.bitwise_count(codes[same] ^ codes[same + d]) <= radius]
-        a.append(ids[close])
-        b.append(ids[close + d])
-    return _forest(np.concatenate(a), np.concatenate(b)) if a else []
+class _Found:
+    """Spanning links, and ``(id, id, n)`` for the links of each vector."""
 
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
 
-def _buckets(radius: int):
-    """Rows ``key, id, code``, clustered and sorted by key; a bucket may run over batches."""
+    def add(self, ids: np.ndarray, weight: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+        if len(p):
+            n = np.bincount(p, weight[q], len(ids)) + np.bincount(q, weight[p], len(ids))
+            at = np.flatnonzero(n)
+            tree = np.array(_forest(ids[p], ids[q]), np.int64).reshape(-1, 2)
+            self.parts += [np.column_stack([tree, np.zeros(len(tree), np.int64)]), np.column_stack([ids[at], ids[at], n[at].astype(np.int64)])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            rows = np.stack([b.column(i).to_numpy() for i in range(3)])
-            rows = rows if held is None else np.concatenate([held, rows], axis=1)
-            last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-            held = rows[:, last:]
-            yield _edges(rows[:, :last], radius)
-        if held is not None:
-            yield _edges(held, radius)
+    def batch(self) -> pa.RecordBatch:
+        rows = np.concatenate(self.parts) if self.parts else np.zeros((0, 3), np.int64)
+        self.parts = []
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), pa.int64()) for c in rows.T], names=["a", "b", "n"])
 
-    return run
 
+def rerank(x: np.ndarray, keys: np.ndarray, t: int, left: np.ndarray, right: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs between ``left`` and ``right`` (None: within ``left``) at cosine ``least`` that meet in table ``t`` first."""
+    ok = x[left] @ x[left if right is None else right].T >= least
+    if right is None:
+        ok = np.triu(ok, 1)
+    p, q = np.nonzero(ok)
+    p, q = left[p], (left if right is None else right)[q]
+    agree = keys[p] == keys[q]
+    first = agree[:, t] & ~agree[:, :t].any(axis=1) if len(p) else np.zeros(0, bool)
+    return p[first], q[first]
 
-def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
-    found = _near(rows[1], rows[2].view(np.uint64), rows[0], radius)
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+_MET = "a long, b long, n long"
 
-def _tile(radius: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = (rows["block"] == rows["i"]).to_numpy()
-        ids, codes = rows["id"].to_numpy(), rows["code"].to_numpy().view(np.uint64)
-        other = np.flatnonzero(~left) if rows["i"].iloc[0] != rows["j"].iloc[0] else np.flatnonzero(left)
-        out = [np.stack([np.full(n := len(k := other[np.bitwise_count(codes[other] ^ codes[x]) <= radius]), ids[x]), ids[k]]) for x in np.flatnonzero(left)]
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), int)
-        return pd.DataFrame(_forest(pairs[0], pairs[1]), columns=["a", "b"], dtype="int64")
 
-    return run
+def _buckets(least: float):
+    """Rows ``key, t, label, id, weight, keys, embedding`` clustered and sorted by the first three; a bucket may run over batches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            key = rows["key"].to_numpy()
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            held = rows.slice(last)
+            if last:
+                yield _verified(rows.slice(0, last), least)
+        if held is not None:
+            yield _verified(held, least)
 
-def candidates(codes: DataFrame, bits: int, tables: int, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Spanning candidate links ``a, b``. Buckets over ``bucket`` rows are compared block by block."""
-    masks = [F.struct(F.lit(t).alias("t"), (F.col("code").bitwiseAND(F.lit(_signed(m)))).alias("v"), F.lit(_signed(m)).alias("m")) for t, m in table_masks(bits, tables)]
-    keyed = codes.select("id", "code", "label", "dim", "turn", F.explode(F.array(*masks)).alias("k")).select("id", "code", F.xxhash64("label", "dim", "turn", "k.t", "k.m", "k.v").alias("key"))
-    large = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket), "large")
-    parts = spread(codes.sparkSession)
-    small = keyed.join(large, "key", "left_anti").select("key", "id", "code").repartition(parts, "key").sortWithinPartitions("key")
-    edges = small.mapInArrow(_buckets(radius), "a long, b long")
-    n = F.ceil(F.col("n") / (bucket // 4)).cast("int")
-    rest = keyed.join(large, "key").select("key", "id", "code", n.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", "id", "code", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return edges.unionByName(rest.groupBy("key", "i", "j").applyInPandas(_tile(radius), "a long, b long"))
+    return run
 
 
-def _rerank(least: float):
+def _verified(rows: pa.Table, least: float) -> pa.RecordBatch:
+    found = _Found()
+    key, t, label = rows["key"].to_numpy(), rows["t"].to_numpy(), rows["label"].to_numpy(zero_copy_only=False)
+    new = np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (label[1:] != label[:-1])] if len(key) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    end = np.r_[start[1:], len(key)]
+    vectors, keys = rows["embedding"].combine_chunks(), rows["keys"].combine_chunks()
+    at, keys_at = vectors.offsets.to_numpy(), keys.offsets.to_numpy()
+    flat, keys_flat = vectors.values.to_numpy(zero_copy_only=False), keys.values.to_numpy()
+    ids, weight = rows["id"].to_numpy(), rows["weight"].to_numpy()
+    for s, e in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist(), strict=True):
+        x, k = flat[at[s] : at[e]].astype(float).reshape(e - s, -1), keys_flat[keys_at[s] : keys_at[e]].reshape(e - s, -1)
+        p, q = rerank(_unit(x), k, int(t[s]), np.arange(e - s), None, least)
+        found.add(ids[s:e], weight[s:e], p, q)
+    return found.batch()
+
+
+def _tile(least: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in rows.groupby("cluster", sort=False):
-            ids, weight = part["id"].to_numpy(), part["weight"].to_numpy()
-            x = _unit(np.stack(part["embedding"].to_numpy()).astype(float))
-            i, j = part["i"].iloc[0], part["j"].iloc[0]
-            side = (part["block"] == i).to_numpy()
-            a, b = np.flatnonzero(side), np.flatnonzero(side if i == j else ~side)
-            ok = x[a] @ x[b].T >= least
-            if i == j:
-                np.fill_diagonal(ok, False)
-            count = np.zeros(len(ids), int)
-            count[a] += ok @ weight[b]
-            if i != j:
-                count[b] += ok.T @ weight[a]
-            p, q = np.nonzero(ok)
-            out += [(u, v, 0) for u, v in _forest(ids[a][p], ids[b][q])]
-            out += [(u, u, n) for u, n in zip(ids[count > 0].tolist(), count[count > 0].tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "n"], dtype="int64")
+        found = _Found()
+        i, j, t = rows["i"].iloc[0], rows["j"].iloc[0], int(rows["t"].iloc[0])
+        x, keys = _unit(np.stack(rows["embedding"].to_numpy()).astype(float)), np.stack(rows["keys"].to_numpy())
+        side = (rows["block"] == i).to_numpy()
+        p, q = rerank(x, keys, t, np.flatnonzero(side), None if i == j else np.flatnonzero(~side), least)
+        found.add(rows["id"].to_numpy(), rows["weight"].to_numpy(), p, q)
+        return found.batch().to_pandas()
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, radius: int = RADIUS, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def links(nodes: DataFrame, keys: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
+    """``a, b, n``: spanning links (``a <> b``) and the number of each vector's links (``a = b``), in parts.
+
+    ``nodes`` holds ``id, label, dim, weight, embedding``, ``keys`` the substrings ``keys`` of each id.
+    """
+    dealt = keys.join(nodes.select("id", "label", "dim"), "id").select("id", "label", "dim", F.posexplode("keys").alias("t", "v"))
+    dealt = dealt.select("id", "t", F.xxhash64("label", "dim", "t", "v").alias("key"))
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(sizes, "buckets")  # buckets of one vector are not looked at
+    met = materialise(dealt.join(sizes, "key"), "met")
+    full = nodes.select("id", "label", "dim", "weight", "embedding").join(keys, "id")
+    small = met.where(F.col("n") <= bucket).select("id", "t", "key").join(full, "id").select("key", "t", "label", "dim", "id", "weight", "keys", "embedding")
+    sorted_ = small.repartition(spread(nodes.sparkSession, 2), "key").sortWithinPartitions("key", "t", "label", "dim")
+    found = sorted_.select("key", "t", F.concat_ws(" ", "dim", "label").alias("label"), "id", "weight", "keys", "embedding").mapInArrow(_buckets(least), _MET)
+    blocks = F.ceil(F.col("n") / (bucket // 4)).cast("int")
+    rest = met.where(F.col("n") > bucket).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", "t", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rest = rest.join(full, "id").select("key", "t", "label", "dim", "id", "weight", "keys", "embedding", "block", "i", "j")
+    return found.unionByName(rest.groupBy("key", "t", "label", "dim", "i", "j").applyInPandas(_tile(least), _MET))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector; links: equal label, cosine >= ``least``.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, or have a null label, link
-    with nothing, as do vectors of different lengths. Rows that repeat an id count as vectors of their
-    own, linked by their own vectors. Null ids are kept, without links. An empty table gives an empty
-    result; other columns are ignored.
+    Pairs right at ``least`` are found with a chance of ``recall`` (measured on planted pairs), closer ones with
+    a higher one; no pair below it is linked. Vectors that are null, empty, zero or hold null or non-finite
+    components, or have a null label, link with nothing, as do vectors of different lengths. Rows that repeat an
+    id count as vectors of their own, linked by their own vectors. Null ids are kept, without links. An empty
+    table gives an empty result; other columns are ignored.
     """
+    spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"), F.col(label).cast("string").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")  # written once, so the numbers stay
-    spark = vectors.sparkSession
-    n, floats, longest = nodes.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
-    share = min(1.0, sample / max(n, 1), FLOATS / max(floats, 1))
-    drawn = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    some = drawn.select("embedding", "dim").limit(int(2 * share * n) + 100).collect() if longest <= FLOATS else []
-    bits = min(64, longest)
-    tables, rotations = layout(bits, least)
-    models = {}
-    for d in sorted({r["dim"] for r in some}):
-        own = _unit(np.array([r["embedding"] for r in some if r["dim"] == d], float))
-        if len(own) >= 2 * min(64, d):
-            models[d] = [fit_rotation(own, seed=7 + turn) for turn in range(rotations)]
-    codes = materialise(nodes.select("id", "label", "embedding", "dim").mapInArrow(_codes(models, rotations), "id long, label string, dim int, turn int, code long"), "codes")
-    clusters = components(candidates(codes, bits, tables, radius, bucket)).select("id", F.col("component").alias("cluster"))
-    clusters = materialise(clusters, "clusters")
-    bins = clusters.count() // BLOCK + 1  # small clusters share a task up to about a block
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    tiled = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bin_ = F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(-1 - F.pmod(F.xxhash64("cluster"), F.lit(bins)))
-    tiled = tiled.select("id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), bin_.alias("bin"))
-    met = nodes.select("id", "embedding", "weight").join(tiled, "id").groupBy("bin", "i", "j").applyInPandas(_rerank(least), "a long, b long, n long")
-    met = materialise(met, "met")
-    links = met.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    lengths = nodes.groupBy("dim").agg(F.count("*").alias("count"))
+    keys = nodes.select("id", "embedding", "dim").join(lengths, "dim").select("id", "embedding", "dim", "count")
+    keys = materialise(keys.mapInArrow(_keyed(_learned(nodes, least, sample, recall), least, recall), "id long, keys array<long>"), "keys")
+    met = materialise(links(nodes, keys, least, bucket), "links")
+    counts = met.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     found = components(met.where("a <> b").select("a", "b"))
     first = nodes.select("id", "first").join(found, "id").groupBy("component").agg(F.min("first").alias("component_id"))
-    known = nodes.select("label", "embedding", "id", "first", "weight").join(links, "id", "left").join(found.join(first, "component"), "id", "left")
+    known = nodes.select("label", "embedding", "id", "first", "weight").join(counts, "id", "left").join(found.join(first, "component"), "id", "left")
     known = known.select("label", "embedding", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     out = rows.join(known, ["label", "embedding"], "left")
     has_id = F.col("vec_id").isNotNull()
     mine = F.when(has_id, F.coalesce("component_id", "vec_id"))
-    links = F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
-    return out.select("vec_id", links.alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
+    n_links = F.when(has_id, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long")
+    return out.select("vec_id", n_links.alias("n_links"), mine.alias("component_id"), F.coalesce(F.col("vec_id") == mine, F.lit(True)).alias("kept"))
+
+
+def _learned(nodes: DataFrame, least: float, sample: int, recall: float) -> dict[int, Layout]:
+    """Layouts of the lengths of which a bounded sample holds twice as many vectors as bits; all vectors of a small table are sampled."""
+    able = nodes.where(F.col("dim") <= LONGEST)
+    n, floats = able.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    share = min(1.0, sample / max(n, 1), FLOATS / max(floats, 1))
+    drawn = able.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else able
+    some: dict[int, list] = {}
+    for r in drawn.select("embedding", "label", "dim").limit(int(2 * share * n) + 100).collect():  # twice the sample's expected size at most
+        some.setdefault(r["dim"], []).append((np.array(r["embedding"], float), r["label"]))
+    out = {}
+    for d, rows in sorted(some.items()):
+        if len(rows) >= 2 * min(BITS, d):  # fewer can't balance so many bits
+            names = np.unique([y for _, y in rows], return_inverse=True)[1]
+            out[d] = lay_out(_unit(np.stack([x for x, _ in rows])), names, len(rows) / share, least, recall)
+    return out
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

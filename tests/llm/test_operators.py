@@ -216,12 +216,12 @@ def vectors():
     return rows + [(500 + i, v, "l0") for i, v in enumerate(odd)] + [(600, rows[3][1], rows[3][2]), (601, [2 * x for x in rows[3][1]], rows[3][2])]
 
 
-@pytest.mark.parametrize("block,bucket", [(512, 4096), (8, 12)])
-def test_embedding_dedup(spark, block, bucket):
-    """Small blocks and buckets: large buckets and clusters go through tiles."""
+@pytest.mark.parametrize("bucket", [2048, 12])
+def test_embedding_dedup(spark, bucket):
+    """With small buckets, most of them go through tiles."""
     rows = [*vectors(), *((700 + i, np.random.default_rng(i // 2).normal(size=3 + i // 2).tolist(), "l0") for i in range(160))]  # 80 further lengths
     df = frame(spark, rows, "vec_id long, embedding array<double>, label string").withColumn("n_links", F.lit("own"))
-    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, 0.98, block=block, bucket=bucket).collect()}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, 0.98, bucket=bucket).collect()}
     assert len(got) == len(rows)
     fine = [v is not None and None not in v and bool(np.isfinite(v).all()) and any(v) for _, v, _ in rows]
     unit = [np.array(v) / np.linalg.norm(v) if ok else None for (_, v, _), ok in zip(rows, fine, strict=True)]
@@ -247,19 +247,61 @@ def test_embedding_dedup_of_repeated_ids(spark):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(1, 0, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 3, True), (3, 1, 3, True), (None, 0, None, True)]))
 
 
-def test_embedding_index_recall_at_the_threshold(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    x = embedding_dedup._unit(rng.normal(size=(1500, 64)))
-    z = rng.normal(size=x.shape)
+def partners(x, least=0.98, seed=6):
+    """A partner at cosine ``least`` of each unit vector."""
+    z = np.random.default_rng(seed).normal(size=x.shape)
     z = embedding_dedup._unit(z - (z * x).sum(axis=1, keepdims=True) * x)
-    y = 0.98 * x + np.sqrt(1 - 0.98**2) * z
-    rows = [(i, v.tolist(), "a") for i, v in enumerate(np.concatenate([x, y]))]
-    df = frame(spark, rows, "vec_id long, embedding array<double>, label string")
-    log2 = np.log2
-    monkeypatch.setattr(embedding_dedup.np, "log2", lambda n: log2(n) + 17)  # what is laid out by the row count sees 4e8 rows
+    return least * x + np.sqrt(1 - least**2) * z
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.9])
+def test_embedding_recall_at_the_threshold(spark, mean):
+    """Also where all vectors have a direction in common (``mean``: the mean cosine)."""
+    rng = np.random.default_rng(5)
+    shift = np.sqrt(mean / (1 - mean) * 64) * embedding_dedup._unit(rng.normal(size=(1, 64)))
+    x = embedding_dedup._unit(rng.normal(size=(1000, 64)) + shift)
+    assert abs((x.mean(axis=0) ** 2).sum() - mean) < 0.03
+    both = np.concatenate([x, partners(x)])
+    alike = np.triu(both @ both.T >= 0.98 - 1e-9, 1)
+    df = frame(spark, [(i, v.tolist(), "a") for i, v in enumerate(both)], "vec_id long, embedding array<double>, label string")
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df, 0.98 - 1e-9).collect()}
-    assert sum(got[i] > 0 for i in range(1500)) >= embedding_dedup.RECALL * 1500
-    assert embedding_dedup.layout(64, 0.98) == (4, 2)
+    true = alike.sum(axis=0) + alike.sum(axis=1)
+    assert all(got[i] <= true[i] for i in range(2000)) and alike.sum() >= 1000
+    assert sum(got.values()) >= 0.995 * true.sum()
+
+
+def test_topics_without_links(spark):
+    """Vectors that are close within their topics, though below the threshold, meet in few buckets and link with nothing."""
+    rng = np.random.default_rng(8)
+    centre = embedding_dedup._unit(rng.normal(size=(6, 128)))
+    x = embedding_dedup._unit(2 * np.repeat(centre, 200, axis=0) + embedding_dedup._unit(rng.normal(size=(1200, 128))))
+    within = x[:200] @ x[:200].T
+    assert 0.75 < np.median(within) < 0.85 and np.triu(within, 1).max() < 0.97
+    got = embedding_dedup.near_duplicates(frame(spark, [(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string"))
+    assert got.where("n_links > 0 OR NOT kept").count() == 0
+    # the more vectors there are, the fewer of a topic meet, at the same recall
+    meetings = []
+    for n in (1200, 1e7):
+        layout = embedding_dedup.lay_out(x, np.zeros(1200), n, 0.98)
+        keys = layout.keys(x)
+        meetings.append(sum((keys[:, t][:, None] == keys[:, t]).sum() - 1200 for t in range(keys.shape[1])))
+        for a, b in embedding_dedup.planted(x, 0.98, np.random.default_rng(99)):
+            assert (layout.keys(a) == layout.keys(b)).any(axis=1).mean() > 0.995
+    assert meetings[1] < 0.3 * meetings[0]
+
+
+def test_other_lengths_change_nothing(spark):
+    rng = np.random.default_rng(9)
+    x = embedding_dedup._unit(rng.normal(size=(300, 16)))
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(np.concatenate([x, partners(x, 0.985)]))]
+    schema = "vec_id long, embedding array<double>, label string"
+    alone = embedding_dedup.near_duplicates(frame(spark, rows, schema)).collect()
+    other = [(1000, rng.normal(size=64).tolist(), "a"), (1001, rng.normal(size=10_000).tolist(), "a"), (1002, [1.0], "a"), (1003, [2.0], "a"), (1004, [-1.0], "a")]
+    other.append((1005, [3 * c for c in other[1][1]], "a"))  # long vectors are folded, not compared folded
+    beside = {r["vec_id"]: tuple(r) for r in embedding_dedup.near_duplicates(frame(spark, rows + other, schema)).collect()}
+    assert {tuple(r) for r in alone} == {v for k, v in beside.items() if k < 1000}
+    assert sum(r["n_links"] for r in alone) >= 600
+    assert [beside[1000 + i][1:3] for i in range(6)] == [(0, 1000), (1, 1001), (1, 1002), (1, 1002), (0, 1004), (1, 1001)]
 
 
 def test_url_filter(spark):
