@@ -7,15 +7,17 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Experiment
+from ..functions import features as C
 from ..operators import metrics
 from ..operators.sampling import cap_rows, sample_negatives
 from ..plans.tasks import Task, filter_years
+from .additive import CYCLES, Shape, fit_additive
 from .encode import Encoder, fit_encoder
 
 #: ``(slope, intercept)`` on the raw probability, or ``(None, constant)``.
@@ -33,20 +35,28 @@ class Model:
     encoder: Encoder
     coefficients: list[float] = field(default_factory=list)
     intercept: float = 0.0
-    trees: GBTClassificationModel | None = None
+    shapes: list[Shape] = field(default_factory=list)
     stages: dict[str, Calibrator] = field(default_factory=dict)
     overall: Calibrator = (None, 0.0)
     metadata: dict[str, Any] = field(default_factory=dict)
 
+    def parts(self) -> dict[str, Column]:
+        """What each input column adds to the score."""
+        if self.shapes:
+            return {x.column: x.value() for x in self.shapes}
+        out: dict[str, Column] = {}
+        for b, (c, x) in zip(self.coefficients, self.encoder.terms(), strict=True):
+            out[c] = out[c] + b * x if c in out else b * x
+        return out
+
     def logit(self) -> Column:
-        """Linear score of a logistic model as an expression."""
+        """Score of a logistic or additive model as an expression."""
+        if self.shapes:
+            return reduce(lambda z, x: z + x, self.parts().values(), F.lit(self.intercept))
         return reduce(lambda z, t: z + t[0] * t[1][1], zip(self.coefficients, self.encoder.terms(), strict=True), F.lit(self.intercept))
 
     def with_raw(self, df: DataFrame, out: str = "raw_score") -> DataFrame:
-        if self.trees is None:
-            return df.withColumn(out, sigmoid(self.logit()))
-        scored = self.trees.transform(df.withColumn("__features", array_to_vector(F.array(*self.encoder.codes()))))
-        return scored.withColumn(out, vector_to_array("probability")[1]).drop("__features", "probability", "rawPrediction", "prediction")
+        return df.withColumn(out, sigmoid(self.logit()))
 
     def calibrated(self, raw: Column, stage: Column) -> Column:
         """Calibrator of the stage, or the overall one for stages never seen."""
@@ -57,31 +67,26 @@ class Model:
         return self.with_raw(df, raw).withColumn(out, self.calibrated(F.col(raw), F.col("stage"))).drop(raw)
 
     def to_sql(self) -> str:
-        """The calibrated probability of a logistic model as a SQL expression over the feature columns."""
-        if self.trees is not None:
-            raise ValueError("only logistic models have a SQL form")
+        """The calibrated probability as a SQL expression over the feature columns."""
         q = lambda v: "'" + v.replace("'", "''") + "'"
         terms = [f"(coalesce({c}, {m!r}) - {mean!r}) / {sd!r}" for c, m, mean, sd in self.encoder.numeric]
         for c, fill, values in self.encoder.categorical:
             terms += [f"CASE WHEN coalesce({c}, {q(fill)}) = {q(v)} THEN 1.0 ELSE 0.0 END" for v in values]
-        z = " + ".join([repr(self.intercept), *(f"{b!r} * ({t})" for b, t in zip(self.coefficients, terms, strict=True))])
-        raw = f"(1 / (1 + exp(-({z}))))"
+        parts = [f"({x.to_sql()})" for x in self.shapes] if self.shapes else [f"{b!r} * ({t})" for b, t in zip(self.coefficients, terms, strict=True)]
+        raw = f"(1 / (1 + exp(-({' + '.join([repr(self.intercept), *parts])}))))"
         use = lambda c: repr(c[1]) if c[0] is None else f"1 / (1 + exp(-({c[0]!r} * {raw} + {c[1]!r})))"
-        return "CASE " + "".join(f"WHEN stage = {q(s)} THEN {use(c)} " for s, c in self.stages.items()) + f"ELSE {use(self.overall)} END"
+        return "CASE " + "".join(f"WHEN stage = {q(s)} THEN {use(c)} " for s, c in self.stages.items()) + f"ELSE {use(self.overall)} END" if self.stages else use(self.overall)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        d = {k: v for k, v in asdict(self).items() if k != "trees"} if self.trees is None else {**{k: getattr(self, k) for k in ("task", "candidate", "stages", "overall", "metadata")}, "encoder": asdict(self.encoder)}
-        spark.createDataFrame([(json.dumps(d),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
-        if self.trees is not None:
-            self.trees.write().overwrite().save(f"{path}/trees")
+        spark.createDataFrame([(json.dumps(asdict(self)),)], "model string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Model:
         d = json.loads(spark.read.text(f"{path}/model").first()[0])
         e = d.pop("encoder")
         encoder = Encoder([tuple(x) for x in e["numeric"]], [tuple(x) for x in e["categorical"]])
-        trees = GBTClassificationModel.load(f"{path}/trees") if d["candidate"] == "ebm" else None
-        return Model(**{**d, "stages": {k: tuple(v) for k, v in d["stages"].items()}, "overall": tuple(d["overall"])}, encoder=encoder, trees=trees)
+        shapes = [Shape(**x) for x in d.pop("shapes")]
+        return Model(**{**d, "stages": {k: tuple(v) for k, v in d["stages"].items()}, "overall": tuple(d["overall"])}, encoder=encoder, shapes=shapes)
 
 
 def fit_logistic(df: DataFrame, target: str, encoder: Encoder, c: float = 1.0, balanced: bool = True) -> tuple[list[float], float]:
@@ -98,39 +103,107 @@ def fit_logistic(df: DataFrame, target: str, encoder: Encoder, c: float = 1.0, b
 
 
 def fit_candidate(df: DataFrame, task: Task, candidate: str, seed: int, hyper: dict[str, Any] | None = None) -> Model:
-    """``logistic``, or ``ebm``: boosted depth-one trees, an additive model in the place of the explainable booster."""
+    """``logistic``, or ``ebm``: an additive booster with a lookup table for each feature (``rounds``: its cycles). Both are free of chance; ``seed`` is kept for other candidates."""
     hyper = hyper or {}
     encoder = fit_encoder(df, task.numeric, task.categorical)
     if candidate == "logistic":
         beta, intercept = fit_logistic(df, task.target, encoder, float(hyper.get("C", 1.0)), str(hyper.get("class_weight", "balanced")) == "balanced")
         return Model(task.name, candidate, encoder, beta, intercept)
     if candidate == "ebm":
-        rows = df.select(array_to_vector(F.array(*encoder.codes())).alias("__features"), F.col(task.target).cast("double").alias("label"))
-        gbt = GBTClassifier(featuresCol="__features", maxDepth=1, maxIter=int(hyper.get("rounds", 40)), stepSize=0.2, seed=seed)
-        return Model(task.name, candidate, encoder, trees=gbt.fit(rows))
+        shapes, intercept = fit_additive(df, task.target, task.numeric, {c: v for c, _, v in encoder.categorical}, int(hyper.get("rounds", CYCLES)))
+        return Model(task.name, candidate, encoder, intercept=intercept, shapes=shapes)
     raise ValueError(f"Unknown candidate model: {candidate}")
 
 
+#: Newton steps of a calibrator, and the step at which they end.
+STEPS, SMALL = 50, 1e-12
+
+
+def fit_calibrators(df: DataFrame, raw: str, target: str, group: str) -> tuple[dict[str, Calibrator], Calibrator]:
+    """A logistic curve on the raw probability for each group, and one for all rows.
+
+    The slope is penalised by half its square. Every Newton step of all curves is one grouped aggregation of
+    their 2 x 2 normal equations, over rows that were first counted by group, score and label. No rows:
+    0; one class: that class.
+    """
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(raw).cast("double").alias("x"), F.col(target).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    rows = rows.groupBy("g", "x", "y").agg(F.count("*").alias("n")).persist()
+    seen = {r["g"]: (r["low"], r["high"]) for r in rows.groupBy("g").agg(F.min("y").alias("low"), F.max("y").alias("high")).collect()}
+    fixed = {g: (None, low) for g, (low, high) in seen.items() if low == high and g is not None}
+    low, high = min((x[0] for x in seen.values()), default=0.0), max((x[1] for x in seen.values()), default=0.0)
+    curves: dict[Any, list[float]] = {g: [0.0, 0.0] for g in seen if g is not None and g not in fixed}
+    if low < high:
+        curves[_ALL] = [0.0, 0.0]
+    for _ in range(STEPS if curves else 0):
+        moved = 0.0
+        for g, (a, b) in _newton(rows, curves).items():
+            moved = max(moved, abs(a - curves[g][0]), abs(b - curves[g][1]))
+            curves[g] = [a, b]
+        if moved < SMALL:
+            break
+    rows.unpersist()
+    overall = tuple(curves.pop(_ALL)) if _ALL in curves else (None, float(low))
+    return {g: tuple(curves[g]) if g in curves else fixed[g] for g in sorted(x for x in seen if x is not None)}, overall
+
+
+_ALL = object()
+
+
+def _newton(rows: DataFrame, curves: dict[Any, list[float]]) -> dict[Any, tuple[float, float]]:
+    """The next slope and intercept of every curve."""
+    x, y, n = F.col("x"), F.col("y"), F.col("n")
+    own = {g: c for g, c in curves.items() if g is not _ALL}
+    value = lambda k: reduce(lambda rest, kv: F.when(F.col("g") == kv[0], F.lit(kv[1][k])).otherwise(rest), own.items(), F.lit(0.0))
+
+    def sums(a: Column, b: Column, name: str) -> list[Column]:
+        p = sigmoid(a * x + b)
+        w, e = n * p * (1 - p), n * (p - y)
+        return [F.sum(c).alias(f"{name}{k}") for k, c in (("ee", e), ("ex", e * x), ("w", w), ("wx", w * x), ("wxx", w * x * x))]
+
+    both = sums(value(0), value(1), "g_") + (sums(F.lit(curves[_ALL][0]), F.lit(curves[_ALL][1]), "t_") if _ALL in curves else [])
+    found = rows.groupBy("g").agg(*both).collect()  # a row for each group
+    keys = ("ee", "ex", "w", "wx", "wxx")
+    totals = {r["g"]: [r[f"g_{k}"] for k in keys] for r in found if r["g"] in own}
+    if _ALL in curves:
+        totals[_ALL] = [sum(r[f"t_{k}"] for r in found) for k in keys]
+    out = {}
+    for g, (ee, ex, w, wx, wxx) in totals.items():
+        a, b = curves[g]
+        ga, gb, haa = ex + a, ee, wxx + 1
+        det = haa * w - wx * wx
+        out[g] = (a - (w * ga - wx * gb) / det, b - (haa * gb - wx * ga) / det) if det > 0 else (a, b)
+    return out
+
+
 def fit_calibrator(df: DataFrame, raw: str, target: str) -> Calibrator:
-    """Logistic curve on the raw probability; no rows: 0, one class: that class."""
-    y = F.col(target).cast("double")
-    n, low, high = df.agg(F.count("*"), F.min(y), F.max(y)).first()
-    if not n or low == high:
-        return None, float(low or 0.0)
-    fitted = LogisticRegression(regParam=1 / n, standardization=False, maxIter=200, tol=1e-8).fit(df.select(array_to_vector(F.array(raw)).alias("features"), y.alias("label")))
-    return float(fitted.coefficients[0]), fitted.intercept
+    """One curve for all rows; see :func:`fit_calibrators`."""
+    return fit_calibrators(df.withColumn("__group", F.lit("all")), raw, target, "__group")[1]
 
 
 def calibrate(model: Model, df: DataFrame, target: str, group: str = "stage") -> Model:
     """Fit a calibrator for each stage and one for all, on frames the model did not see."""
-    raw = model.with_raw(df).select(group, target, "raw_score").persist()
-    model.overall = fit_calibrator(raw, "raw_score", target)
-    stages = [r[0] for r in raw.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
-    model.stages = {s: fit_calibrator(raw.where(F.col(group) == s), "raw_score", target) for s in stages}
-    raw.unpersist()
+    model.stages, model.overall = fit_calibrators(model.with_raw(df), "raw_score", target, group)
     return model
 
 
+def certificate(model: Model, df: DataFrame, target: str, c: float = 1.0, balanced: bool = True) -> DataFrame:
+    """``term, value, gradient`` of a logistic model: at the minimum of the penalised loss every gradient is zero.
+
+    Terms are the encoded columns (a category as ``column=value``) and ``intercept``; gradients are means over
+    the rows, the penalty's share included.
+    """
+    y = F.col(target).cast("double")
+    n, pos = df.agg(F.count("*"), F.sum(y)).first()
+    weight = F.when(y == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
+    names = [x[0] for x in model.encoder.numeric] + [f"{x[0]}={v}" for x in model.encoder.categorical for v in x[2]]
+    values = F.array(*(x for _, x in model.encoder.terms()), F.lit(1.0))
+    rows = df.select((weight * (sigmoid(model.logit()) - y)).alias("e"), F.posexplode(values).alias("i", "x"))
+    sums = rows.groupBy("i").agg((F.sum(F.col("e") * F.col("x")) / n).alias("mean"))
+    beta = F.array(*map(F.lit, [*model.coefficients, model.intercept]))
+    penalty = F.when(F.col("i") < len(names), F.get(beta, "i") / (c * n)).otherwise(0.0)
+    return sums.select(F.get(F.array(*map(F.lit, [*names, "intercept"])), "i").alias("term"), F.get(beta, "i").alias("value"), (F.col("mean") + penalty).alias("gradient"))
+
+
 def training_rows(df: DataFrame, task: Task, config: Config) -> DataFrame:
     m, seed = config.modeling, config.project.random_seed
     df = sample_negatives(df, task.target, m.train_negative_to_positive_ratio, task.ids, seed)
@@ -166,9 +239,8 @@ def refit(task: Task, candidate: str, years: list[str], calibration_years: list[
 def permutation_importance(model: Model, df: DataFrame, target: str, ids: list[str], fraction: float = 0.05, repeats: int = 5, seed: int = 42, most: int = 5000) -> DataFrame:
     """``feature, importance``: mean loss of precision at ``fraction`` when a column is shuffled.
 
-    A report over a bounded number of rows (``most``), all columns and repeats in one job. For a logistic
-    model shuffling a column swaps its contribution to the linear score; for trees its code is swapped and
-    the row scored again.
+    A report over a bounded number of rows (``most``), all columns and repeats in one job: shuffling a column
+    of an additive score swaps its part of it. Shuffles are ranks of MD5 digests, the same in every engine.
     """
     import math
 
@@ -177,16 +249,9 @@ def permutation_importance(model: Model, df: DataFrame, target: str, ids: list[s
     from ..operators.sampling import draw, draw_order
     from ..sources.shared import written
 
-    if model.trees is None:
-        part: dict[str, Column] = {}
-        for b, (c, x) in zip(model.coefficients, model.encoder.terms(), strict=True):
-            part[c] = part[c] + b * x if c in part else b * x
-        names, values, score = list(part), F.array(*part.values()), model.logit()
-    else:
-        names, values, score = model.encoder.inputs, F.array(*model.encoder.codes()), F.col("raw_score")
-    drawn = draw(df, most, ids, seed)
-    drawn = drawn if model.trees is None else model.with_raw(drawn)
-    rows = drawn.select(F.col(target).cast("double").alias("y"), score.alias("z"), values.alias("c"), F.row_number().over(Window.orderBy(draw_order(ids, seed), *ids)).alias("i"))
+    parts = model.parts()
+    names = list(parts)
+    rows = draw(df, most, ids, seed).select(F.col(target).cast("double").alias("y"), F.round(model.logit(), 9).alias("z"), F.array(*parts.values()).alias("c"), F.row_number().over(Window.orderBy(draw_order(ids, seed), *ids)).alias("i"))
     rows = written(rows, "importance")  # at most ``most`` rows
     k = max(1, math.ceil(rows.count() * fraction))
     base = metrics.precision_at(rows, "y", "z", fraction, ["i"]).first()[0]
@@ -194,11 +259,14 @@ def permutation_importance(model: Model, df: DataFrame, target: str, ids: list[s
     perm = reps.withColumn("j", F.row_number().over(Window.partitionBy("r").orderBy(F.md5(F.concat_ws("|", "i", "r", F.lit(str(seed))).cast("binary")), "i")))
     other = rows.select(F.col("i").alias("j"), F.col("c").alias("d"))
     swapped = rows.join(perm, "i").join(other, "j").select("y", "z", "c", "d", "i", "r", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("f"))
-    if model.trees is None:
-        swapped = swapped.withColumn("z", F.col("z") + F.get("d", "f") - F.get("c", "f"))
-    else:
-        codes = F.transform("c", lambda x, n: F.when(n == F.col("f"), F.get(F.col("d"), n)).otherwise(x))
-        swapped = model.trees.transform(swapped.withColumn("__features", array_to_vector(codes))).withColumn("z", vector_to_array("probability")[1])
+    swapped = swapped.withColumn("z", F.round(F.col("z") + F.get("d", "f") - F.get("c", "f"), 9))  # equal scores stay equal
     w = Window.partitionBy("r", "f").orderBy(F.col("z").desc(), "i")
     top = swapped.select("r", "f", "z", "i", "y").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).groupBy("f").agg((F.lit(base) - F.avg("y")).alias("importance"))
     return top.select(F.get(F.array(*map(F.lit, names)), F.col("f")).alias("feature"), "importance")
+
+
+def group_means(importance: DataFrame) -> DataFrame:
+    """``feature_group, importance``: mean of the features of each group."""
+    names = F.create_map(*(F.lit(x) for g, cols in C.GROUPS.items() for c in cols for x in (c, g)))
+    rows = importance.withColumn("feature_group", F.coalesce(names[F.col("feature")], F.lit(C.group_of(""))))
+    return rows.groupBy("feature_group").agg(F.avg("importance").alias("importance"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import features as C
-from .ml.encode import Encoder
-from .ml.models import Model, calibrate, fit_candidate, permutation_importance
+from .ml.additive import Shape
+from .ml.encode import Encoder, fit_encoder
+from .ml.models import Model, certificate, fit_calibrators, fit_candidate, group_means, permutation_importance
 from .operators import days, lessons, metrics, sampling
 from .oracles import sql
 from .plans import tasks
@@ -262,7 +263,35 @@ add("sql_scored_probabilities", lambda s, d: _FIXED.with_probability(tasks.chron
     raw="""SELECT student_id, date, round(CASE WHEN stage = 'F-3' THEN 1 / (1 + exp(-(4 * p - 2))) WHEN stage = '4-6' THEN 0.25 ELSE 1 / (1 + exp(-(3 * p - 1))) END, 9) AS probability
       FROM (SELECT *, 1 / (1 + exp(-(-0.5 + 1.5 * (coalesce(roll_20d_missed_ratio, 0.1) - 0.2) / 0.25 + 2.25 * (coalesce(term_cumulative_missed_ratio, 0.15) - 0.2) / 0.2
         + 0.125 * (CASE WHEN weekday_name = 'friday' THEN 1 ELSE 0 END) - 0.25 * (CASE WHEN weekday_name = 'monday' THEN 1 ELSE 0 END)))) AS p FROM chronic)""")
+#: The same for a model of lookup tables.
+_TABLES = Model("chronic_10", "ebm", Encoder([], []), intercept=-0.75, stages={"7-9": (2.0, -0.5)}, overall=(3.0, -1.0), shapes=[
+    Shape("roll_20d_missed_ratio", [0.05, 0.1, 0.25], [], [-1.0, -0.25, 0.5, 1.5], -0.125), Shape("school_days_since_substantial_miss", [3.0, 10.0], [], [0.75, 0.25, -0.5], -1.0),
+    Shape("weekday_name", [], ["friday", "monday"], [0.25, 0.125], 0.0)])
+add("additive_probabilities", lambda s, d: _TABLES.with_probability(tasks.chronic(prepared(s, d), 0.10).frame, "probability"), [*DAY, "probability"],
+    raw="""SELECT student_id, date, round(CASE WHEN stage = '7-9' THEN 1 / (1 + exp(-(2 * p - 0.5))) ELSE 1 / (1 + exp(-(3 * p - 1))) END, 9) AS probability
+      FROM (SELECT *, 1 / (1 + exp(-(-0.75 + CASE WHEN r IS NULL THEN -0.125 WHEN r < 0.05 THEN -1 WHEN r < 0.1 THEN -0.25 WHEN r < 0.25 THEN 0.5 ELSE 1.5 END
+        + CASE WHEN s IS NULL THEN -1 WHEN s < 3 THEN 0.75 WHEN s < 10 THEN 0.25 ELSE -0.5 END + CASE weekday_name WHEN 'friday' THEN 0.25 WHEN 'monday' THEN 0.125 ELSE 0 END))) AS p
+        FROM (SELECT *, roll_20d_missed_ratio AS r, school_days_since_substantial_miss AS s FROM chronic))""")
 _TRAIN, _SEEN = ["1994/95", "1995/96", "1996/97"], ["1997/98"]
+_IN_TRAIN = "academic_year IN ('1994/95', '1995/96', '1996/97')"
+_NUMERIC, _CATEGORICAL = C.resolve(C.DEFAULT_GROUPS["chronic_20"], "chronic_20")
+
+
+def _encoder_rows(spark, d):
+    """What imputation, scaling and encoding learn from the term dataset."""
+    e = fit_encoder(tasks.chronic(prepared(spark, d), 0.20).frame, _NUMERIC, _CATEGORICAL)
+    rows = [(c, m, mean, sd, None, None) for c, m, mean, sd in e.numeric] + [(c, None, None, None, mode, len(v)) for c, mode, v in e.categorical]
+    return spark.createDataFrame(rows, "feature string, median double, mean double, deviation double, mode string, levels int")
+
+
+_STRINGS |= {"feature", "mode", "term"}
+_STATS = ", ".join(f"{{'feature': '{c}', 'm': coalesce(CAST(median({c}) AS DOUBLE), 0), 'k': count({c}), 'n': count(*), 'avg': avg(CAST({c} AS DOUBLE)), 'var': var_pop(CAST({c} AS DOUBLE))}}" for c in _NUMERIC)
+_MODES = " UNION ALL ".join(f"SELECT '{c}', NULL, NULL, NULL, (SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM data WHERE {c} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1), CAST((SELECT count(DISTINCT {c}) FROM data) AS DOUBLE)" for c in _CATEGORICAL)
+add("encoder_statistics", _encoder_rows, ["feature", "median", "mean", "deviation", "mode", "levels"],
+    raw=f"""SELECT * FROM (WITH data AS MATERIALIZED (SELECT * FROM chronic), s AS (SELECT unnest([{_STATS}], recursive := true) FROM data),
+      t AS (SELECT *, (k * coalesce(avg, 0) + (n - k) * m) / n AS mean FROM s)
+      SELECT feature, round(m, 9) AS median, round(mean, 9) AS mean, round(coalesce(nullif(sqrt((k * coalesce(var, 0) + k * (coalesce(avg, 0) - mean) ** 2 + (n - k) * (m - mean) ** 2) / n), 0), 1), 9) AS deviation,
+        CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS DOUBLE) AS levels FROM t UNION ALL {_MODES})""")
 
 
 def _trained(spark, d, candidate="logistic"):
@@ -277,34 +306,65 @@ def _train_logistic(spark, d):
     return model.with_raw(task.frame.where(F.col("academic_year").isin(_SEEN)))
 
 
-def _calibrated(spark, d):
+def _certified(spark, d):
+    """Whether each gradient of the fitted logistic model is zero, up to a millionth of a row's."""
     model, task = _trained(spark, d)
-    seen = task.frame.where(F.col("academic_year").isin(_SEEN))
-    return calibrate(model, seen, task.target).with_probability(seen, "probability")
+    rows = certificate(model, task.frame.where(F.col("academic_year").isin(_TRAIN)), task.target)
+    return rows.withColumn("at_minimum", F.abs("gradient") < 1e-6)
 
 
-def _boosted(spark, d):
-    model, task = _trained(spark, d, "ebm")
-    return model.with_raw(task.frame.where(F.col("academic_year").isin(_SEEN)))
+_FLAGS.add("at_minimum")
+add("logistic_certificate", _certified, ["term", "at_minimum"],
+    raw=f"SELECT unnest([{', '.join(map(repr, [*_NUMERIC, 'intercept']))}]) AS term, TRUE AS at_minimum" + "".join(f" UNION ALL SELECT DISTINCT '{c}=' || {c}, TRUE FROM chronic WHERE {_IN_TRAIN} AND {c} IS NOT NULL" for c in _CATEGORICAL))
 
 
-def _importance(spark, d):
-    model, task = _trained(spark, d)
-    return permutation_importance(model, task.frame.where(F.col("academic_year").isin(_SEEN)), task.target, task.ids)
+def _calibrated(spark, d):
+    """Probabilities by calibrators that are fitted for each stage on a stand-in score, the missed ratio of the last 20 days."""
+    rows = written(tasks.chronic(prepared(spark, d), 0.20).frame.withColumn("raw_score", F.coalesce(F.round("roll_20d_missed_ratio", 9), F.lit(0.0))), "calibrated")
+    stages, overall = fit_calibrators(rows, "raw_score", "target_chronic_20", "stage")
+    model = Model("chronic_20", "logistic", Encoder([], []), stages=stages, overall=overall)
+    return rows.withColumn("probability", model.calibrated(F.col("raw_score"), F.col("stage")))
+
+
+def _newton_sql(steps: int) -> str:
+    """Newton steps of the curves of all stages, one common table expression each."""
+    step = """, p{0} AS MATERIALIZED (SELECT stage, a - (w * ga - wx * gb) / (haa * w - wx * wx) AS a, b - (haa * gb - wx * ga) / (haa * w - wx * wx) AS b
+      FROM (SELECT stage, a, b, sum(n * (p - y) * x) + a AS ga, sum(n * (p - y)) AS gb, sum(n * p * (1 - p)) AS w, sum(n * p * (1 - p) * x) AS wx, sum(n * p * (1 - p) * x * x) + 1 AS haa
+        FROM (SELECT c.*, a, b, 1 / (1 + exp(-(a * x + b))) AS p FROM c JOIN p{1} USING (stage)) GROUP BY stage, a, b))"""
+    return "p0 AS (SELECT DISTINCT stage, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM c)" + "".join(step.format(i + 1, i) for i in range(steps))
 
 
-def _group_importance(spark, d):
-    names = F.create_map(*(F.lit(x) for g, cols in C.GROUPS.items() for c in cols for x in (c, g)))
-    rows = _importance(spark, d).withColumn("feature_group", F.coalesce(names[F.col("feature")], F.lit(C.group_of(""))))
-    return rows.groupBy("feature_group").agg(F.avg("importance").alias("importance"))
+add("calibrate_by_stage", _calibrated, [*DAY, "stage", "probability"],
+    raw=f"""SELECT * FROM (WITH data AS MATERIALIZED (SELECT student_id, date, stage, coalesce(round(roll_20d_missed_ratio, 9), 0) AS x, CAST(target_chronic_20 AS DOUBLE) AS y FROM chronic),
+      c AS MATERIALIZED (SELECT stage, x, y, count(*) AS n FROM data GROUP BY ALL), {_newton_sql(20)}
+      SELECT student_id, date, stage, round(1 / (1 + exp(-(a * x + b))), 9) AS probability FROM data JOIN p20 USING (stage))""")
 
 
-_STRINGS.add("feature")
+def _boosted(spark, d):
+    model, task = _trained(spark, d, "ebm")
+    return model.with_raw(task.frame.where(F.col("academic_year").isin(_SEEN)))
+
+
+def _importance(spark, d):
+    return permutation_importance(_FIXED, tasks.chronic(prepared(spark, d), 0.10).frame, "target_chronic_10", DAY)
+
+
+_FIXED_PARTS = {
+    "roll_20d_missed_ratio": "1.5 * (coalesce(roll_20d_missed_ratio, 0.1) - 0.2) / 0.25", "term_cumulative_missed_ratio": "2.25 * (coalesce(term_cumulative_missed_ratio, 0.15) - 0.2) / 0.2",
+    "weekday_name": "(0.125 * (CASE WHEN weekday_name = 'friday' THEN 1 ELSE 0 END) - 0.25 * (CASE WHEN weekday_name = 'monday' THEN 1 ELSE 0 END))",
+}
+_IMPORTANCE = f"""(WITH s AS MATERIALIZED (SELECT *, count(*) OVER () AS n FROM (SELECT CAST(target_chronic_10 AS DOUBLE) AS y, round(-0.5 + {' + '.join(_FIXED_PARTS.values())}, 9) AS z,
+        [{', '.join(_FIXED_PARTS.values())}] AS c, row_number() OVER (ORDER BY {_DRAW}, student_id, date) AS i FROM chronic) WHERE i <= 5000),
+      base AS (SELECT avg(y) AS b FROM (SELECT *, row_number() OVER (ORDER BY z DESC, i) AS k FROM s) WHERE k <= greatest(1, ceil(n * 0.05))),
+      perm AS (SELECT i, r, row_number() OVER (PARTITION BY r ORDER BY md5(i || '|' || r || '|42'), i) AS j FROM s, range(1, 6) t(r)),
+      swapped AS (SELECT r, f, s.i, s.y, s.n, round(s.z + o.c[f] - s.c[f], 9) AS z FROM s JOIN perm USING (i) JOIN s o ON o.i = perm.j, range(1, 4) t(f)),
+      top AS (SELECT f, y FROM swapped QUALIFY row_number() OVER (PARTITION BY r, f ORDER BY z DESC, i) <= greatest(1, ceil(n * 0.05)))
+      SELECT [{', '.join(map(repr, _FIXED_PARTS))}][f] AS feature, any_value(b) - avg(y) AS importance FROM top, base GROUP BY f)"""
 add("train_logistic", _train_logistic, [*DAY, "raw_score"])
-add("calibrate_by_stage", _calibrated, [*DAY, "stage", "probability"])
 add("ebm_like", _boosted, [*DAY, "raw_score"])
-add("permutation_importance", _importance, ["feature", "importance"])
-add("group_importance", _group_importance, ["feature_group", "importance"])
+add("permutation_importance", _importance, ["feature", "importance"], raw=f"SELECT feature, round(importance, 9) AS importance FROM {_IMPORTANCE}")
+add("group_importance", lambda s, d: group_means(_importance(s, d)), ["feature_group", "importance"],
+    raw=f"SELECT CASE feature {' '.join(f'WHEN {c!r} THEN {C.group_of(c)!r}' for c in _FIXED_PARTS)} END AS feature_group, round(avg(importance), 9) AS importance FROM {_IMPORTANCE} GROUP BY 1")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

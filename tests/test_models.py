@@ -74,6 +74,64 @@ def test_boosted_trees(spark, rows, tmp_path):
         M.fit_candidate(rows, task(rows), "forest", 1)
 
 
+def test_additive_scores_are_no_worse_than_stumps(spark):
+    """Held-out loss and precision against boosted trees of depth one on the same columns."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from rollbook.operators import metrics
+
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(3000):
+        x, z = float(rng.normal()), float(rng.normal())
+        data.append((f"i{i}", i, x if i % 9 else None, z, "abc"[i % 3] if i % 7 else None, int(rng.random() < 1 / (1 + np.exp(-(1.5 * np.sin(2 * x) + abs(z) + (i % 3 == 1) - 1.5))))))
+    df = spark.createDataFrame(data, "id string, i int, x double, z double, cat string, y int").persist()
+    train, seen = df.where("i < 2000"), df.where("i >= 2000")
+    m = M.fit_candidate(train, Task("chronic_10", train, "y", ["x", "z"], ["cat"], ["id"]), "ebm", 1)
+    assert [s.column for s in m.shapes] == ["x", "z", "cat"] and all(len(s.values) == len(s.cuts) + 1 for s in m.shapes[:2])
+    coded = lambda d: d.withColumn("features", array_to_vector(F.array(*m.encoder.codes()))).withColumn("label", F.col("y").cast("double"))
+    stumps = GBTClassifier(maxDepth=1, maxIter=40, stepSize=0.2).fit(coded(train)).transform(coded(seen)).withColumn("raw_score", vector_to_array("probability")[1])
+    loss = lambda d: d.agg(F.avg(-F.log(F.when(F.col("y") == 1, F.col("raw_score")).otherwise(1 - F.col("raw_score"))))).first()[0]
+    ours = m.with_raw(seen)
+    assert loss(ours) < loss(stumps) + 0.005
+    precision = [metrics.precision_at(d, "y", "raw_score", 0.1, ["id"]).first()[0] for d in (ours, stumps)]
+    assert precision[0] >= precision[1] - 0.02
+    assert ours.withColumn("q", F.expr(M.Model("t", "ebm", m.encoder, intercept=m.intercept, shapes=m.shapes, overall=(2.0, -1.0)).to_sql())).where("abs(q - 1 / (1 + exp(-(2 * raw_score - 1)))) > 1e-9").count() == 0
+
+
+def test_medians_of_many_columns(spark, monkeypatch):
+    from rollbook.ml import encode
+
+    monkeypatch.setattr(encode, "GATHERED", 20)
+    rng = np.random.default_rng(4)
+    n = 3001
+    cols = {"a": rng.normal(size=n), "ties": np.where(rng.random(n) < 0.8, 0.0, rng.normal(size=n)), "wide": np.exp(rng.normal(size=n) * 100), "two": np.where(np.arange(n) % 2, 1.0, 5.0), "even": np.where(np.arange(n) < 3000, rng.normal(size=n), np.nan), "none": np.full(n, np.nan), "ints": rng.integers(0, 4, n).astype(float)}
+    df = spark.createDataFrame([tuple(float(v[i]) for v in cols.values()) for i in range(n)], ", ".join(f"{c} double" for c in cols))
+    want = [None if np.isnan(v).all() else float(np.nanmedian(v)) for v in cols.values()]
+    assert encode.medians(df, list(cols)) == want
+    assert encode.medians(df.limit(0), ["a"]) == [None] and encode.medians(df, []) == []
+
+
+def test_calibrators_of_all_stages_at_once(rows):
+    """Against one Newton solution for each stage."""
+    df = rows.withColumn("raw", F.round(1 / (1 + F.exp(-F.coalesce("x", F.lit(0.0)))), 3))
+    stages, overall = M.fit_calibrators(df, "raw", "y", "stage")
+    got = df.select("raw", "y", "stage").collect()
+    for found, part in ((overall, got), *((stages[s], [r for r in got if r["stage"] == s]) for s in ("4-6", "F-3"))):
+        x, y = np.array([[r["raw"]] for r in part]), np.array([r["y"] for r in part], float)
+        assert np.allclose(found, newton(x, y, np.ones(len(y)), 1.0), atol=1e-9)
+    one = M.fit_calibrators(df.where("stage = 'F-3' OR y = 1"), "raw", "y", "stage")[0]
+    assert one["4-6"] == (None, 1.0) and one["F-3"][0] is not None
+
+
+def test_certificate_tells_a_minimum(rows):
+    m = M.fit_candidate(rows, task(rows), "logistic", 1)
+    assert M.certificate(m, rows, "y").where("abs(gradient) > 1e-6").count() == 0
+    m.coefficients[0] += 0.1
+    assert M.certificate(m, rows, "y").where("abs(gradient) > 1e-3").count() > 0
+
+
 def test_calibrators(rows):
     assert M.fit_calibrator(rows.where("y = 1"), "z", "y") == (None, 1.0)
     assert M.fit_calibrator(rows.where("false"), "z", "y") == (None, 0.0)
@@ -114,8 +172,8 @@ def test_importance_of_trees(spark, rows):
 def test_registered_importance_shuffles_as_often_as_the_default(monkeypatch):
     seen = []
     task = SimpleNamespace(frame=MagicMock(), target="y", ids=["id"])
-    monkeypatch.setattr(registry, "_trained", lambda *_: (None, task))
-    monkeypatch.setattr(registry, "F", MagicMock())
+    monkeypatch.setattr(registry, "prepared", lambda *_: None)
+    monkeypatch.setattr(registry, "tasks", SimpleNamespace(chronic=lambda *_: task))
     monkeypatch.setattr(registry, "permutation_importance", lambda *a, **k: seen.append(inspect.signature(M.permutation_importance).bind(*a, **k)))
     registry._importance(None, None)
     seen[0].apply_defaults()
