@@ -6,6 +6,9 @@ all of it; only the small calendar totals are joined in from elsewhere.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,26 +88,37 @@ def day_totals(lessons: DataFrame) -> DataFrame:
     return with_calendar_gaps(days)
 
 
+#: How sums over so many rows are put together: of shorter ones, each a number of rows back.
+_SUMS = {3: [(1, 0), (1, 1), (1, 2)], 5: [(3, 0), (1, 3), (1, 4)], 10: [(5, 0), (5, 5)], 20: [(10, 0), (10, 10)]}
+
+
 def with_rolling(days: DataFrame) -> DataFrame:
     """Ratios of sums and means of daily values over the last rows; they run on over terms and years.
 
-    Sums to date are taken once; those of a window are their differences to the row before the window.
+    Sums of a window are made of sums of shorter ones some rows back, by additions only, so what has left a
+    window leaves no trace, however large it was.
     """
-    w = to_date_frame()
+    w = day_order()
     daily = {
         "missed": F.col("daily_missed_minutes"), "giltig": F.col("daily_giltig_missed_minutes"), "ogiltig": F.col("daily_ogiltig_missed_minutes"), "recorded": F.col("daily_recorded_minutes"),
         "partial": X.zero(F.col("daily_partial_lesson_ratio")), "lessons": F.col("daily_partial_lesson_ratio").isNotNull().cast("int"), "substantial": F.col("daily_any_substantial_miss").cast("int"), "rows": F.lit(1),
     }
-    days = days.withColumn("__to_date", F.struct(*(F.sum(x).over(w).alias(k) for k, x in daily.items())))
-    days = days.withColumns({f"__before_{n}": F.lag("__to_date", n).over(day_order()) for n in WINDOWS})
+    days = days.withColumn("__last_1", F.struct(*(x.alias(k) for k, x in daily.items())))
+    for n, parts in _SUMS.items():
+        back = {f"__back_{m}_{k}": F.lag(f"__last_{m}", k).over(w) for m, k in parts if k and f"__back_{m}_{k}" not in days.columns}
+        days = days.withColumns(back)
+        pick = lambda m, k: f"__back_{m}_{k}" if k else f"__last_{m}"
+        total = lambda c, parts=parts: reduce(add, (X.zero(F.col(f"{pick(m, k)}.{c}")) for m, k in parts))
+        days = days.withColumn(f"__last_{n}", F.struct(*(total(c).alias(c) for c in daily)))
     out = {}
     for n in WINDOWS:
-        last = lambda k, n=n: F.col(f"__to_date.{k}") - X.zero(F.col(f"__before_{n}.{k}"))
+        last = lambda k, n=n: F.col(f"__last_{n}.{k}")
         for kind in ("missed", "giltig", "ogiltig"):
             out[f"roll_{n}d_{kind}_ratio"] = X.safe_divide(last(kind), last("recorded"))
         out[f"roll_{n}d_partial_ratio"] = X.safe_divide(last("partial"), last("lessons"))
         out[f"roll_{n}d_substantial_day_rate"] = X.safe_divide(last("substantial"), last("rows"))
-    days = days.withColumns(out).drop("__to_date", *(f"__before_{n}" for n in WINDOWS))
+    days = days.withColumns(out)
+    days = days.drop(*(c for c in days.columns if c.startswith(("__last_", "__back_"))))
     return days.withColumn("trend_5_vs_20_missed_ratio", F.col("roll_5d_missed_ratio") - F.col("roll_20d_missed_ratio"))
 
 
