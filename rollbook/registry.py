@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reports
 from .functions import expressions as X
 from .functions import features as C
 from .ml.additive import Shape
@@ -17,9 +19,9 @@ from .operators import days, lessons, metrics, sampling
 from .oracles import sql
 from .plans import tasks
 from .plans.prepare import Prepared, prepare
-from .plans.scoring import Scoring
+from .plans.scoring import ClassScoring
 from .sources import derived, files
-from .sources.contracts import conform
+from .sources.contracts import conform, contract_violations
 from .sources.shared import shared_folder, written
 
 DAY = ["student_id", "date"]
@@ -63,7 +65,9 @@ def lesson_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession, d: str) -> Prepared:
-    return prepare(*inputs(spark, d))
+    """The calendar, small and read by several frames, is derived once."""
+    attendance, schedule, calendar = inputs(spark, d)
+    return prepare(attendance, schedule, written(calendar, "calendar"))
 
 
 def day_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -171,21 +175,17 @@ add("lesson_day_flags", lambda s, d: tasks.with_target_flags(lesson_rows(s, d).w
 add("lesson_dataset", lambda s, d: tasks.lesson(prepared(s, d).stored()).frame, _task_columns("lesson"), "asof_subject_weekday_timebin")
 
 
-def _class(spark: SparkSession, d: str) -> tuple[str, str, str]:
-    """The class and date to score: the first by date, school and class of 1998; a small job while the query is built."""
-    days_ = derived.student_schedule(spark, d).where("weekday(date) < 5 AND day(date) <> 13 AND year(date) = 1998")
-    r = days_.select(F.min(F.concat_ws("|", "date", "school_id", "class_id"))).first()[0]
-    return tuple(r.split("|"))
-
-
-_COHORT = "(SELECT min(strftime(date, '%Y-%m-%d') || '|' || school_id || '|' || class_id) AS k FROM sched WHERE isodow(date) < 6 AND day(date) <> 13 AND year(date) = 1998)"
-_IN_CLASS = f"strftime({{date}}, '%Y-%m-%d') || '|' || school_id || '|' || class_id = (SELECT k FROM {_COHORT})"
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Classes to score: every class on the 3rd, 10th, 17th and 24th of each month, where these are school days."""
+    days_ = derived.student_schedule(spark, d).where("weekday(date) < 5 AND day(date) IN (3, 10, 17, 24)")
+    return days_.select("school_id", "class_id", F.col("date").alias("as_of")).distinct()
 
 
 def _score(kind: str):
     def build(spark, d):
-        attendance, schedule, calendar = inputs(spark, d)
-        return getattr(Scoring(lessons.lesson_frame(attendance, schedule, calendar), calendar, *_class(spark, d)), kind)()
+        p = prepared(spark, d)
+        scoring = ClassScoring(p.lesson_frame, p.calendar, written(_requests(spark, d), "requests"))
+        return getattr(scoring.stored() if kind == "lesson" else scoring, kind)()
 
     return build
 
@@ -195,7 +195,7 @@ def _score_columns(task: str) -> list[str]:
     return list(dict.fromkeys([*ids, *(["score_date", "target_date", "lesson_id"] if task == "lesson" else ["date"]), *sum(C.resolve(C.DEFAULT_GROUPS[task], task), [])]))
 
 
-_TODAY = _IN_CLASS.format(date="date")
+_TODAY = "day(date) IN (3, 10, 17, 24)"
 add("score_short_horizon", _score("short_horizon"), _score_columns("short_horizon"), f"short WHERE {_TODAY}")
 add("score_chronic", _score("chronic"), _score_columns("chronic_10"), f"chronic WHERE {_TODAY}")
 add("score_chronic_year", _score("chronic_year"), _score_columns("chronic_year_10"), f"chronic_year WHERE {_TODAY}")
@@ -227,7 +227,7 @@ add("stage_metrics", lambda s, d: metrics.group_metrics(_scored_days(s, d), "sta
 
 def _scored_lessons(spark, d):
     """The lesson dataset with a stand-in score: the rate of the combined slot history."""
-    return tasks.lesson(prepared(spark, d)).frame.withColumn("score", F.round("hist_subject_weekday_timebin_substantial_rate", 6))
+    return tasks.lesson(prepared(spark, d).stored()).frame.withColumn("score", F.round("hist_subject_weekday_timebin_substantial_rate", 6))
 
 
 _LESSONS = "(SELECT *, round(hist_subject_weekday_timebin_substantial_rate, 6) AS score FROM asof_subject_weekday_timebin)"
@@ -367,6 +367,50 @@ add("group_importance", lambda s, d: group_means(_importance(s, d)), ["feature_g
     raw=f"SELECT CASE feature {' '.join(f'WHEN {c!r} THEN {C.group_of(c)!r}' for c in _FIXED_PARTS)} END AS feature_group, round(avg(importance), 9) AS importance FROM {_IMPORTANCE} GROUP BY 1")
 
 
+def _task_totals(spark, d):
+    """Rows and positive labels of all six task datasets, from frames written once."""
+    found = [t.frame.agg(F.lit(n).alias("task"), F.count("*").alias("rows"), F.sum(F.col(t.target).cast("double")).alias("positives")) for n, t in tasks.all_tasks(prepared(spark, d).stored()).items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+_STRINGS |= {"task", "table", "rule", "column"}
+_TOTALS_SQL = {"short_horizon": ("target_short_horizon", "short WHERE future_horizon_complete"), "lesson": ("target_label", "asof_subject_weekday_timebin"), **{f"chronic{y}_{k}": (f"target_chronic{y}_{k}", f"chronic{y}") for y in ("", "_year") for k in (10, 20)}}
+add("task_totals", _task_totals, ["task", "rows", "positives"],
+    raw=" UNION ALL ".join(f"SELECT '{t}' AS task, round(CAST(count(*) AS DOUBLE), 9) AS rows, round(sum(CAST({y} AS DOUBLE)), 9) AS positives FROM {frm}" for t, (y, frm) in _TOTALS_SQL.items()))
+
+
+def _violations(spark, d):
+    """Contract checks of a schedule with planted faults."""
+    rows = derived.student_schedule(spark, d).withColumns({
+        "scheduled_minutes": F.expr("if(lesson_id LIKE '%7', 'many', string(scheduled_minutes))"), "date": F.expr("if(subject = 'SUBJ2', 'someday', string(date))"), "student_id": F.expr("if(grade = '4', NULL, student_id)"),
+    })
+    return contract_violations("student_schedule", rows.unionByName(rows.where("subject = 'SUBJ3'")).drop("school_id"))
+
+
+add("contract_violations", _violations, ["table", "rule", "column", "rows"],
+    raw="""SELECT * FROM (WITH f AS MATERIALIZED (SELECT class_id, grade, lesson_id, subject, CASE WHEN grade <> '4' THEN student_id END AS student_id, CASE WHEN subject = 'SUBJ2' THEN 'someday' ELSE CAST(date AS VARCHAR) END AS date,
+        lesson_id LIKE '%7' AS many FROM (SELECT * FROM sched UNION ALL SELECT * FROM sched WHERE subject = 'SUBJ3')),
+      v AS (SELECT 'missing column' AS rule, 'school_id' AS "column", count(*) AS rows FROM f UNION ALL SELECT 'failed cast', 'scheduled_minutes', count(*) FROM f WHERE many UNION ALL SELECT 'failed cast', 'date', count(*) FROM f WHERE date = 'someday'
+        UNION ALL SELECT 'null key', 'student_id', count(*) FROM f WHERE student_id IS NULL UNION ALL SELECT 'null key', 'date', count(*) FROM f WHERE date = 'someday'
+        UNION ALL SELECT 'repeated key', 'student_id,class_id,grade,date,lesson_id', count(*) - count(DISTINCT (student_id, class_id, grade, CASE WHEN date <> 'someday' THEN date END, lesson_id)) FROM f)
+      SELECT 'student_schedule' AS "table", rule, "column", round(CAST(rows AS DOUBLE), 9) AS rows FROM v WHERE rows > 0)""")
+
+
+def _log(spark, d):
+    """A search log written by several runs, one file each, and read again as a table."""
+    path = f"{shared_folder(spark)}/log_{uuid.uuid4().hex}.tsv"
+    stages = tasks.chronic(prepared(spark, d), 0.10).frame.groupBy("stage").agg(F.count("*").alias("n"), F.avg("target_chronic_10").alias("rate")).collect()  # three stages
+    for r in stages:
+        reports.append_log(path, {"candidate": r["stage"], "task": "chronic_10", "feature_groups": ["daily_raw", "trend"], "train_rows": r["n"], "precision_at_0.05": round(r["rate"], 9)}, {"daily_raw": 0.25, "trend": 0.5})
+    rows = reports.read_log(spark, path)
+    return rows.select(F.col("candidate").alias("stage"), "task", "feature_groups", F.col("train_rows").alias("rows"), F.col("`precision_at_0.05`").alias("rate"), "top_groups")
+
+
+_STRINGS |= {"feature_groups", "top_groups"}
+add("log_round_trip", _log, ["stage", "task", "feature_groups", "rows", "rate", "top_groups"],
+    raw="SELECT stage, 'chronic_10' AS task, 'daily_raw,trend' AS feature_groups, round(CAST(count(*) AS DOUBLE), 9) AS rows, round(avg(target_chronic_10), 9) AS rate, 'trend,daily_raw' AS top_groups FROM chronic GROUP BY stage")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Student-days, those with the highest missed ratio of the last five days first."""
     rows = _QUERIES["student_day"](spark, sf_dir)

@@ -6,9 +6,13 @@ import csv
 import io
 import json
 import math
+import time
+import uuid
 from typing import Any
 
-from .sources.files import exists, read_text, write_text
+from pyspark.sql import DataFrame, SparkSession
+
+from .sources.files import write_text
 
 
 def _clean(x: Any) -> Any:
@@ -34,14 +38,20 @@ LOG_COLUMNS = ["candidate", "task", "model_type", "feature_groups", "n_features"
 
 
 def append_log(path: str, row: dict[str, Any], importance: dict[str, float]) -> None:
-    """Append a line to the tab-separated search log; the header comes with the first."""
+    """Add a line to the search log: a file of its own in the folder ``path``, so that runs at the same time never lose one.
+
+    Each file has the header and one line, separated by tabs; its name begins with the time, so files are in order.
+    """
     top = sorted(importance, key=importance.get, reverse=True)[:3]
     row = {**row, "feature_groups": ",".join(row["feature_groups"]), "top_groups": ",".join(top)}
     text = io.StringIO()
-    out = csv.DictWriter(text, LOG_COLUMNS, delimiter="\t", extrasaction="ignore", restval="")
-    if exists(path):
-        text.write(read_text(path))
-    else:
-        out.writeheader()
+    out = csv.DictWriter(text, LOG_COLUMNS, delimiter="\t", extrasaction="ignore", restval="", lineterminator="\n")
+    out.writeheader()
     out.writerow(row)
-    write_text(path, text.getvalue())
+    write_text(f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex}.tsv", text.getvalue())
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of the search log as a table of strings."""
+    schema = ", ".join(f"`{c}` string" for c in LOG_COLUMNS)
+    return spark.read.schema(schema).option("header", True).option("sep", "\t").option("pathGlobFilter", "*.tsv").csv(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +46,17 @@ def read_text(path: str) -> str:
 
 
 def write_text(path: str, text: str) -> None:
-    """A small text file in place of what was there, with its folders."""
+    """A small text file in place of what was there, with its folders: written aside and renamed, so readers see the old or the new one."""
     system, place = _hadoop(path)
-    out = system.create(place, True)
+    aside = place.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = system.create(aside, False)
     out.write(bytearray(text.encode()))
     out.close()
+    spark = SparkSession.active()
+    kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, place, how)
 
 
 def write_frame(df: DataFrame, path: str) -> None:

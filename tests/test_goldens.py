@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.plans import tasks
 from rollbook.plans.prepare import prepare
-from rollbook.plans.scoring import Scoring
+from rollbook.plans.scoring import ClassScoring, Scoring
 
 from . import school
 
@@ -76,6 +76,19 @@ def test_scoring_rows_equal_training_rows(prepared):
     assert sorted(map(str, scored.select(cols).collect())) == sorted(map(str, trained.select(cols).collect()))
 
 
+def test_many_classes_at_once(spark, prepared):
+    """A table of requests gives what each request gives by itself."""
+    asked = [("SCHOOL_1", "CLASS_7A", "2025-08-20"), ("SCHOOL_1", "CLASS_7A", "2025-08-21"), ("SCHOOL_1", "CLASS_4A", "2025-08-21"), ("SCHOOL_1", "CLASS_7A", "2025-12-24"), ("SCHOOL_2", "CLASS_7A", "2025-08-21")]
+    requests = spark.createDataFrame([*asked, asked[0], (None, "CLASS_7A", "2025-08-20")], "school_id string, class_id string, as_of string")
+    whole = ClassScoring(prepared.lesson_frame, prepared.calendar, requests)
+    for kind, rows in (("chronic_year", 8), ("lesson", 80)):
+        got = getattr(whole, kind)()
+        single = [getattr(Scoring(prepared.lesson_frame, prepared.calendar, day, school, group), kind)().select(got.columns).collect() for school, group, day in asked[:3]]
+        assert sorted(map(str, got.collect())) == sorted(str(r) for part in single for r in part)
+        assert got.count() == rows
+    assert ClassScoring(prepared.lesson_frame, prepared.calendar, requests.limit(0)).short_horizon().count() == 0
+
+
 def test_features_do_not_look_ahead(spark, prepared):
     """Attendance after a day changes no feature of the day."""
     cut = dt.date(2024, 8, 23)

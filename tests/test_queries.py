@@ -6,7 +6,7 @@ import pytest
 from rollbook import registry
 
 TABLES = ["lineitem", "supplier"]
-CHECKED = ["contract_attendance", "csv_round_trip", "dedup_schedule_repeats", "dedup_calendar_repeats", "feature_table_round_trip", "search_sample", "precision_at_k", "dedup_latest_attendance", "lesson_frame", "student_day", "short_horizon_dataset", "chronic_20", "chronic_year_20", "slot_history_combined", "asof_combined", "lesson_dataset", "lesson_expand", "score_lesson", "stage_metrics", "average_precision", "negative_sampling", "lesson_aggregate_metrics", "sql_scored_probabilities"]
+CHECKED = ["contract_attendance", "csv_round_trip", "dedup_schedule_repeats", "dedup_calendar_repeats", "feature_table_round_trip", "search_sample", "precision_at_k", "dedup_latest_attendance", "lesson_frame", "student_day", "short_horizon_dataset", "chronic_20", "chronic_year_20", "slot_history_combined", "asof_combined", "lesson_dataset", "lesson_expand", "score_lesson", "stage_metrics", "average_precision", "negative_sampling", "lesson_aggregate_metrics", "sql_scored_probabilities", "additive_probabilities", "encoder_statistics", "logistic_certificate", "calibrate_by_stage", "permutation_importance", "group_importance", "task_totals", "contract_violations", "log_round_trip", "score_short_horizon", "rolling_ratios"]
 
 
 def plain(v):

@@ -162,6 +162,51 @@ def test_reports(spark, tmp_path):
     assert "null" in (tmp_path / "m.json").read_text()
     reports.write_markdown([{"experiment": "e", "task": "t", "split": "s", "m": 0.5}], str(tmp_path / "m.md"))
     assert "m=0.5000" in (tmp_path / "m.md").read_text()
-    for _ in range(2):
-        reports.append_log(str(tmp_path / "l.tsv"), {"candidate": "c", "feature_groups": ["a", "b"]}, {"x": 1.0})
-    assert len((tmp_path / "l.tsv").read_text().splitlines()) == 3
+    reports.write_json([], str(tmp_path / "m.json"))
+    assert (tmp_path / "m.json").read_text() == "[]" and not [f for f in tmp_path.iterdir() if f.name.endswith(".tmp")]
+
+
+def test_runs_at_the_same_time_keep_all_lines(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = str(tmp_path / "l.tsv")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: reports.append_log(log, {"candidate": f"c{i}", "feature_groups": ["a", "b"], "pr_auc": 0.5}, {"x": 1.0, "y": 2.0}), range(12)))
+    rows = reports.read_log(spark, log).collect()
+    assert sorted(r["candidate"] for r in rows) == sorted(f"c{i}" for i in range(12))
+    assert {(r["feature_groups"], r["pr_auc"], r["top_groups"], r["brier"]) for r in rows} == {("a,b", "0.5", "y,x", None)}
+
+
+@pytest.mark.parametrize("value", [float("inf"), 1e15, float("nan")])
+def test_a_value_leaves_no_trace_after_its_windows(spark, value):
+    """A day that is infinite, huge or not a number shows in the windows that hold it, and in no other."""
+    daily = lambda i, v: ("s", dt.date(2024, 1, 1) + dt.timedelta(i), v, 3.0, 0.1, 45.7, (i % 3) / 7, i % 2 == 0)
+    schema = "student_id string, date date, daily_missed_minutes double, daily_giltig_missed_minutes double, daily_ogiltig_missed_minutes double, daily_recorded_minutes double, daily_partial_lesson_ratio double, daily_any_substantial_miss boolean"
+    extra = {c: F.lit("x") for c in ("school_id", "class_id", "grade", "stage", "term_id", "academic_year", "school_day_index")}
+    runs = [{r["date"]: r.asDict() for r in days.with_rolling(spark.createDataFrame([daily(i, v if i == 4 else float(i % 5)) for i in range(40)], schema).withColumns(extra)).collect()} for v in (value, 2.0)]
+    for n in (1, 3, 5, 10, 20):
+        for i, day in enumerate(sorted(runs[0])):
+            odd, plain = (r[day][f"roll_{n}d_missed_ratio"] for r in runs)
+            if 4 <= i < 4 + n:
+                assert odd != plain
+            else:
+                want = sum(float(k % 5) if k != 4 else 2.0 for k in range(max(0, i - n + 1), i + 1)) / (45.7 * min(n, i + 1))
+                assert odd == plain and abs(odd - want) < 1e-12
+
+
+def test_stored_frames_leave_no_table(spark):
+    from rollbook.sources.shared import stored
+
+    out = stored(spark.range(100).withColumn("k", F.col("id") % 7), "some", "k")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("some")]
+    assert out.groupBy("k").count().count() == 7 and out.count() == 100
+    assert "Exchange hashpartitioning(k" not in out.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_violations_of_the_contract(spark):
+    calendar = spark.createDataFrame([("A", "2024-01-01", "true", "1"), ("A", "2024-01-01", "maybe", None), (None, "x", "false", "one"), ("B", "2024-01-02", None, "2")], "school_id string, date string, is_instructional_day string, school_day_index string")
+    got = {tuple(r)[1:] for r in contracts.contract_violations("school_calendar", calendar).collect()}
+    assert got == {("missing column", "term_id", 4), ("failed cast", "date", 1), ("failed cast", "is_instructional_day", 1), ("failed cast", "school_day_index", 1), ("null key", "school_id", 1), ("null key", "date", 1), ("repeated key", "school_id,date", 1)}
+    fine = calendar.where("school_id = 'B'").withColumn("term_id", F.lit("t"))
+    assert contracts.contract_violations("school_calendar", fine).count() == 0
+    assert contracts.contract_violations("school_calendar", fine.limit(0)).count() == 0
