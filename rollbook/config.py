@@ -1,4 +1,4 @@
-"""Run configuration."""
+"""Run configuration. Keys and defaults are fixed values: configurations of users hold them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
+from . import names
+
 
 @dataclass
 class Project:
@@ -23,7 +25,7 @@ class Data:
 
 @dataclass
 class Modeling:
-    substantial_absence_threshold: float = 0.5
+    substantial_threshold: float = 0.5  # names.MISS_THRESHOLD in a file
     short_horizon_school_days: int = 5
     lesson_horizon_school_days: int = 5
     top_k_fractions: list[float] = field(default_factory=lambda: [0.01, 0.02, 0.05])
@@ -49,6 +51,8 @@ class Config:
     modeling: Modeling = field(default_factory=Modeling)
 
 
+#: Fields that are called otherwise in a file.
+_FIELDS = {names.MISS_THRESHOLD: "substantial_threshold"}
 _CASTS = {"int": int, "float": float, "str": str, "list[float]": lambda v: [float(x) for x in v], "list[str]": lambda v: [str(x) for x in v]}
 
 
@@ -64,8 +68,14 @@ def load_config(path: str) -> Config:
     """YAML with ``data`` and ``experiments``; ``project`` and ``modeling`` have defaults."""
     import yaml
 
-    raw = yaml.safe_load(Path(path).read_text()) or {}
+    if "://" in path:  # a store that Spark reaches
+        from .sources.files import read_text
+
+        text = read_text(path)
+    else:
+        text = Path(path).read_text()
+    raw = yaml.safe_load(text) or {}
     for key in ("data", "experiments"):
         if key not in raw:
             raise ValueError(f"the configuration has no {key}")
-    return Config(_build(Data, raw["data"]), [_build(Experiment, e) for e in raw["experiments"]], _build(Project, raw.get("project") or {}), _build(Modeling, raw.get("modeling") or {}))
+    return Config(_build(Data, raw["data"]), [_build(Experiment, e) for e in raw["experiments"]], _build(Project, raw.get("project") or {}), _build(Modeling, {_FIELDS.get(k, k): v for k, v in (raw.get("modeling") or {}).items()}))

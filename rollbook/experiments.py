@@ -15,17 +15,13 @@ from .config import Config, Experiment
 from .functions import features as C
 from .ml import models as M
 from .operators import metrics
+from .names import LESSON_PROB, LESSON_SUM, SHORT_PROB
 from .operators.sampling import cap_rows, sample_fraction
 from .plans.prepare import Prepared, prepare
 from .plans.scoring import IDS, Scoring
 from .plans.tasks import Task, all_tasks, filter_years
 from .sources.files import exists, feature_summary, load_inputs, read_text, schema_sidecar, write_feature_table, write_frame, write_text
 
-# Columns and files of the scoring output.
-SHORT_PROB = "short_horizon_absence_prob"
-LESSON_PROB = "lesson_absence_prob"
-LESSON_SUM = "lesson_expected_absence"
-
 
 def load_prepared(spark: SparkSession, config: Config) -> Prepared:
     tables = load_inputs(spark, vars(config.data))

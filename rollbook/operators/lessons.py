@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expressions as X
+from ..names import VALIDITY
 
 KEYS = ["student_id", "school_id", "class_id", "grade", "date", "lesson_id"]
 
@@ -42,7 +43,7 @@ def lesson_frame(attendance: DataFrame, schedule: DataFrame, calendar: DataFrame
     s = dedup_schedule(schedule.repartition("student_id"))
     c = dedup_calendar(calendar).select(F.col("school_id").alias("c_school"), F.col("date").alias("c_date"), "term_id", "is_instructional_day", "school_day_index")
     lesson = s.join(c, (s["school_id"] == F.col("c_school")) & (s["date"] == F.col("c_date")), "left").drop("c_school", "c_date")
-    a = a.select(*(F.col(x).alias(f"a_{x}") for x in [*KEYS, "term_id", "subject", "scheduled_start_at", "scheduled_minutes"]), "attended_minutes", "missed_minutes", "absence_validity", "record_created_at", "record_updated_at")
+    a = a.select(*(F.col(x).alias(f"a_{x}") for x in [*KEYS, "term_id", "subject", "scheduled_start_at", "scheduled_minutes"]), "attended_minutes", "missed_minutes", VALIDITY, "record_created_at", "record_updated_at")
     on = F.col("student_id") == F.col("a_student_id")
     for k in KEYS[1:]:
         on = on & F.col(k).eqNullSafe(F.col(f"a_{k}"))
@@ -60,7 +61,7 @@ def with_flags(lesson: DataFrame, start_month: int = X.START_MONTH, threshold: f
     lesson = lesson.withColumn("attended_minutes", X.attended_minutes(F.col("has_attendance_record"), F.col("scheduled_minutes"), F.col("attended_minutes"), F.col("missed_minutes")))
     start = X.start_minutes(F.col("scheduled_start_at"))
     share = X.safe_divide(F.col("missed_minutes"), F.col("scheduled_minutes"))
-    validity = F.lower(F.coalesce("absence_validity", F.lit("")))
+    validity = F.lower(F.coalesce(VALIDITY, F.lit("")))
     return lesson.withColumns({
         "is_instructional_day": F.coalesce("is_instructional_day", F.lit(True)),
         "academic_year": X.academic_year(F.col("date"), start_month),

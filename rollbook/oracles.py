@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .names import VALIDITY
+
 BASE = """
 adapter AS (
   SELECT 'S' || l_suppkey AS student_id, 'SCH' || (s_nationkey % 5) AS school_id, 'C' || s_nationkey AS class_id,
@@ -22,7 +24,7 @@ sched AS (
 att0 AS (
   SELECT student_id, school_id, class_id, grade, term_id, date, lesson_id, subject, CASE WHEN ok % 97 <> 0 THEN start_at END AS scheduled_start_at,
     sched_min AS scheduled_minutes, CASE WHEN ok % 53 <> 0 AND ok % 59 <> 0 THEN sched_min - miss_min END AS attended_minutes,
-    CASE WHEN ok % 53 <> 0 THEN miss_min END AS missed_minutes, validity AS absence_validity, created_at AS record_created_at,
+    CASE WHEN ok % 53 <> 0 THEN miss_min END AS missed_minutes, validity AS {validity}, created_at AS record_created_at,
     CASE WHEN ok % 211 <> 0 THEN updated_at END AS record_updated_at FROM adapter WHERE recorded
   UNION ALL
   SELECT student_id, school_id, class_id, grade, term_id, date, lesson_id, subject, start_at, sched_min, sched_min, 0.0, 'present', created_at, corrected_at
@@ -37,7 +39,7 @@ joined AS (
   SELECT s.student_id, s.school_id, s.class_id, s.grade, s.date, s.lesson_id, coalesce(c.term_id, a.term_id) AS term_id, coalesce(s.subject, a.subject) AS subject,
     coalesce(s.scheduled_start_at, a.scheduled_start_at) AS scheduled_start_at, coalesce(s.scheduled_minutes, a.scheduled_minutes) AS scheduled_minutes,
     c.school_day_index, coalesce(c.is_instructional_day, TRUE) AS is_instructional_day, a.attended_minutes AS att_raw, a.missed_minutes AS miss_raw,
-    coalesce(a.absence_validity, '') AS v, a.absence_validity, a.record_updated_at IS NOT NULL AS has_attendance_record
+    coalesce(a.{validity}, '') AS v, a.{validity}, a.record_updated_at IS NOT NULL AS has_attendance_record
   FROM sched s LEFT JOIN cal c ON s.school_id = c.school_id AND s.date = c.date
   LEFT JOIN att a ON (s.student_id, s.school_id, s.class_id, s.grade, s.date, s.lesson_id) = (a.student_id, a.school_id, a.class_id, a.grade, a.date, a.lesson_id)),
 minutes AS (
@@ -198,4 +200,4 @@ def _asof() -> str:
 
 def sql(final: str, which: str = "has_attendance_record") -> str:
     """The chain with a final query. ``which`` chooses the target lessons: recorded ones, or all."""
-    return f"WITH {BASE.format(roll=ROLL, slots=SLOTS, asof=_asof(), which=which)}\n{final}"
+    return f"WITH {BASE.format(validity=VALIDITY, roll=ROLL, slots=SLOTS, asof=_asof(), which=which)}\n{final}"

@@ -31,5 +31,5 @@ class Prepared:
 
 def prepare(attendance: DataFrame, schedule: DataFrame, calendar: DataFrame, m: Modeling | None = None, start_month: int = 8) -> Prepared:
     m = m or Modeling()
-    frame = lessons.lesson_frame(attendance, schedule, calendar, start_month, m.substantial_absence_threshold)
+    frame = lessons.lesson_frame(attendance, schedule, calendar, start_month, m.substantial_threshold)
     return Prepared(frame, days.student_day(frame, calendar), days.schedule_day(frame), calendar)

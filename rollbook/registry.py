@@ -15,6 +15,7 @@ from .functions import features as C
 from .ml.additive import Shape
 from .ml.encode import Encoder, fit_encoder
 from .ml.models import Model, certificate, fit_calibrators, fit_candidate, group_means, permutation_importance
+from .names import VALIDITY
 from .operators import days, lessons, metrics, sampling
 from .oracles import sql
 from .plans import tasks
@@ -26,7 +27,7 @@ from .sources.shared import shared_folder, written
 
 DAY = ["student_id", "date"]
 LESSON = ["student_id", "date", "lesson_id"]
-_STRINGS = {"student_id", "school_id", "class_id", "grade", "stage", "term_id", "academic_year", "previous_academic_year", "lesson_id", "subject", "lesson_time_bin", "weekday_name", "absence_validity", "years", "split", "next_school_day_weekday_name", *C.EXTRA_CATEGORICAL["lesson"], "feature_group"}
+_STRINGS = {"student_id", "school_id", "class_id", "grade", "stage", "term_id", "academic_year", "previous_academic_year", "lesson_id", "subject", "lesson_time_bin", "weekday_name", VALIDITY, "years", "split", "next_school_day_weekday_name", *C.EXTRA_CATEGORICAL["lesson"], "feature_group"}
 _DATES = {"date", "score_date", "target_date"}
 _FLAGS = {"has_attendance_record", "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing", "daily_any_substantial_miss", "registration_complete", "is_instructional_day", "future_horizon_complete"}
 _TIMES = {"scheduled_start_at", "record_created_at", "record_updated_at"}
@@ -75,7 +76,7 @@ def day_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SCHEDULE = ["school_id", "class_id", "grade", "lesson_id", "subject", "scheduled_start_at", "scheduled_minutes"]
-_ATTENDANCE = [*_SCHEDULE, "term_id", "attended_minutes", "missed_minutes", "absence_validity", "record_created_at", "record_updated_at"]
+_ATTENDANCE = [*_SCHEDULE, "term_id", "attended_minutes", "missed_minutes", VALIDITY, "record_created_at", "record_updated_at"]
 _CALENDAR = ["school_id", "date", "term_id", "is_instructional_day", "school_day_index"]
 add("contract_attendance", derived.attendance_events, [*DAY, *_ATTENDANCE], "att0")
 add("contract_schedule", derived.student_schedule, [*DAY, *_SCHEDULE], "sched")
@@ -113,7 +114,7 @@ def _feature_table(spark, d):
 
 
 add("csv_round_trip", _csv_schedule, [*DAY, *_SCHEDULE], "sched")
-add("lesson_frame", lesson_rows, [*LESSON, *_SCHEDULE, "term_id", "is_instructional_day", "school_day_index", "academic_year", "stage", "attended_minutes", "missed_minutes", "absence_validity", "has_attendance_record", "lesson_start_minutes", "lesson_time_bin", "weekday", "miss_share", "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
+add("lesson_frame", lesson_rows, [*LESSON, *_SCHEDULE, "term_id", "is_instructional_day", "school_day_index", "academic_year", "stage", "attended_minutes", "missed_minutes", VALIDITY, "has_attendance_record", "lesson_start_minutes", "lesson_time_bin", "weekday", "miss_share", "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
 add("lesson_flags", lesson_rows, [*LESSON, "substantial_miss", "partial_miss", "is_giltig", "is_ogiltig", "registration_missing"], "lesson")
 add("minutes_inference", lesson_rows, [*LESSON, "has_attendance_record", "attended_minutes", "missed_minutes", "miss_share"], "lesson")
 add("grade_stage", lambda s, d: derived.student_schedule(s, d).select("grade").distinct().withColumns({"stage": X.grade_to_stage(F.col("grade")), "grade_numeric": X.number(F.col("grade"))}), ["grade", "stage", "grade_numeric"],

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import number
+from ..names import VALIDITY
 
 # Names and types of the input contract.
 _KEYS = "student_id string, school_id string, class_id string, grade string"
 _LESSON = "date date, lesson_id string, subject string, scheduled_start_at timestamp_ntz, scheduled_minutes double"
 SCHEMAS = {
-    "attendance_events": f"{_KEYS}, term_id string, {_LESSON}, attended_minutes double, missed_minutes double, absence_validity string, record_created_at timestamp_ntz, record_updated_at timestamp_ntz",
+    "attendance_events": f"{_KEYS}, term_id string, {_LESSON}, attended_minutes double, missed_minutes double, {VALIDITY} string, record_created_at timestamp_ntz, record_updated_at timestamp_ntz",
     "student_schedule": f"{_KEYS}, {_LESSON}",
     "school_calendar": "school_id string, date date, term_id string, is_instructional_day boolean, school_day_index int",
 }

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..names import VALIDITY
+
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -40,11 +42,11 @@ def attendance_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows.selectExpr(
         *common, "if(ok % 97 = 0, NULL, start_at) AS scheduled_start_at", "sched_min AS scheduled_minutes",
         "if(ok % 53 = 0 OR ok % 59 = 0, NULL, sched_min - miss_min) AS attended_minutes", "if(ok % 53 = 0, NULL, miss_min) AS missed_minutes",
-        "validity AS absence_validity", "created_at AS record_created_at", "if(ok % 211 = 0, NULL, updated_at) AS record_updated_at",
+        f"validity AS {VALIDITY}", "created_at AS record_created_at", "if(ok % 211 = 0, NULL, updated_at) AS record_updated_at",
     )
     later = rows.where("corrected").selectExpr(
         *common, "start_at AS scheduled_start_at", "sched_min AS scheduled_minutes", "sched_min AS attended_minutes", "0.0D AS missed_minutes",
-        "'present' AS absence_validity", "created_at AS record_created_at", "corrected_at AS record_updated_at",
+        f"'present' AS {VALIDITY}", "created_at AS record_created_at", "corrected_at AS record_updated_at",
     )
     return first.unionByName(later)
 

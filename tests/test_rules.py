@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rollbook import config, reports
 from rollbook.functions import expressions as X
 from rollbook.functions import features
+from rollbook.names import VALIDITY
 from rollbook.operators import days, lessons, metrics, sampling
 from rollbook.operators.asof import asof_join
 from rollbook.sources import contracts, files
@@ -46,8 +47,8 @@ def test_numbers(spark):
 
 
 def lesson(n=1, **over):
-    row = dict(student_id="A", school_id="S", class_id="C", grade="5", term_id="T", date=dt.date(2024, 9, 2), lesson_id=f"L{n}", subject="M", scheduled_start_at=dt.datetime(2024, 9, 2, 8), scheduled_minutes=45.0, attended_minutes=45.0, missed_minutes=0.0, absence_validity="present", record_created_at=dt.datetime(2024, 9, 2, 15), record_updated_at=dt.datetime(2024, 9, 2, 16))
-    return {**row, **over}
+    row = dict(student_id="A", school_id="S", class_id="C", grade="5", term_id="T", date=dt.date(2024, 9, 2), lesson_id=f"L{n}", subject="M", scheduled_start_at=dt.datetime(2024, 9, 2, 8), scheduled_minutes=45.0, attended_minutes=45.0, missed_minutes=0.0, record_created_at=dt.datetime(2024, 9, 2, 15), record_updated_at=dt.datetime(2024, 9, 2, 16))
+    return {**row, VALIDITY: "present", **over}
 
 
 def frame(spark, attendance, schedule=None, calendar=None):
@@ -82,7 +83,7 @@ def test_closed_days_drop(spark):
 
 
 def test_two_classes_on_one_date(spark):
-    rows = [lesson(1, absence_validity="Ogiltig", missed_minutes=45.0), lesson(2, class_id="D")]
+    rows = [lesson(1, missed_minutes=45.0, **{VALIDITY: "Ogiltig"}), lesson(2, class_id="D")]
     got = days.day_totals(frame(spark, rows)).orderBy("class_id").collect()
     assert [r["daily_ogiltig_missed_minutes"] for r in got] == [45.0, 45.0]
     assert [r["calendar_days_since_previous_school_day"] for r in got] == [None, 0]
