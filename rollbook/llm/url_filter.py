@@ -23,12 +23,32 @@ _BAD = ("discount-pills", "casino-bonus", "free-viagra", "xxx-videos", "win-mone
 _GOOD = ("library", "museum", "news", "university", "garden", "recipes", "history", "weather", "travel", "music", "science", "cityhall", "school", "theater", "hospital", "archive", "river-walks", "geometry", "orchestra", "neighbours", "open-data", "translation", "education", "city-stories", "book-review", "national-park", "cycling", "furniture", "pottery", "lighthouse", "railway", "bakery", "parliament", "astronomy", "literature", "gardening", "workshop", "cooperative", "public-health", "local-council", "council", "press", "forum", "journal", "institute", "clinic", "church", "market", "kitchen", "radio", "physics", "biology", "mathematics", "philosophy", "economics", "football", "chess", "photography", "painting", "ceramics", "sewing", "hiking", "sailing", "beekeeping", "farmers", "firefighters", "transport", "planning", "housing", "charity", "volunteers", "students", "teachers", "research", "conference", "dictionary", "encyclopedia", "documentation", "tutorials", "software", "hardware", "maps", "calendar", "events", "about", "contact", "blog", "articles", "stories", "interviews", "reports")
 _AROUND = (("http://", ".example.com/", "12"), ("https://www.", ".example.org/", "en/page/7.html"), ("https://blog.", ".example.net/", "index?x=1"), ("http://m.", ".example.info/", "a/b/"))
 _INTO = (("", "/"), ("shop/", ".html"), ("en/2020/", "?x=1"), ("a/", "/b"))
+#: Where names stand: domains, ports and paths of many kinds, alike for both labels.
+_DOMAINS = ("com", "org", "net", "info", "co.uk", "de", "fr", "io", "edu", "com:8080", "se", "org:443")
+_PATHS = ("", "12", "en/44/", "de/page-7.html", "fr/2020/01/", "index.php?id=9", "a/b/c", "view?ref=x&page=2", "2019/report.pdf", "~home/", "item/44021#top", "s?q=term")
 _PLAIN = ("http://example.com/", "https://www.example.org/", "https://example.net/", "http://m.example.info/")
 
 
-def labelled(bad=_BAD, good=_GOOD) -> tuple[tuple[str, int], ...]:
+def made_up(n: int, seed: int = 1) -> list[str]:
+    """Names of plain syllables that mean nothing, by a rule: hosts that no word list knows are to be allowed."""
+    heads = [a + b for a in ("", "b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "st", "th", "tr", "br") for b in "aeiou"]
+    tails = ["", "n", "r", "s", "l", "m", "nd", "st", "ng", "rt", "th", "ck"]
+    out = []
+    for i in range(n):
+        k, name = i * 7919 + seed * 104729, ""
+        for _ in range(2 + i % 2):
+            name += heads[k % len(heads)] + tails[k // len(heads) % len(tails)]
+            k = (k * 48271 + 11) % 2147483647
+        out.append(name)
+    return out
+
+
+def labelled(bad=_BAD, good=_GOOD, plain=600) -> tuple[tuple[str, int], ...]:
     """URLs to block (1) or allow (0): the words of host and path decide, all around them is alike for both kinds.
 
+    ``plain`` made-up names stand among the good ones, in hosts and in paths, and every name stands under
+    several domains, ports and paths.
+
     Hosts of each word have the same plain paths; paths of each word stand on plain hosts and on hosts of good
     words. Hosts of bad words with paths of good ones are blocked.
     """
@@ -41,6 +61,12 @@ def labelled(bad=_BAD, good=_GOOD) -> tuple[tuple[str, int], ...]:
                 out += [(f"{a}{word}{b}{c}", y), (f"{a}{host}{b}{left}{word}{right}", y), (f"{_PLAIN[i]}{left}{word}{right}", y)]
                 if y and i == k % len(_AROUND):
                     out.append((f"{a}{word}{b}{left}{host}{right}", y))
+    prefix = ("", "www.", "blog.", "m.", "shop.")
+    names = [(w, 1) for w in bad] * 3 + [(w, 0) for w in good] * 2 + [(w, 0) for w in made_up(plain)]
+    for i, (word, y) in enumerate(names):
+        at = f"{prefix[i % 5]}{word}"
+        out += [(f"https://{at}.{_DOMAINS[(i + j) % 12]}/{_PATHS[(5 * i + 7 * j) % 12]}", y) for j in range(2)]
+        out.append((f"http://{at}.example.{_DOMAINS[i % 4]}/{_PATHS[i % 12]}", y))
     return tuple(out)
 
 
@@ -97,5 +123,6 @@ def judge(pages: DataFrame, model: PipelineModel, rules=RULES, url: str = "url",
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL; odd rows as in :func:`judge`, an empty table gives an empty result."""
     out = judge(table(spark, sf_dir, "pages").select("page_id", "url"), fit(spark))
     return out.select("page_id", "host", "path", "rule", "verdict", "block_probability")
