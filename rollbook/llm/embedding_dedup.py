@@ -19,8 +19,9 @@ never rows: tasks give counts and spanning links. Buckets over ``bucket`` rows a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,13 +43,19 @@ WIDTHS = (1, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32)
 PLANTED, ROTATIONS, MEETINGS = 3000, 24, 50
 
 
-def fit_rotation(vectors: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimension x bits): principal directions, rotated by ITQ."""
+def fit_rotation(vectors: np.ndarray, bits: int = BITS, rounds: int = 40, seed: int = 7, whiten: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and projection (dimension x bits): principal directions, rotated by ITQ.
+
+    With ``whiten`` all directions are scaled to the same spread first, so that bits don't follow a few strong
+    ones, such as those between topics.
+    """
     mean = vectors.mean(axis=0) if len(vectors) else np.zeros(vectors.shape[1])
     bits = min(bits, vectors.shape[1])
     x = vectors - mean
-    _, _, v = np.linalg.svd(x.T @ x)
+    _, spread_, v = np.linalg.svd(x.T @ x)
     p = v[:bits].T
+    if whiten:
+        p = p / np.sqrt(np.maximum(spread_[:bits], 1e-6 * max(float(spread_[0]), 1e-12)))
     r, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
     z = x @ p
     for _ in range(rounds if len(vectors) else 0):
@@ -116,7 +123,17 @@ def planted(unit: np.ndarray, least: float, rng: np.random.Generator, n: int = P
 
 
 def lay_out(unit: np.ndarray, labels: np.ndarray, rows: float, least: float, recall: float = RECALL, learn: bool = True, seed: int = 7, n: int = PLANTED) -> Layout:
-    """Cheapest layout for ``rows`` vectors like the sampled ``unit`` ones that lets ``recall`` of the planted pairs meet."""
+    """Cheapest layout for ``rows`` vectors like the sampled ``unit`` ones that lets ``recall`` of the planted pairs meet; learned rotations with and without whitening are tried."""
+    tried = [_search(unit, labels, rows, least, recall, rotation, seed, n) for rotation in ((fit_rotation, partial(fit_rotation, whiten=True)) if learn else (_through_origin,))]
+    return min(tried, key=lambda x: x[0])[1]
+
+
+def _through_origin(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    return random_rotation(unit.shape[1], seed=seed)
+
+
+def _search(unit: np.ndarray, labels: np.ndarray, rows: float, least: float, recall: float, rotation: Callable, seed: int, n: int) -> tuple[float, Layout]:
+    """Cost and layout with one kind of rotation."""
     rng, dim = np.random.default_rng([seed, unit.shape[1]]), unit.shape[1]
     pairs = planted(unit, least, rng, n)
     i, j = rng.integers(0, len(unit), (2, 5 * n))
@@ -128,7 +145,7 @@ def lay_out(unit: np.ndarray, labels: np.ndarray, rows: float, least: float, rec
     hit = {w: [np.zeros(n, bool) for _ in pairs] for w in widths}
     tables, chance, rotations, best = dict.fromkeys(widths, 0), dict.fromkeys(widths, 0.0), [], None
     for turn in range(ROTATIONS):
-        r = fit_rotation(unit, seed=seed + turn) if learn else random_rotation(dim, seed=seed + turn)
+        r = rotation(unit, seed=seed + turn)
         rotations.append(r)
         differ = [codes(a, *r) ^ codes(b, *r) for a, b in pairs]
         apart = codes(unit, *r)
@@ -147,8 +164,8 @@ def lay_out(unit: np.ndarray, labels: np.ndarray, rows: float, least: float, rec
         if not widths:
             break
     if best is None:  # the narrowest substrings nearly always meet
-        return Layout(rotations, 1)
-    return Layout(rotations[: best[2]], best[1])
+        return float("inf"), Layout(rotations, 1)
+    return best[0], Layout(rotations[: best[2]], best[1])
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
