@@ -97,7 +97,7 @@ def fit_logistic(df: DataFrame, target: str, encoder: Encoder, c: float = 1.0, b
         raise ValueError("training rows hold one class only")
     weight = F.when(y == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))) if balanced else F.lit(1.0)
     rows = df.select(array_to_vector(F.array(*(x for _, x in encoder.terms()))).alias("features"), y.alias("label"), weight.alias("w"))
-    lr = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="w", maxIter=200, tol=1e-8)
+    lr = LogisticRegression(regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, weightCol="w", maxIter=400, tol=1e-11)
     fitted = lr.fit(rows)
     return fitted.coefficients.toArray().tolist(), fitted.intercept
 
