@@ -27,6 +27,8 @@ from .tokens import encoder, slices, vocabulary
 
 SIZE = 2048
 SEGMENT = 1 << 17
+#: Bytes of text encoded together.
+SLICE = 4 << 20
 SENTENCE_CUT, WORD_CUT, PER_WINDOW = 4, 24, 2
 LONG, STEP = 64, 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -139,7 +141,7 @@ def _pack(path: str, end_id: int, size: int):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
-            for some in slices(b, 1):
+            for some in slices(b, 1, SLICE):
                 ids, counts = enc.encode(some.column(1), end_id)
                 raw, at = ids.tobytes(), 0
                 for doc_id, n in zip(some.column(0).to_pylist(), counts.tolist(), strict=True):

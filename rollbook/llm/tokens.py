@@ -28,6 +28,10 @@ LONGEST = 64
 JOINED = 50
 #: Divides chunks of a joined call; chunks that hold it are encoded by themselves.
 _BAR = "\x01"
+#: Marks that never share a piece with a letter beside them; the apostrophe does.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Letters that stay one letter when normalised, whatever stands beside them.
+_LETTERS = frozenset(c for c in map(chr, range(256)) if c.isalpha() and c.lower() != c or "a" <= c <= "z" or "\xdf" <= c <= "\xff" and c.isalpha())
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int = SLICE, rows: int = 4000) -> Iterator[pa.RecordBatch]:
@@ -125,6 +129,28 @@ class Encoder:
             for c, i, j in zip(group, first, last, strict=True):
                 self.seen[c] = raw[i + skip : j]
 
+    def _learn_words(self, chunks: list[str]) -> None:
+        """Ids of chunks of words: a word amid marks has the ids of marks, word and marks, as the library parts them."""
+        seen, amid, plain, others, marks = self.seen, [], [], [], {""}
+        for c in chunks:
+            if c.isalpha():
+                plain.append(c)
+                continue
+            word = c.strip(_MARKS)
+            if word.isalpha() and word[0] in _LETTERS and word[-1] in _LETTERS:
+                before, _, behind = c.partition(word)
+                amid.append((c, before, word, behind))
+                marks.add(before)
+                marks.add(behind)
+            else:
+                others.append(c)
+        words = {w for _, _, w, _ in amid}.difference(plain)
+        self._learn(plain + [w for w in words if w not in seen], True)
+        self._learn(others + [x for x in marks.difference(others) if x and x not in seen], False)
+        seen[""] = b""
+        for c, before, word, behind in amid:
+            seen[c] = seen[before] + seen[word] + seen[behind]
+
     def _whole(self, text: str) -> bytes:
         """A text that chunks by blanks and line feeds don't fit."""
         if self.words or any(t in text for t in self.special):
@@ -140,16 +166,17 @@ class Encoder:
         whole = pc.match_substring(even, "<|").to_numpy(zero_copy_only=False) if any("<|" in t for t in self.special) else np.zeros(len(texts), bool)
         if len(self.seen) >= LIMIT // 2:
             self.seen, self.older = {}, self.seen
-        new = [c for c in chunks if c not in self.seen]
-        self.seen.update((c, self.older[c]) for c in new if c in self.older)
-        new = [c for c in new if c not in self.seen]
+        pieces = list(map(self.seen.get, chunks))
+        missing = [i for i, x in enumerate(pieces) if x is None]
+        new = [chunks[i] for i in missing]
+        if self.older:
+            self.seen.update((c, self.older[c]) for c in new if c in self.older)
+            new = [c for c in new if c not in self.seen]
         odd: set[str] = set()
         if self.words:
             extra = [c for c in new if len(c) > LONGEST or _BAR in c]
             new = [c for c in new if c and len(c) <= LONGEST and _BAR not in c]
-            plain = [c for c in new if c.isalpha()]
-            self._learn(plain, True)
-            self._learn([c for c in new if not c.isalpha()], False)
+            self._learn_words(new)
             self.seen[""] = b""
         else:
             odd = {c for c in new if not (x := c[1:] if c[:1] == "\n" else c) or x[0].isspace() or x[-1].isspace()}
@@ -157,8 +184,8 @@ class Encoder:
             self._learn([c for c in new if len(c) <= LONGEST and c not in odd], False)
         for c in extra:
             self.seen[c] = self._ids([self._spelt(c)])[0].tobytes()
-        get = self.seen.get
-        pieces = [get(c, b"") for c in chunks]
+        for i in missing:
+            pieces[i] = self.seen.get(chunks[i], b"")
         for c in extra:
             del self.seen[c]
         pieces.append(b"")
