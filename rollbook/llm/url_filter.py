@@ -91,11 +91,16 @@ def best_rule(rules=RULES) -> Column:
 
 
 def grams(host: Column, path: Column, sizes=GRAMS) -> Column:
-    """Character n-grams of host and path, marked by where they stand."""
+    """Character n-grams of host and path, marked by where they stand; a shorter one is its own n-gram.
+
+    One regular expression finds all of a size, so that the time grows with the length of the URL. The
+    first class keeps it from starting amid a character of two UTF-16 units.
+    """
 
     def of(mark: str, s: Column) -> list[Column]:
         s = F.concat(F.lit("^"), s, F.lit("$"))
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(s, i, F.lit(n)))) for n in sizes]
+        found = [F.regexp_extract_all(s, F.lit(f"(?s)(?=([^\\x{{DC00}}-\\x{{DFFF}}].{{{n - 1}}}))"), F.lit(1)) for n in sizes]
+        return [F.transform(F.when(F.length(s) < n, F.array(s)).otherwise(x), lambda g: F.concat(F.lit(mark), g)) for n, x in zip(sizes, found, strict=True)]
 
     return F.concat(*of("h", host), *of("p", path))
 
@@ -112,14 +117,17 @@ def judge(pages: DataFrame, model: PipelineModel, rules=RULES, url: str = "url",
     """Add ``host, path, rule, block_probability, verdict``; no exchange.
 
     Null URL or none with ``://``: empty host and path, so no rule fits and the model judges empty
-    strings. Columns already named like a result make way for it; repeated rows are judged alike.
+    strings. A very long URL takes time and memory in proportion to its length. Columns already named like a result make way for it; repeated rows are judged alike.
     """
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "block_probability", "verdict", "grams", "features", "p", "raw", "y")]
-    rows = with_parts(pages.select(*own), url).withColumn("rule", best_rule(rules)).withColumn("grams", grams(F.col("host"), F.col("path")))
+    results = ("host", "path", "rule", "block_probability", "verdict")
+    own = [F.col("row")[c].alias(c) for c in pages.columns if c not in results]
+    # users' columns stay inside one, so that no name of theirs meets one of the model's
+    rows = with_parts(pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), F.col(f"`{url}`").alias("url")))
+    rows = rows.withColumn("rule", best_rule(rules)).withColumn("grams", grams(F.col("host"), F.col("path")))
     scored = model.transform(rows).withColumn("block_probability", vector_to_array("p")[1])
     by_rule = F.create_map(*(F.lit(x) for kv in rules for x in kv))[F.col("rule")] if rules else F.lit(None).cast("string")
     verdict = F.coalesce(by_rule, F.when(F.col("block_probability") > threshold, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).select(*own, "host", "path", "rule", "block_probability", "verdict")
+    return scored.withColumn("verdict", verdict).select(*own, *results)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

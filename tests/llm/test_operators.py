@@ -319,6 +319,17 @@ def test_url_filter(spark):
     assert got[11]["verdict"] == "block" and got[12]["verdict"] == "allow"
 
 
+def test_url_grams(spark):
+    """Every n-gram of host and path, those of characters beyond 16 bits too; a very long URL is judged whole."""
+    parts = [("", ""), ("a", "/"), ("h.example.com", "/a\nb/é漢$^"), ("x😀y", "/😀😀"), ("ab", "/" + "abc" * 50)]
+    for r in frame(spark, parts, "h string, p string").select("h", "p", url_filter.grams(F.col("h"), F.col("p")).alias("g")).collect():
+        want = [m + s[i : i + n] for m, s in (("h", f"^{r['h']}$"), ("p", f"^{r['p']}$")) for n in url_filter.GRAMS for i in range(max(1, len(s) - n + 1))]
+        assert r["g"] == want
+    long = "http://a.example.net/en/" + "long-path/" * 30_000
+    got = url_filter.judge(frame(spark, [(1, long), (2, long.replace(".net", ".org"))], "page_id long, url string"), url_filter.fit(spark)).collect()
+    assert [(r["host"], len(r["path"]), r["rule"]) for r in sorted(got, key=lambda r: r["page_id"])] == [("a.example.net", 300_004, "example.net/en/"), ("a.example.org", 300_004, None)]
+
+
 def test_url_filter_on_held_out_words(spark):
     """Precision on words and made-up names that were not taught; empty tables."""
     bad, good = url_filter._BAD[::3], url_filter._GOOD[::3]
