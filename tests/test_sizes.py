@@ -17,3 +17,34 @@ def test_lessons_are_dealt_once_into_pieces_by_their_count(spark, sf_dir, monkey
         assert p.pieces >= p.lesson_frame.count() / size
         deals = [x for x in re.findall(r"Exchange hashpartitioning\(([^\n]*?)\), [A-Z_]+", plan(p.student_day)) if "student_id" in x]
         assert len(deals) == 1 and deals[0].endswith(f" {p.pieces}")  # the deal of the lessons serves all windows
+
+
+def test_first_rows_stores_keys_only(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from rollbook.operators import ranges
+
+    stored = []
+    keep = ranges.written
+    monkeypatch.setattr(ranges, "written", lambda df, name: stored.append(df.columns) or keep(df, name))
+    df = spark.range(1000).selectExpr("if(id % 100 = 7, NULL, id % 50) AS k", "id", "repeat('x', 100) AS wide")
+    order = [F.col("k")]  # ties, nulls first
+    want = df.orderBy("k").collect()
+    for n in (0, 1, 10, 11, 500, 999, 1000, 2000):
+        got = ranges.first_rows(df, n, order)
+        assert sorted((r.k is not None, r.k or 0) for r in got.collect()) == sorted((r.k is not None, r.k or 0) for r in want[:n])
+        assert got.columns == df.columns
+    assert all("wide" not in c for c in stored)
+
+
+def test_scored_rows_are_computed_once(spark):
+    """The frame of a metric is evaluated once, however often it is read."""
+    from pyspark.sql import functions as F
+
+    from rollbook.operators import metrics
+
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "double")
+    df = spark.range(0, 200, 1, 4).selectExpr("id", "id % 2 AS y", "double(id % 9) AS score", "if(id < 100, 'a', 'b') AS stage").withColumn("score", count.asNondeterministic()("score"))
+    assert metrics.group_metrics(df, "stage", "y", "score", [0.1], ["id"]).count() == 2
+    assert seen.value == 200
