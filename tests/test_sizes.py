@@ -48,3 +48,10 @@ def test_scored_rows_are_computed_once(spark):
     df = spark.range(0, 200, 1, 4).selectExpr("id", "id % 2 AS y", "double(id % 9) AS score", "if(id < 100, 'a', 'b') AS stage").withColumn("score", count.asNondeterministic()("score"))
     assert metrics.group_metrics(df, "stage", "y", "score", [0.1], ["id"]).count() == 2
     assert seen.value == 200
+
+
+def test_lesson_rows_are_not_dealt_again_for_joins(spark, sf_dir):
+    """Joins by student and day or position use the deal of the stored frames; only the narrow slot keys are exchanged."""
+    df = registry.queries()["lesson_dataset"](spark, sf_dir)
+    deals = re.findall(r"Exchange hashpartitioning\(([^\n]*?)\)", plan(df))
+    assert not [x for x in deals if re.search(r"\b(date|__date|pos|__at)#", x)], deals
