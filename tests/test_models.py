@@ -1,5 +1,6 @@
 """Training against an own solver, calibration, and a run from files to reports."""
 
+import math
 import inspect
 import json
 from types import SimpleNamespace
@@ -178,3 +179,30 @@ def test_registered_importance_shuffles_as_often_as_the_default(monkeypatch):
     registry._importance(None, None)
     seen[0].apply_defaults()
     assert seen[0].arguments["repeats"] == 5
+
+
+def test_newton_steps_finish_a_fit_that_stopped_early(spark):
+    """From a start far from flat, with two columns that are nearly equal, every gradient ends near zero."""
+    from pyspark.ml.functions import array_to_vector
+
+    from rollbook.ml.models import _polished
+
+    rows = spark.range(0, 400, 1, 3).selectExpr("double(pmod(hash(id), 17)) / 17 AS a", "id").selectExpr("a", "a + if(id % 50 = 0, 0.01, 0) AS b", "double(pmod(hash(id, 3), 5) + 5 * a > 4) AS label", "1.0D AS w")
+    rows = rows.select(array_to_vector(F.array("a", "b")).alias("features"), "label", "w")
+    beta, intercept = _polished(rows, [0.1, 0.1, 0.0], 400, 1.0)
+    x = [(r.features.toArray(), r.label) for r in rows.collect()]
+    residual = [1 / (1 + math.exp(-(v @ beta + intercept))) - y for v, y in x]
+    gradients = [sum(e * v[j] for e, (v, _) in zip(residual, x, strict=True)) / 400 + beta[j] / 400 for j in (0, 1)] + [sum(residual) / 400]
+    assert max(map(abs, gradients)) < 1e-9
+
+
+def test_bin_sums_are_added_up_in_tasks(spark):
+    from rollbook.ml.additive import _bin_sums
+
+    rows = spark.range(0, 100, 1, 4).selectExpr("double(id % 2) AS y", "int(id % 3) AS b0", "int(id % 5) AS b1")
+    got = {(r.j, r.k): (r.g, r.h, r.n) for r in _bin_sums(rows, [[0.5, -0.25, 0.0, 0.0], [0.0] * 6], 0.125, range(1, 2))}
+    assert set(got) == {(1, k) for k in range(5)}  # bins without rows have no sums
+    p = [1 / (1 + math.exp(-(0.125 + (0.5, -0.25, 0.0)[i % 3]))) for i in range(100)]
+    for k in range(5):
+        own = [i for i in range(100) if i % 5 == k]
+        assert got[1, k] == pytest.approx((sum(i % 2 - p[i] for i in own), sum(p[i] * (1 - p[i]) for i in own), len(own)))
