@@ -55,3 +55,43 @@ def test_lesson_rows_are_not_dealt_again_for_joins(spark, sf_dir):
     df = registry.queries()["lesson_dataset"](spark, sf_dir)
     deals = re.findall(r"Exchange hashpartitioning\(([^\n]*?)\)", plan(df))
     assert not [x for x in deals if re.search(r"\b(date|__date|pos|__at)#", x)], deals
+
+
+def test_slot_histories_are_looked_up_in_the_deal_of_students(spark, sf_dir):
+    """The timelines of an as-of join are unions of frames dealt alike; they are not exchanged."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with larger tables
+    try:
+        for name in ("score_lesson", "lesson_dataset"):
+            p = plan(registry.queries()[name](spark, sf_dir))
+            deals = re.findall(r"Exchange hashpartitioning\(([^\n]*?)\)", p)
+            assert not [x for x in deals if re.match(r"(__by_|__)?student_id#|.*target_", x)], deals
+            assert p.count("Union") == 1  # one timeline for all slots
+        p = plan(registry.queries()["asof_combined"](spark, sf_dir))
+        assert not re.search(r"Exchange hashpartitioning\(\w*student_id#", p)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_slot_histories_are_those_of_an_asof_join(spark):
+    """Running sums over one timeline find what the general join finds, with null slots, null dates and several rows a day."""
+    from pyspark.sql import functions as F
+
+    from rollbook.operators.asof import asof_join
+    from rollbook.plans import tasks
+
+    some = lambda c, k, n: f"if((id * {k}) % 11 = 3, NULL, concat('{c}', (id * {k}) % {n}))"
+    lessons_ = spark.range(400).selectExpr(
+        f"{some('p', 7, 4)} AS student_id", f"{some('s', 3, 3)} AS subject", f"{some('w', 5, 2)} AS weekday_name", f"{some('t', 13, 2)} AS lesson_time_bin",
+        "if(id % 17 = 5, NULL, date_add(date'2024-01-01', int((id * 29) % 40))) AS date", "id % 5 <> 1 AS has_attendance_record", "if(id % 23 = 2, NULL, id % 3 = 0) AS substantial_miss")
+    asked = lessons_.selectExpr("student_id", "subject AS target_subject", "weekday_name AS target_weekday_name", "lesson_time_bin AS target_lesson_time_bin", "date_add(date, 1) AS score_date")
+    want = asked
+    for slot, by in tasks.SLOTS.items():
+        history = tasks.slot_history(lessons_, slot).withColumnsRenamed({c: f"target_{c}" for c in by})
+        want = asof_join(want, history, ["student_id", *(f"target_{c}" for c in by)], "score_date", "date", [f"hist_{slot}_lesson_count", f"hist_{slot}_substantial_rate"], 0.0)
+    got = tasks.with_histories(asked, lessons_)
+    columns = [F.col(c) for c in want.columns]
+    assert sorted(got.columns) == sorted(want.columns) and got.count() == 400
+    key = lambda r: [(v is None, v) if v is not None else (True, "") for v in map(str, r)]
+    assert sorted(got.select(columns).collect(), key=key) == sorted(want.collect(), key=key)
+    assert want.where("hist_subject_weekday_timebin_lesson_count > 1").count() > 20
