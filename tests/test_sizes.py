@@ -95,3 +95,18 @@ def test_slot_histories_are_those_of_an_asof_join(spark):
     key = lambda r: [(v is None, v) if v is not None else (True, "") for v in map(str, r)]
     assert sorted(got.select(columns).collect(), key=key) == sorted(want.collect(), key=key)
     assert want.where("hist_subject_weekday_timebin_lesson_count > 1").count() > 20
+
+
+def test_reads_are_split_by_the_number_of_lessons(spark, sf_dir, monkeypatch):
+    key = "spark.sql.files.minPartitionNum"
+    monkeypatch.setattr(lessons, "READ", 500)
+    try:
+        for name in ("chronic_20", "chronic_year_10", "short_horizon_dataset"):
+            spark.conf.unset(key)
+            registry.queries()[name](spark, sf_dir)
+            assert int(spark.conf.get(key)) >= registry.lesson_rows(spark, sf_dir).count() / 500
+        spark.conf.set(key, "100000")
+        registry.lesson_rows(spark, sf_dir)
+        assert spark.conf.get(key) == "100000"  # a larger number stays
+    finally:
+        spark.conf.unset(key)
