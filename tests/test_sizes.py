@@ -110,3 +110,50 @@ def test_reads_are_split_by_the_number_of_lessons(spark, sf_dir, monkeypatch):
         assert spark.conf.get(key) == "100000"  # a larger number stays
     finally:
         spark.conf.unset(key)
+
+
+def shuffle_files(spark):
+    import glob
+    import os
+
+    root = os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir")
+    return {f for r in root.split(",") for f in glob.glob(f"{r}/**/shuffle_*.data", recursive=True)}
+
+
+def test_stored_lessons_are_dealt_in_rounds_and_leave_no_shuffle_files(spark, sf_dir, monkeypatch):
+    from rollbook.plans import prepare
+
+    seen, keep = [], prepare.stored
+    monkeypatch.setattr(prepare, "stored", lambda df, name, by, n, rounds=1: seen.append((name, rounds)) or keep(df, name, by, n, rounds))
+    key = "spark.sql.files.minPartitionNum"
+    try:
+        few = registry.prepared(spark, sf_dir).stored_lessons().lesson_frame.count()
+        monkeypatch.setattr(lessons, "LESSONS", 300)
+        monkeypatch.setattr(lessons, "READ", 1000)
+        p = registry.prepared(spark, sf_dir)
+        whole, before = p.lesson_frame, shuffle_files(spark)
+        frame = p.stored_lessons().lesson_frame
+        assert not shuffle_files(spark) - before
+        assert seen == [("lesson_frame", 1), ("lesson_frame", lessons.ROUNDS)] and lessons.ROUNDS > 1
+        assert frame.count() == few
+        assert not frame.exceptAll(whole).count() and not whole.exceptAll(frame).count()
+    finally:
+        spark.conf.unset(key)
+
+
+def test_rounds_store_every_row_in_its_bucket_once(spark):
+    """A round holds its own buckets, also that of null keys; the session's setting of shuffle files is as before."""
+    import glob
+
+    from rollbook.sources import shared
+
+    df = spark.range(0, 3000, 1, 3).selectExpr("if(id % 50 = 7, NULL, concat('S', id % 40)) AS student_id", "id")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    for rounds in (1, 3, 4, 9):
+        out = shared.stored(df, "some", "student_id", 7, rounds)
+        assert sorted(out.collect(), key=lambda r: r.id) == sorted(df.collect(), key=lambda r: r.id)
+        files = [f for p in {f.rsplit("/", 1)[0].removeprefix("file://") for f in out.inputFiles()} for f in glob.glob(f"{p}/*.parquet")]
+        buckets = [re.search(r"_(\d{5})\.", f).group(1) for f in files]
+        assert len(buckets) == len(set(buckets)) <= 7
+        assert "Exchange" not in plan(out.groupBy("student_id").count())
+        assert spark.conf.get(key, "false") == "false"
