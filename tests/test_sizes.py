@@ -157,3 +157,22 @@ def test_rounds_store_every_row_in_its_bucket_once(spark):
         assert len(buckets) == len(set(buckets)) <= 7
         assert "Exchange" not in plan(out.groupBy("student_id").count())
         assert spark.conf.get(key, "false") == "false"
+
+
+def test_scored_days_come_from_buckets_by_the_number_of_lessons(spark, sf_dir, monkeypatch):
+    """A task of `score_short_horizon` holds the students of one piece; more lessons make more pieces, dealt in rounds."""
+    key = "spark.sql.files.minPartitionNum"
+    monkeypatch.setattr(lessons, "READ", 1000)
+    try:
+        for size in (1500, 750):
+            monkeypatch.setattr(lessons, "LESSONS", size)
+            before = shuffle_files(spark)
+            df = registry.queries()["score_short_horizon"](spark, sf_dir)
+            assert not shuffle_files(spark) - before  # the deal of the lessons and all tables written before are done with
+            p = plan(df)
+            deals = re.findall(r"Exchange hashpartitioning\(([^\n]*?)\)", p)
+            assert not [x for x in deals if "student_id" in x], deals
+            buckets = {int(x) for x in re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", p)}
+            assert buckets and min(buckets) >= registry.lesson_rows(spark, sf_dir).count() / size
+    finally:
+        spark.conf.unset(key)
