@@ -206,3 +206,37 @@ def test_bin_sums_are_added_up_in_tasks(spark):
     for k in range(5):
         own = [i for i in range(100) if i % 5 == k]
         assert got[1, k] == pytest.approx((sum(i % 2 - p[i] for i in own), sum(p[i] * (1 - p[i]) for i in own), len(own)))
+
+
+@pytest.mark.parametrize("margin", [0.002, -0.02])  # with the second, the cuts are too high and all rows are ranked
+def test_importance_over_all_rows(spark, monkeypatch, margin):
+    """Against shuffles of the whole table in numpy; the registered groups take more rows than the report's 5,000."""
+    from hashlib import md5
+
+    from rollbook.ml.encode import Encoder
+
+    monkeypatch.setattr(M, "MARGIN", margin)
+    n = 6000
+    rng = np.random.default_rng(5)
+    x, w = np.round(rng.normal(size=n), 2), np.round(rng.normal(size=n), 1)
+    y = (x + 0.5 * w + rng.normal(size=n) > 1).astype(float)
+    df = spark.createDataFrame([(f"k{i}", float(x[i]), float(w[i]), int(y[i])) for i in range(n)], "id string, x double, w double, y int")
+    order = sorted(range(n), key=lambda i: md5(f"k{i}|42".encode()).hexdigest())
+    x, w, y = x[order], w[order], y[order]
+    at = np.arange(1, n + 1)
+    best = lambda z: y[np.lexsort((at, -np.round(z, 9)))[:300]].mean()
+    want = {"x": 0.0, "w": 0.0}
+    for r in (1, 2):
+        digest = sorted(range(n), key=lambda i: md5(f"{i + 1}|{r}|42".encode()).hexdigest())
+        j = np.empty(n, int)
+        j[digest] = np.arange(n)
+        want["x"] += (best(x + 0.5 * w) - best(x[j] + 0.5 * w)) / 2
+        want["w"] += (best(x + 0.5 * w) - best(x + 0.5 * w[j])) / 2
+    model = M.Model("t", "logistic", Encoder([("x", 0.0, 0.0, 1.0), ("w", 0.0, 0.0, 1.0)], []), [1.0, 0.5])
+    got = {r[0]: r[1] for r in M.permutation_importance(model, df, "y", ["id"], repeats=2, most=None).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_registered_groups_take_all_rows():
+    assert "5000" not in registry.oracle_sql()["group_importance"]
+    assert "5000" in registry.oracle_sql()["permutation_importance"]
