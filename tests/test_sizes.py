@@ -176,3 +176,29 @@ def test_scored_days_come_from_buckets_by_the_number_of_lessons(spark, sf_dir, m
             assert buckets and min(buckets) >= registry.lesson_rows(spark, sf_dir).count() / size
     finally:
         spark.conf.unset(key)
+
+
+def test_wide_stages_are_run_by_compiled_code(spark, sf_dir):
+    """The JVM interprets methods of over 8,000 bytes; Spark is told to make none for a stage, and a smaller limit stays."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    try:
+        for name in ("lesson_dataset", "chronic_year_10"):
+            spark.conf.set(key, "65535")
+            registry.queries()[name](spark, sf_dir)
+            assert int(spark.conf.get(key)) <= 8000
+        spark.conf.set(key, "4000")
+        registry.lesson_rows(spark, sf_dir)
+        assert spark.conf.get(key) == "4000"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_results_are_rounded_without_decimals(spark):
+    """Whole billionths, as decimal rounding gives them; only numbers of over four million take that."""
+    from pyspark.sql import functions as F
+
+    values = [None, float("nan"), float("inf"), -float("inf"), -0.0, -1e-12, 1e300, 5e-10, 4.9e-10, -5e-10, 1 / 1024, 123456.1234567895, 3999999.123456789, 4000001.123456789, *(a / b for a in range(-40, 40) for b in range(1, 60))]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(registry._rounded(F.col("x")).alias("a"), F.round("x", 9).alias("b"))
+    assert df.where("NOT a <=> b").count() == 0
+    assert [str(r.a) for r in df.limit(6).collect()][4:] == ["0.0", "0.0"]
