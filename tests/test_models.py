@@ -240,3 +240,19 @@ def test_importance_over_all_rows(spark, monkeypatch, margin):
 def test_registered_groups_take_all_rows():
     assert "5000" not in registry.oracle_sql()["group_importance"]
     assert "5000" in registry.oracle_sql()["permutation_importance"]
+
+
+def test_fit_reads_the_rows_a_few_times(spark, monkeypatch):
+    """Newton steps need a pass each, and end flat also where labels are rare and nearly told apart by one column."""
+    passes = []
+    keep = type(spark.range(1)).mapInPandas
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", lambda *a, **k: passes.append(1) or keep(*a, **k))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 2))
+    y = (x[:, 0] > 2).astype(int)
+    y[:3] = 1 - y[:3]
+    df = spark.createDataFrame([(float(a), None if i % 11 == 0 else float(b), "ab"[i % 2], int(v)) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "x double, z double, cat string, y int")
+    t = Task("t", df, "y", ["x", "z"], ["cat"], ["x"])
+    m = M.fit_candidate(df, t, "logistic", 1)
+    assert 3 < len(passes) <= 25
+    assert M.certificate(m, df, "y").where("abs(gradient) > 1e-8").count() == 0
