@@ -256,3 +256,23 @@ def test_fit_reads_the_rows_a_few_times(spark, monkeypatch):
     m = M.fit_candidate(df, t, "logistic", 1)
     assert 3 < len(passes) <= 25
     assert M.certificate(m, df, "y").where("abs(gradient) > 1e-8").count() == 0
+
+
+@pytest.mark.parametrize("bins", [5, 300])
+def test_bins_are_stored_in_blocks_of_small_numbers(spark, monkeypatch, bins):
+    """A byte a bin (two where there are over 255), many rows in one; sums are those of the rows."""
+    from rollbook.ml import additive
+
+    stored = []
+    keep = additive.written
+    monkeypatch.setattr(additive, "written", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    rows = spark.range(0, 1000, 1, 3).selectExpr("int(id % 2 = 0 OR id % 7 = 0) AS y", f"concat('k', id % {bins}) AS cat", "double(id % 10) AS x")
+    shapes, intercept = additive.fit_additive(rows, "y", ["x"], {"cat": sorted(f"k{i}" for i in range(bins))}, cycles=1)
+    assert stored[0].columns == ["block"] and stored[0].count() <= 1000 / additive.PACK + 3
+    assert sum(len(r.block) for r in stored[0].collect()) == 1000 * 3 * (1 if bins < 255 else 2)
+    y = np.array([float(i % 2 == 0 or i % 7 == 0) for i in range(1000)])
+    p = y.mean()
+    got = dict(zip(shapes[1].levels, shapes[1].values, strict=True))
+    step = np.array([additive.RATE * (y[k::bins] - p).sum() / (len(y[k::bins]) * p * (1 - p) + additive.SMOOTH) for k in range(bins)])
+    mean = sum(step[k] * len(y[k::bins]) for k in range(bins)) / 1000
+    assert [got[f"k{k}"] for k in range(bins)] == pytest.approx(list(step - mean))
